@@ -85,33 +85,21 @@ def snippet(text: Column, limit: int = 80) -> Column:
 def highlight_fragments(
     text: Column, terms: Column, surround: int = 5, open_mark: str = "<b>", close_mark: str = "</b>"
 ) -> Column:
-    """Words around each matched term, the terms marked, fragments joined by ``...``.
+    """Up to ``surround`` words on both sides of each matched term, terms marked, fragments joined by ``...``.
 
-    Overlapping neighbourhoods merge into one fragment: a word is kept when a
-    matched word lies within ``surround`` words of it.
+    ``terms`` is an array of lower-case terms; one pattern is made of them, so
+    the text is scanned once per step inside the JVM.
     """
-    words = F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0))
-    marked = F.transform(
-        words,
-        lambda w: F.struct(
-            w.alias("word"),
-            F.exists(word_tokens(w), lambda t: F.array_contains(terms, t)).alias("hit"),
-        ),
+    alternatives = F.array_join(F.transform(terms, lambda t: F.concat(F.lit(r"\Q"), t, F.lit(r"\E"))), "|")
+    term = F.concat(F.lit(r"(?<![\p{L}\p{N}_])("), alternatives, F.lit(r")(?![\p{L}\p{N}_])"))
+    fragment = F.concat(
+        F.lit(rf"(?iu)(?<!\S)(?:\S+\s+){{0,{surround}}}?\S*?"), term, F.lit(rf"\S*(?:\s+\S+){{0,{surround}}}")
     )
-    positions = F.filter(
-        F.transform(marked, lambda m, i: F.when(m["hit"], i)), lambda p: p.isNotNull()
+    found = F.regexp_extract_all(text, fragment, F.lit(0))
+    marked = F.regexp_replace(
+        F.array_join(found, "..."), F.concat(F.lit("(?iu)"), term), F.lit(f"{open_mark}$1{close_mark}")
     )
-    kept = F.transform(
-        marked,
-        lambda m, i: F.when(
-            F.exists(positions, lambda p: F.abs(p - i) <= surround),
-            F.when(m["hit"], F.concat(F.lit(open_mark), m["word"], F.lit(close_mark))).otherwise(m["word"]),
-        ),
-    )
-    # A run of dropped words between two kept ones becomes one separator.
-    joined = F.array_join(F.transform(kept, lambda w: F.coalesce(w, F.lit("\u0000"))), " ")
-    trimmed = F.regexp_replace(joined, "^(\u0000 ?)+|( ?\u0000)+$", "")
-    return F.regexp_replace(trimmed, " ?\u0000( \u0000)* ?", "...")
+    return F.when(F.size(terms) > 0, marked).otherwise(F.lit(""))
 
 
 def join_highlights(*fragments: Column) -> Column:

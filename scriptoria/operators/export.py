@@ -74,3 +74,14 @@ def write_csv(rows: DataFrame, path: str) -> None:
 def note_count(original_content: Column) -> Column:
     """Number of footnotes in a verse's markup."""
     return F.regexp_count(original_content, F.lit("<note")).cast("bigint")
+
+
+def division_payload() -> Column:
+    """A division with its ancestors (root first) as JSON."""
+    return F.to_json(
+        F.struct(
+            F.coalesce("title", "descriptor").alias("title"),
+            "level",
+            F.transform(F.slice("path", 1, F.size("path") - 1), lambda p: F.struct(p.alias("title"))).alias("ancestors"),
+        )
+    )

@@ -177,14 +177,15 @@ def convert_query(tokens: Column) -> Column:
     converted = F.split(
         beta_to_unicode(F.array_join(F.transform(tokens, lambda t: t["value"]), "\n")), "\n"
     )
-    return F.transform(
+    return F.zip_with(
         tokens,
-        lambda t, i: F.struct(
+        converted,
+        lambda t, c: F.struct(
             t["field"].alias("field"),
             F.when(
                 (t["field"].isNull() | t["field"].isin("content", "no_diacritics", "section"))
                 & t["value"].rlike(r"^[\p{L}\p{N}_]"),
-                F.get(converted, i),
+                c,
             )
             .otherwise(t["value"])
             .alias("value"),

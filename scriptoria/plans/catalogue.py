@@ -1,3 +1,5 @@
 """Importing this module registers every query."""
 
 from scriptoria.plans import search_queries  # noqa: F401
+from scriptoria.plans import navigation_queries  # noqa: F401
+from scriptoria.plans import text_queries  # noqa: F401

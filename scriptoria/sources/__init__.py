@@ -1 +1 @@
-
+"""Readers: files to DataFrames with explicit schemas."""
