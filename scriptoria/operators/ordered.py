@@ -169,8 +169,10 @@ def halo_window(
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], columns: Sequence[str]) -> DataFrame:
     """First row per key in the given order, by aggregation: a hot key is combined on the map side."""
+    ranked = [c.alias(f"__o{i}") for i, c in enumerate(_order_columns(list(order)))]
+    row = F.struct(*columns).alias("__row")
     return (
         df.groupBy(*keys)
-        .agg(F.min(F.struct(*order, *columns)).alias("__first"))
-        .select(*keys, *[F.col(f"__first.{c}").alias(c) for c in columns])
+        .agg(F.min(F.struct(*ranked, row)).alias("__first"))
+        .select(*keys, *[F.col(f"__first.__row.{c}").alias(c) for c in columns])
     )

@@ -124,6 +124,7 @@ def expand(
     related_forms: DataFrame | None,
     related_basic: DataFrame | None = None,
     include_beta_code: bool = True,
+    read_as_beta_code: bool = True,
 ) -> DataFrame:
     """Add alternatives to each clause: its beta-code reading and all related forms.
 
@@ -131,14 +132,17 @@ def expand(
     ``related_forms``: word -> form, exact; ``related_basic``: accent-free word
     -> form, used when the exact word is unknown or the field is accent-free.
     Adds ``expanded_by`` ("term", "beta", "related", "related without marks").
-    Only the fields ``content`` and ``no_diacritics`` are expanded.
+    Only the fields ``content`` and ``no_diacritics`` are expanded.  Turn
+    ``read_as_beta_code`` off for corpora in Latin script, whose words would
+    otherwise be looked up in their Greek reading.
     """
     keys = ["query_id", "branch", "clause", "negated", "field"]
     plain_field = F.col("field") == "no_diacritics"
     greek_field = F.col("field").isin("content", "no_diacritics")
     bare = strip_accents(F.regexp_replace("term", _BETA_SIGNS, ""))
     prepared = terms.select(*keys, F.when(plain_field, bare).otherwise(F.col("term")).alias("term"))
-    prepared = prepared.withColumn("reading", normalize(beta_to_unicode(F.col("term"))))
+    reading = beta_to_unicode(F.col("term")) if read_as_beta_code else F.col("term")
+    prepared = prepared.withColumn("reading", normalize(reading))
     out = prepared.select(*keys, "term", F.lit("term").alias("expanded_by"))
     if include_beta_code:
         out = out.unionByName(

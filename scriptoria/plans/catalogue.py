@@ -3,3 +3,5 @@
 from scriptoria.plans import search_queries  # noqa: F401
 from scriptoria.plans import navigation_queries  # noqa: F401
 from scriptoria.plans import text_queries  # noqa: F401
+from scriptoria.plans import morphology_queries  # noqa: F401
+from scriptoria.plans import import_queries  # noqa: F401

@@ -278,7 +278,7 @@ def converted_query_tokens(spark, sf_dir):
 def search_highlights(spark, sf_dir):
     """Fragments of content and accent-free text around the matched terms of each hit."""
     verses = index_documents(A.verses(spark, sf_dir))
-    rows = [(1, 0, 0, False, "content", "avec"), (1, 0, 1, False, "no_diacritics", "ete")]
+    rows = [(1, 0, 0, False, "content", "la"), (1, 0, 1, False, "no_diacritics", "les")]
     terms = clauses(spark, rows).withColumnRenamed("text", "term")
     hits = match(build_term_counts(verses), terms).select("verse_id", F.transform("matches", lambda m: m["term"]).alias("terms"))
     found = verses.join(hits, "verse_id")
