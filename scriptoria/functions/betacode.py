@@ -7,6 +7,7 @@ conversion for right results is stated as plain values below.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -96,17 +97,22 @@ def _to_beta() -> dict[int, str]:
     return first
 
 
-@F.pandas_udf(T.StringType())
-def _beta_to_greek(values: pd.Series) -> pd.Series:
-    pairs = _to_greek()
+def convert(text: str) -> str:
+    """Replacement step for one text; final sigmas come after."""
+    text = text.upper()
+    for beta, greek in _to_greek():
+        if beta in text:
+            text = text.replace(beta, greek)
+    return text
+
 
-    def convert(s: str) -> str:
-        s = s.upper()
-        for beta, greek in pairs:
-            if beta in s:
-                s = s.replace(beta, greek)
-        return s
+def convert_with_sigmas(text: str) -> str:
+    """Whole conversion of one text, for the markup parsers."""
+    return re.sub(r"σ(?!\w)", "ς", convert(text))
 
+
+@F.pandas_udf(T.StringType())
+def _beta_to_greek(values: pd.Series) -> pd.Series:
     return values.map(convert, na_action="ignore")
 
 

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scriptoria.functions.markup import text_and_notes
 from scriptoria.functions.strings import collapse_whitespace
 from scriptoria.functions.tokens import snippet
 from scriptoria.operators.hierarchy import describe_path, verse_label
+from scriptoria.operators.ordered import running_sum
 from scriptoria.operators.search import result_url
+from scriptoria.operators.transforms import accepted_files
 
 RESULT_COLUMNS = ["url", "description", "content_snippet", "work", "division", "verse"]
 
@@ -85,3 +88,63 @@ def division_payload() -> Column:
             F.transform(F.slice("path", 1, F.size("path") - 1), lambda p: F.struct(p.alias("title"))).alias("ancestors"),
         )
     )
+
+
+# Chapter text ---------------------------------------------------------------------
+
+
+def number_footnotes(verses: DataFrame, chunk: Column | None = None) -> DataFrame:
+    """Footnotes counted continuously over the verses of a chapter: adds ``notes`` and ``notes_before``."""
+    counted = verses.withColumn("notes", note_count(F.coalesce("original_content", F.lit(""))))
+    return running_sum(
+        counted, ["division_id"], "sequence_number", {"notes_before": F.col("notes")}, chunk=chunk, exclusive=True
+    )
+
+
+def verse_texts(verses: DataFrame, chunk: Column | None = None) -> DataFrame:
+    """Plain text of each verse with its footnotes numbered within the chapter.
+
+    ``verses``: division_id, sequence_number, indicator, content,
+    original_content, language.  Adds ``text`` and ``footnotes`` ("[n] ...").
+    """
+    numbered = number_footnotes(verses, chunk)
+    marked_up = F.length("original_content") > 0
+    parsed = numbered.withColumn(
+        "__parsed",
+        text_and_notes(F.when(marked_up, F.col("original_content")), F.col("language"), F.col("notes_before") + 1),
+    )
+    prefix = F.when(F.length("indicator") > 0, F.concat("indicator", F.lit(". "))).otherwise("")
+    body = F.when(marked_up, collapse_whitespace(F.col("__parsed.text"))).otherwise(F.col("content"))
+    labelled = F.transform(
+        F.coalesce("__parsed.notes", F.array().cast("array<string>")),
+        lambda note, i: F.concat(F.lit("["), (F.col("notes_before") + 1 + i).cast("string"), F.lit("] "), note),
+    )
+    return parsed.select(*verses.columns, F.concat(prefix, body).alias("text"), labelled.alias("footnotes"))
+
+
+def chapter_texts(verses: DataFrame, chunk: Column | None = None) -> DataFrame:
+    """One text per chapter: verses in order, joined by a blank, then the block of footnotes.
+
+    A chapter becomes one value here, so it has to fit in a row, as the
+    document it comes from does.
+    """
+    texts = verse_texts(verses, chunk)
+    folded = texts.groupBy("division_id").agg(
+        F.array_sort(F.collect_list(F.struct("sequence_number", "text", "footnotes"))).alias("v")
+    )
+    notes = F.flatten(F.transform("v", lambda x: x["footnotes"]))
+    block = F.when(
+        F.size(notes) > 0, F.concat(F.lit("\n\nFootnotes:\n"), F.array_join(notes, "\n"))
+    ).otherwise("")
+    return folded.select("division_id", F.concat(F.array_join(F.transform("v", lambda x: x["text"]), " "), block).alias("text"))
+
+
+def write_chapter_texts(chapters: DataFrame, path: str) -> None:
+    """``chapters``: work_slug, text."""
+    chapters.select("work_slug", "text").write.mode("overwrite").partitionBy("work_slug").text(path)
+
+
+def corpus_index(files: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """Index of the corpus files some policy rule accepts: title, author, language, file, editor."""
+    accepted = files if rules is None else accepted_files(files, rules)
+    return accepted.select("title", "author", "language", F.col("file_name").alias("file"), "editor")
