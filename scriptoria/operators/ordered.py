@@ -69,8 +69,7 @@ def running_sum(
         "*", *[F.coalesce(F.sum(values[n]).over(frame), F.lit(0)).alias(f"__local_{n}") for n in names]
     )
     joined = inside.join(carried, keys)
-    for n in names:
-        joined = joined.withColumn(n, F.col(f"__before_{n}") + F.col(f"__local_{n}"))
+    joined = joined.withColumns({n: F.col(f"__before_{n}") + F.col(f"__local_{n}") for n in names})
     return joined.drop(CHUNK, *[f"__{k}_{n}" for n in names for k in ("before", "local")])
 
 
@@ -127,8 +126,7 @@ def carry(
     )
     inside = cut.select("*", *[F.last(values[n], ignorenulls=True).over(frame).alias(f"__local_{n}") for n in names])
     joined = inside.join(carried, keys)
-    for n in names:
-        joined = joined.withColumn(n, F.coalesce(F.col(f"__local_{n}"), F.col(f"__carried_{n}")))
+    joined = joined.withColumns({n: F.coalesce(F.col(f"__local_{n}"), F.col(f"__carried_{n}")) for n in names})
     return joined.drop(CHUNK, *[f"__{k}_{n}" for n in names for k in ("carried", "local")])
 
 

@@ -8,9 +8,11 @@ end tags of a file, so an element is the interval [node_seq, end_seq].
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import islice
 from xml.parsers import expat
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -83,21 +85,19 @@ def _nodes_of(file: str, xml: bytes | str) -> Iterator[tuple]:
 
 def parse_nodes(files: DataFrame) -> DataFrame:
     """Node table of the files (``file``, ``xml``); a file that is not well formed gives one row with ``error``."""
-    names = NODES.fieldNames()
+    kinds = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "map<string,string>": pa.map_(pa.string(), pa.string())}
+    schema = pa.schema([(f.name, kinds[f.dataType.simpleString()]) for f in NODES])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for file, xml in zip(batch["file"], batch["xml"]):
-                rows: list[tuple] = []
-                for row in _nodes_of(file, xml):
-                    rows.append(row)
-                    if len(rows) >= _ROWS_PER_BATCH:
-                        yield pd.DataFrame(rows, columns=names)
-                        rows = []
-                if rows:
-                    yield pd.DataFrame(rows, columns=names)
-
-    return files.select("file", "xml").mapInPandas(run, NODES)
+            # One file at a time: a batch of large files never exists twice.
+            for file, xml in zip(batch.column(0), batch.column(1)):
+                rows = _nodes_of(file.as_py(), xml.as_py())
+                while part := list(islice(rows, _ROWS_PER_BATCH)):
+                    columns = [pa.array(c, f.type) for c, f in zip(zip(*part), schema)]
+                    yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    return files.select("file", "xml").mapInArrow(run, NODES)
 
 
 def map_files(files: DataFrame, hook, schema) -> DataFrame:

@@ -88,7 +88,8 @@ if __name__ == "__main__":
         try:
             problem = difference(spark, con, q, sf, sizes)
         except Exception as e:  # noqa: BLE001
-            problem = f"{type(e).__name__}: {str(e)[:1500]}"
+            text = " | ".join(str(e).split("JVM stacktrace")[0].splitlines())
+            problem = f"{type(e).__name__}: {text[:300]} ... {text[-500:] if len(text) > 300 else ''}"
         bad += problem is not None
         print(f"{'ok  ' if problem is None else 'FAIL'} {time.time() - start:6.1f}s {sizes.get(name, -1):7d} {name} {'' if q.sql else '(no sql)'} {problem or ''}", flush=True)
     print("failures:", bad)
