@@ -66,10 +66,14 @@ def divisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def verses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verses_of(table(spark, sf_dir, "documents"))
+
+
+def verses_of(documents: DataFrame) -> DataFrame:
     """One verse per line of a document."""
     line = F.col("line")
     return (
-        table(spark, sf_dir, "documents")
+        documents
         .select("doc_id", "lang", work_slug().alias("work_slug"), F.posexplode(F.split("text", "\n")).alias("line", "content"))
         .select(
             F.when(line < LINES_PER_DOCUMENT, F.shiftleft(F.col("doc_id"), LINE_BITS) + line)

@@ -33,20 +33,27 @@ def local_session(app: str = "scriptoria", cores: str = "8", **conf: str) -> Spa
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the cluster's shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``.
 
-    Used where one expensive stage (parsing XML in Python) feeds several
-    consumers.  The folder comes from ``spark.checkpoint.dir``; only a local
-    session without that setting gets a folder of its own.
+    Only a local session without that setting gets a folder of its own.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        folder = context.getCheckpointDir() or os.path.join(tempfile.mkdtemp(prefix="scriptoria-"), "checkpoint")
+    return folder.rstrip("/")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` reliably in the shared folder.
+
+    Used where one expensive stage (parsing XML in Python, running counts over
+    a corpus) feeds several consumers.
+    """
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = os.path.join(tempfile.mkdtemp(prefix="scriptoria-"), "checkpoint")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
