@@ -53,11 +53,22 @@ def index_documents(
     return docs
 
 
-def build_postings(docs: DataFrame, fields: Sequence[str] = CONTENT_FIELDS, word_analyser: str = "word") -> DataFrame:
+def _only(tokens: DataFrame, terms: DataFrame | None) -> DataFrame:
+    """Tokens that a search asks for; the others never reach the shuffle."""
+    if terms is None:
+        return tokens
+    return tokens.join(terms.select("field", "term").distinct(), ["field", "term"], "left_semi")
+
+
+def build_postings(
+    docs: DataFrame, fields: Sequence[str] = CONTENT_FIELDS, word_analyser: str = "word", terms: DataFrame | None = None
+) -> DataFrame:
     """Tokenise the given fields and count terms per verse.
 
     Tokens of one verse leave the same task, so the map-side combine already
-    folds them to one row per (field, term, verse) before the shuffle.
+    folds them to one row per (field, term, verse) before the shuffle.  For a
+    search over text that is not indexed, ``terms`` (field, term) restricts
+    the work to the terms asked for.
     """
     tokens = F.explode(
         F.array(
@@ -70,13 +81,15 @@ def build_postings(docs: DataFrame, fields: Sequence[str] = CONTENT_FIELDS, word
     per_field = docs.select("verse_id", "work_slug", tokens.alias("f"))
     exploded = per_field.select("verse_id", "work_slug", F.col("f.field").alias("field"), F.posexplode("f.tokens").alias("pos", "term"))
     return (
-        exploded.groupBy("field", "term", "verse_id", "work_slug")
+        _only(exploded, terms).groupBy("field", "term", "verse_id", "work_slug")
         .agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
         .select("field", "term", "verse_id", "work_slug", "tf", "positions")
     )
 
 
-def build_term_counts(docs: DataFrame, fields: Sequence[str] = CONTENT_FIELDS, word_analyser: str = "word") -> DataFrame:
+def build_term_counts(
+    docs: DataFrame, fields: Sequence[str] = CONTENT_FIELDS, word_analyser: str = "word", terms: DataFrame | None = None
+) -> DataFrame:
     """Postings without positions, for boolean search and statistics: a plain counting shuffle."""
     tokens = F.explode(
         F.array(
@@ -87,9 +100,9 @@ def build_term_counts(docs: DataFrame, fields: Sequence[str] = CONTENT_FIELDS, w
         )
     )
     per_field = docs.select("verse_id", "work_slug", tokens.alias("f"))
+    exploded = per_field.select("verse_id", "work_slug", F.col("f.field").alias("field"), F.explode("f.tokens").alias("term"))
     return (
-        per_field.select("verse_id", "work_slug", F.col("f.field").alias("field"), F.explode("f.tokens").alias("term"))
-        .groupBy("field", "term", "verse_id", "work_slug")
+        _only(exploded, terms).groupBy("field", "term", "verse_id", "work_slug")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,8 +25,13 @@ _BETA_SIGNS = r"[\/()*=&+|]"
 
 
 def clauses(spark: SparkSession, rows: Sequence[tuple]) -> DataFrame:
-    """Clause table from (query_id, branch, clause, negated, field, text) tuples."""
-    return spark.createDataFrame(list(rows), CLAUSES)
+    """Clause table from (query_id, branch, clause, negated, field, text) tuples.
+
+    Built from a pandas frame it is a local relation of known size, so Spark
+    broadcasts it when, and only when, it is below its own threshold.
+    """
+    frame = pd.DataFrame(list(rows), columns=CLAUSES.fieldNames())
+    return spark.createDataFrame(frame, CLAUSES)
 
 
 def default_field(ignore_diacritics: bool) -> str:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scriptoria.functions.normalize import strip_accents
 from scriptoria.functions.tokens import plain_tokens, word_tokens
+from scriptoria.session import spread
 
 # A verse id is the document id followed by 26 bits of line number.
 LINE_BITS = 26
@@ -19,6 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, for work on every text."""
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def work_slug() -> Column:
     return F.concat("source", F.lit("-"), "lang")
 
@@ -66,7 +72,7 @@ def divisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def verses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return verses_of(table(spark, sf_dir, "documents"))
+    return verses_of(texts(spark, sf_dir))
 
 
 def verses_of(documents: DataFrame) -> DataFrame:
@@ -145,7 +151,7 @@ def numbered_geography(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, sf_dir: str, pattern: str = "plain") -> DataFrame:
     """Distinct lower-case tokens of the documents."""
     tokenise = plain_tokens if pattern == "plain" else word_tokens
-    return table(spark, sf_dir, "documents").select(F.explode(tokenise(F.col("text"))).alias("token")).distinct()
+    return texts(spark, sf_dir).select(F.explode(tokenise(F.col("text"))).alias("token")).distinct()
 
 
 def word_forms(spark: SparkSession, sf_dir: str) -> DataFrame:

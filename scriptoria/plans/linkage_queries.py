@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +37,8 @@ def _files(spark, sf_dir) -> DataFrame:
 
 def _rules(spark) -> DataFrame:
     columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in POLICY_RULES)
-    numbered = spark.createDataFrame([(i, *r) for i, r in enumerate(RULES)], f"rule_pos int, {columns}")
+    rows = pd.DataFrame([(i, *r) for i, r in enumerate(RULES)], columns=["rule_pos", *POLICY_RULES.fieldNames()])
+    numbered = spark.createDataFrame(rows, f"rule_pos int, {columns}")
     return T.normalise_rules(numbered)
 
 

@@ -19,8 +19,14 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.index_documents(A.verses(spark, sf_dir))
 
 
-def _counts(spark: SparkSession, sf_dir: str, fields=("content",)) -> DataFrame:
-    return P.build_term_counts(_docs(spark, sf_dir), fields)
+def _counts(spark: SparkSession, sf_dir: str, fields=("content",), terms: DataFrame | None = None) -> DataFrame:
+    return P.build_term_counts(_docs(spark, sf_dir), fields, terms=terms)
+
+
+def _hits(spark: SparkSession, sf_dir: str, rows=TWO_TERMS, fields=("content",)) -> DataFrame:
+    """Hits of a search over text that has no stored index."""
+    terms = _terms(spark, rows)
+    return S.match(_counts(spark, sf_dir, fields, terms), terms)
 
 
 def _terms(spark: SparkSession, rows) -> DataFrame:
@@ -67,7 +73,7 @@ WHERE field = 'content' AND term IN ('the', 'and') GROUP BY ALL""",
 )
 def search_two_terms_per_work(spark, sf_dir):
     """How often, and in which works, do two terms occur in verses that hold both?"""
-    hits = S.match(_counts(spark, sf_dir), _terms(spark, TWO_TERMS))
+    hits = _hits(spark, sf_dir)
     frequencies = S.matched_frequencies(hits)
     per_work = S.matches_per_work(frequencies, A.works(spark, sf_dir))
     return per_work.select("work_slug", "work", "matches").orderBy(F.desc("matches"), "work_slug")
@@ -80,7 +86,7 @@ SELECT term, CAST(sum(tf) AS BIGINT) AS matches FROM postings JOIN hits USING (v
 WHERE field = 'content' AND term IN ('the', 'and') GROUP BY term""",
 )
 def search_two_terms_per_term(spark, sf_dir):
-    hits = S.match(_counts(spark, sf_dir), _terms(spark, TWO_TERMS))
+    hits = _hits(spark, sf_dir)
     return (
         S.matches_per_term(S.matched_frequencies(hits)).select("term", "matches").orderBy(F.desc("matches"), "term")
     )
@@ -95,7 +101,7 @@ FROM postings JOIN first USING (verse_id) WHERE field = 'content' AND term IN ('
 )
 def search_totals_first_2000(spark, sf_dir):
     """The statistics cap of the original report: the first 2000 verses by verse id."""
-    hits = S.match(_counts(spark, sf_dir), _terms(spark, TWO_TERMS))
+    hits = _hits(spark, sf_dir)
     return S.total_matches(S.matched_frequencies(hits, limit=S.DEFAULT_STATS_LIMIT))
 
 
@@ -107,8 +113,10 @@ FROM postings JOIN hits USING (verse_id) WHERE term IN ('the', 'and')""",
 )
 def search_totals_both_fields(spark, sf_dir):
     """Matched terms counted in the content and the accent-free field, as the original report does."""
-    counts = _counts(spark, sf_dir, ("content", "no_diacritics"))
-    hits = S.match(counts, _terms(spark, TWO_TERMS))
+    terms = _terms(spark, TWO_TERMS)
+    both = terms.unionByName(terms.withColumn("field", F.lit("no_diacritics")))
+    counts = _counts(spark, sf_dir, ("content", "no_diacritics"), both)
+    hits = S.match(counts, terms)
     return S.total_matches(S.matched_frequencies(hits, counts))
 
 
@@ -135,8 +143,7 @@ def search_or_not(spark, sf_dir):
         (2, 0, 0, False, "no_diacritics", "ete"), (2, 0, 1, False, "content", "la"),
         (2, 1, 0, False, "content", "und"),
     ]
-    hits = S.match(_counts(spark, sf_dir, ("content", "no_diacritics")), _terms(spark, rows))
-    return S.verses_per_term(hits)
+    return S.verses_per_term(_hits(spark, sf_dir, rows, ("content", "no_diacritics")))
 
 
 @query(
@@ -149,8 +156,10 @@ JOIN t c ON c.verse_id = a.verse_id AND c.pos = a.pos + 2
 WHERE a.term = 'and' AND b.term = 'the' AND c.term = 'of' GROUP BY ALL""",
 )
 def search_phrase(spark, sf_dir):
-    postings = P.build_postings(_docs(spark, sf_dir), ("content",), word_analyser="plain")
-    hits = S.search(postings, S.clauses(spark, [(1, 0, 0, False, "content", "and the of")]), word_analyser="plain")
+    clauses = S.clauses(spark, [(1, 0, 0, False, "content", "and the of")])
+    terms = S.analyse_clauses(clauses, "plain").select("field", F.explode("terms").alias("term"))
+    postings = P.build_postings(_docs(spark, sf_dir), ("content",), word_analyser="plain", terms=terms)
+    hits = S.search(postings, clauses, word_analyser="plain")
     return hits.select("verse_id", "work_slug", F.col("matches")[0]["tf"].alias("occurrences"))
 
 
@@ -183,7 +192,7 @@ FROM verses v JOIN page USING (verse_id) JOIN per_division USING (division_id) J
 def search_hits_page(spark, sf_dir):
     """Second page of the hits, shaped as a result list."""
     verses = A.verses(spark, sf_dir)
-    hits = S.match(_counts(spark, sf_dir), _terms(spark, TWO_TERMS))
+    hits = _hits(spark, sf_dir)
     shown = S.page(hits, 2, 20, chunk=A.verse_chunk()).select("verse_id")
     rows = result_rows(shown, verses, A.divisions(spark, sf_dir).withColumn("path", F.array("descriptor")), A.works(spark, sf_dir))
     return rows.select("verse_id", "work", "verse", "url", "description", "content_snippet")
@@ -213,7 +222,7 @@ def search_many_queries(spark, sf_dir):
         .agg(F.min("clause").alias("clause"))
         .select("query_id", F.lit(0).alias("branch"), "clause", F.lit(False).alias("negated"), F.lit("content").alias("field"), "term")
     )
-    return S.total_matches(S.matched_frequencies(S.match(_counts(spark, sf_dir), terms)))
+    return S.total_matches(S.matched_frequencies(S.match(_counts(spark, sf_dir, terms=terms), terms)))
 
 
 @query(
@@ -269,5 +278,5 @@ SELECT 'the AND and' AS query, count(DISTINCT verse_id) AS result_count, CAST(su
 FROM postings JOIN hits USING (verse_id) WHERE field = 'content' AND term IN ('the', 'and')""",
 )
 def search_metadata(spark, sf_dir):
-    hits = S.match(_counts(spark, sf_dir), _terms(spark, TWO_TERMS))
+    hits = _hits(spark, sf_dir)
     return search_summary(S.total_matches(S.matched_frequencies(hits)), "the AND and").drop("query_id")

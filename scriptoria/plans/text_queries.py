@@ -68,7 +68,7 @@ SELECT DISTINCT lang, unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+')) A
 def text_by_language(spark, sf_dir):
     """German words stand in for the Greek ones."""
     words = (
-        A.table(spark, sf_dir, "documents")
+        A.texts(spark, sf_dir)
         .select("lang", F.explode(F.regexp_extract_all("text", F.lit(K.PLAIN_WORD_PATTERN), F.lit(0))).alias("token"))
         .distinct()
     )
@@ -97,7 +97,7 @@ def analyser_tokens(spark, sf_dir):
         )
     )
     return (
-        A.table(spark, sf_dir, "documents").select(lists.alias("l"))
+        A.texts(spark, sf_dir).select(lists.alias("l"))
         .select("l.analyser", F.explode("l.t").alias("token"))
         .groupBy("analyser", "token").agg(F.count(F.lit(1)).alias("n"))
     )
