@@ -106,42 +106,42 @@ def resolve_citations(citations: DataFrame, divisions: DataFrame) -> DataFrame:
 
     ``citations``: citation_id, work_slug, reference.  The text is split at
     blanks, periods and colons; failing that at blanks and colons only.
-    Descriptors that contain blanks are protected before the split: the
-    descriptor of the work that the reference names (the longest one) is put
-    in place as one part.  Returns citation_id, division_id, verse.
+    Descriptors of the work that contain blanks are protected: every piece of
+    the reference that equals one is put in place as one part, longest first.
+    Returns citation_id, division_id, verse.
     """
     spaced = (
-        divisions.where(F.col("descriptor").contains(" "))
-        .select("work_slug", "descriptor", F.split("descriptor", " ")[0].alias("__head"))
-        .distinct()
+        divisions.where(F.col("descriptor").contains(" ")).select("work_slug", "descriptor").distinct()
     )
-    # A descriptor occurs in a reference only if its first word does, which makes this an equi join.
-    words = citations.select(
-        "citation_id", "work_slug", "reference",
-        F.explode(F.array_distinct(F.split("reference", "[ .:]+"))).alias("__head"),
+    # All pieces of a reference that start and end at a word or sign: an equi join finds the descriptors.
+    signs = F.regexp_extract_all("reference", F.lit("[^ .:]+|[ .:]"), F.lit(0))
+    pieces = F.flatten(
+        F.transform(
+            F.sequence(F.lit(1), F.size("__signs")),
+            lambda i: F.transform(
+                F.sequence(i, F.size("__signs")), lambda j: F.array_join(F.slice("__signs", i, j - i + 1), "")
+            ),
+        )
     )
     named = (
-        words.join(spaced, ["work_slug", "__head"])
-        .where(F.col("reference").contains(F.col("descriptor")))
+        citations.where(F.length("reference") > 0).withColumn("__signs", signs)
+        .select("citation_id", "work_slug", F.explode(F.array_distinct(F.filter(pieces, lambda p: p.contains(" ")))).alias("descriptor"))
+        .join(spaced, ["work_slug", "descriptor"])
+        .withColumn("__slug", slugify(F.col("descriptor")))
         .groupBy("citation_id")
-        .agg(F.max(F.struct(F.length("descriptor").alias("n"), "descriptor")).alias("__best"))
-        .select("citation_id", F.col("__best.descriptor").alias("__spaced"))
+        .agg(F.sort_array(F.collect_set(F.struct(F.length("descriptor").alias("n"), "descriptor", F.col("__slug").alias("slug"))), asc=False).alias("__named"))
     )
-    slug = F.col("__slug")
-    escaped = F.when(
-        F.col("__spaced").isNotNull(), F.replace(F.col("reference"), F.col("__spaced"), slug)
-    ).otherwise(F.col("reference"))
-    prepared = (
-        citations.join(named, "citation_id", "left")
-        .withColumn("__slug", slugify(F.col("__spaced")))
-        .withColumn("__escaped", escaped)
+    prepared = citations.join(named, "citation_id", "left").withColumn(
+        "__named", F.coalesce("__named", F.array().cast("array<struct<n:int,descriptor:string,slug:string>>"))
+    ).withColumn(
+        "__escaped", F.aggregate("__named", F.col("reference"), lambda text, d: F.replace(text, d["descriptor"], d["slug"]))
     )
 
     def parts(pattern: str) -> Column:
-        pieces = F.split("__escaped", pattern)
-        return F.slice(
-            F.transform(pieces, lambda p: F.when(p == slug, F.col("__spaced")).otherwise(p)), 1, MAX_PARTS
-        )
+        def named_by(part: Column) -> Column:
+            return F.get(F.filter("__named", lambda d: d["slug"] == part), F.lit(0))["descriptor"]
+
+        return F.slice(F.transform(F.split("__escaped", pattern), lambda p: F.coalesce(named_by(p), p)), 1, MAX_PARTS)
 
     both = prepared.select(
         "citation_id", "work_slug",

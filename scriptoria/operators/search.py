@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptoria.functions.betacode import beta_to_unicode
-from scriptoria.functions.normalize import normalize, strip_accents
+from scriptoria.functions.normalize import lookup_key, normalize, strip_accents
 from scriptoria.functions.strings import unslugify
 from scriptoria.functions.tokens import FIELD_ANALYSERS, analyse
 from scriptoria.operators.ordered import number_rows
@@ -135,8 +135,8 @@ def expand(
     """Add alternatives to each clause: its beta-code reading and all related forms.
 
     ``terms``: query_id, branch, clause, negated, field, term.
-    ``related_forms``: word -> form, exact; ``related_basic``: accent-free word
-    -> form, used when the exact word is unknown or the field is accent-free.
+    ``related_forms``: word -> form, exact, words as look-up keys (lower case,
+    NFKC, final sigma); ``related_basic``: accent-free word -> form, used when the exact word is unknown or the field is accent-free.
     Adds ``expanded_by`` ("term", "beta", "related", "related without marks").
     Only the fields ``content`` and ``no_diacritics`` are expanded.  Turn
     ``read_as_beta_code`` off for corpora in Latin script, whose words would
@@ -155,7 +155,7 @@ def expand(
             prepared.where(greek_field).select(*keys, F.col("reading").alias("term"), F.lit("beta").alias("expanded_by"))
         )
     if related_forms is not None:
-        open_terms = prepared.where(greek_field).select(*keys, F.col("reading").alias("word"))
+        open_terms = prepared.where(greek_field).select(*keys, lookup_key(F.col("reading")).alias("word"))
         exact = open_terms.where(~plain_field).join(related_forms.select("word", "form"), "word")
         out = out.unionByName(exact.select(*keys, F.col("form").alias("term"), F.lit("related").alias("expanded_by")))
         if related_basic is not None:

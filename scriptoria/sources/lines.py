@@ -16,14 +16,15 @@ def read_lines(spark: SparkSession, path: str, start_line: int | None = None, en
     A file may be split among tasks: rows are ordered by (file, block, row in
     the block), and line numbers are block sums plus the position in a block.
     """
-    reader = spark.read
+    value = F.col("value")
     if encoding is not None:
-        reader = reader.option("encoding", encoding)
-    raw = reader.text(path).select(
+        # The text source hands on the bytes of a line as they are.
+        value = F.decode(value.cast("binary"), encoding)
+    raw = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("__block"),
         F.monotonically_increasing_id().alias("__row"),
-        F.regexp_replace("value", "^﻿", "").alias("value"),
+        F.regexp_replace(value, "^﻿", "").alias("value"),
     )
     numbered = number_rows(raw, ["file"], "__row", "line_no", chunk=F.col("__block")).drop("__block", "__row")
     return from_line(numbered, start_line)
@@ -47,12 +48,6 @@ def map_lines(lines: DataFrame, hook: Callable[[int, str], Iterator[dict]], sche
     return lines.select("line_no", "value").mapInPandas(run, schema)
 
 
-def decode_cp1252(spark: SparkSession, path: str, column: str = "value") -> DataFrame:
-    """Lines of Windows-1252 files, decoded from bytes by Spark."""
-    parts = spark.read.option("encoding", "ISO-8859-1").text(path)
-    return parts.select(windows_1252(F.col("value")).alias(column))
-
-
 # --- fixed values: the characters Windows-1252 has in place of the C1 controls ---
 _C1_CODES = "80 82 83 84 85 86 87 88 89 8a 8b 8c 8e 91 92 93 94 95 96 97 98 99 9a 9b 9c 9e 9f"
 _C1_CHARACTERS = "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ"
