@@ -100,3 +100,11 @@ def test_integer_keys_are_unique(spark):
     keyed = B.with_ids(tables, ids)
     joined = keyed["verses"].join(keyed["divisions"], "division_id")
     assert joined.count() == 2 and keyed["verses"].select("verse_id").distinct().count() == 2
+
+
+def test_all_states_but_the_last_divide(spark):
+    states = '<refsDecl><state unit="page"/><state unit="section"/></refsDecl>'
+    body = '<p><milestone unit="page" n="1"/>a<milestone unit="section" n="1"/>b<milestone unit="page" n="2"/>c</p>'
+    divisions, verses = listed(build(spark, body, states=states, only_last_state_is_non_chunk=True))
+    assert [(d[2], d[3]) for d in divisions] == [(1, "1"), (1, "2")]
+    assert [(v[0], v[3]) for v in verses] == [(1, "a"), (1, "b"), (2, "c")]
