@@ -206,24 +206,25 @@ def convert_query(tokens: Column) -> Column:
 # Statistics ------------------------------------------------------------------
 
 
-def _first_hits(hits: DataFrame, limit: int | None) -> DataFrame:
+def _first_hits(hits: DataFrame, limit: int | None, chunk: Column | None) -> DataFrame:
     """The first ``limit`` hits of each query by verse id; None means all."""
     if limit is None:
         return hits
-    numbered = number_rows(
-        hits, ["query_id"], "verse_id", "__rank", chunk=F.floor(F.col("verse_id") / F.lit(1 << 36)).cast("bigint")
-    )
+    numbered = number_rows(hits, ["query_id"], "verse_id", "__rank", chunk=chunk)
     return numbered.where(F.col("__rank") <= limit).drop("__rank")
 
 
-def matched_frequencies(hits: DataFrame, postings: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+def matched_frequencies(
+    hits: DataFrame, postings: DataFrame | None = None, limit: int | None = None, chunk: Column | None = None
+) -> DataFrame:
     """One row per hit and matched term: query_id, verse_id, work_slug, field, term, tf.
 
     By default a term counts in the field its clause searches.  With
     ``postings`` a matched term counts in the content and in the accent-free
-    field alike, so an unaccented word counts twice.
+    field alike, so an unaccented word counts twice.  ``chunk`` cuts the verse
+    ids for the ranking that ``limit`` needs (default: ids are dense).
     """
-    kept = _first_hits(hits, limit)
+    kept = _first_hits(hits, limit, chunk)
     in_clause_field = kept.select("query_id", "verse_id", "work_slug", F.inline("matches"))
     if postings is None:
         return in_clause_field
@@ -276,9 +277,8 @@ def result_counts(hits: DataFrame, estimate: bool = False) -> DataFrame:
 
 
 def page(hits: DataFrame, number: int, length: int = 20, chunk: Column | None = None) -> DataFrame:
-    """Page ``number`` (1-based) of each query's hits by verse id."""
-    cut = chunk if chunk is not None else F.floor(F.col("verse_id") / F.lit(1 << 36)).cast("bigint")
-    numbered = number_rows(hits, ["query_id"], "verse_id", "rank", chunk=cut)
+    """Page ``number`` (1-based) of each query's hits by verse id; ``chunk`` as for ``matched_frequencies``."""
+    numbered = number_rows(hits, ["query_id"], "verse_id", "rank", chunk=chunk)
     low = (number - 1) * length
     return numbered.where((F.col("rank") > low) & (F.col("rank") <= low + length))
 

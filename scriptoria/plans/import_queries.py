@@ -176,4 +176,4 @@ SELECT verse_id, row_number() OVER (PARTITION BY division_id ORDER BY verse_id)
 )
 def verse_sequence_numbers(spark, sf_dir):
     verses = A.verses(spark, sf_dir).select("verse_id", "division_id")
-    return number_rows(verses, ["division_id"], "verse_id", "n", total="in_division").select("verse_id", "n", "in_division")
+    return number_rows(verses, ["division_id"], "verse_id", "n", chunk=by_width("verse_id"), total="in_division").select("verse_id", "n", "in_division")

@@ -102,7 +102,7 @@ FROM postings JOIN first USING (verse_id) WHERE field = 'content' AND term IN ('
 def search_totals_first_2000(spark, sf_dir):
     """The statistics cap of the original report: the first 2000 verses by verse id."""
     hits = _hits(spark, sf_dir)
-    return S.total_matches(S.matched_frequencies(hits, limit=S.DEFAULT_STATS_LIMIT))
+    return S.total_matches(S.matched_frequencies(hits, limit=S.DEFAULT_STATS_LIMIT, chunk=A.verse_chunk()))
 
 
 @query(
