@@ -3,11 +3,24 @@
 from __future__ import annotations
 
 from scriptoria.llm.exact_dedup import OP10_SQL, op10_exact_dedup
+from scriptoria.llm.sharding import OP6_SQL, op6_sharding
+from scriptoria.llm.url_filter import OP1_SQL, op1_url_filter
+from scriptoria.llm.decontaminate import OP3_SQL, op3_decontamination
+from scriptoria.llm.langid import op4_language_id
+from scriptoria.llm.quality import op9_quality_classifier
 
 QUERIES = {
+    "op4_language_id": op4_language_id,
+    "op9_quality_classifier": op9_quality_classifier,
+    "op3_decontamination": op3_decontamination,
+    "op1_url_filter": op1_url_filter,
+    "op6_sharding": op6_sharding,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 SQL = {
+    "op3_decontamination": OP3_SQL,
+    "op1_url_filter": OP1_SQL,
+    "op6_sharding": OP6_SQL,
     "op10_exact_dedup": OP10_SQL,
 }
