@@ -5,7 +5,9 @@ grades; ordered thresholds cut the score:  P(grade <= k) = sigmoid(t_k - score).
 That gives the expected grade and the tail probability P(grade >= k) by which
 documents are selected.  Features are presences: each blank-separated piece of
 the whole text gives its word (A-Z lower-cased, punctuation stripped), its
-trailing and leading punctuation, and whether it is written in capitals.
+trailing and leading punctuation, and whether it is written in capitals; the
+text gives its shares of different words, different lines, punctuation and
+capitals, in tenths.  Features of a few texts of the sample only have no weight.
 
 The model is fitted on the driver on a bounded sample of labelled rows.  The
 table of weights, of a fixed size, goes to the tasks, which score every text.
@@ -39,8 +41,7 @@ class Features(dict):
     def __missing__(self, piece: bytes) -> tuple[int, ...]:
         if len(self) >= _REMEMBERED:
             self.clear()
-        marks = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-        word = piece.strip(marks)
+        word = piece.strip(_MARKS)
         names = [b"w" + word.lower()] if word else []
         if len(piece) > len(word):
             at = piece.find(word) if word else 0
@@ -53,11 +54,24 @@ class Features(dict):
     def of(self, text: bytes | None) -> np.ndarray:
         """Sorted distinct cells of a whole text."""
         cells: set[int] = set()
-        for piece in set(text.split()) if text else ():
+        pieces = text.split() if text else []
+        distinct = set(pieces)
+        for piece in distinct:
             cells.update(self[piece])
+        if pieces:
+            marks = len(text) - len(text.translate(None, _MARKS))
+            capitals = len(text) - len(text.translate(None, _CAPITALS))
+            lines = [x for x in text.split(b"\n") if x]
+            shares = {b"distinct": len(distinct) / len(pieces), b"marks": marks / len(text), b"capitals": capitals / len(text), b"lines": len(set(lines)) / max(1, len(lines))}
+            cells.update(_SHARES[name, round(10 * share)] for name, share in shares.items())
         return np.array(sorted(cells), dtype=np.int64)
 
 
+_MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_SHARES = {(name, k): _cell(b"share %s %d" % (name, k)) for name in (b"distinct", b"marks", b"capitals", b"lines") for k in range(11)}
+
+
 class Model:
     def __init__(self, weights: np.ndarray, thresholds: np.ndarray):
         self.weights, self.thresholds = weights.astype(np.float32), thresholds
@@ -69,8 +83,10 @@ class Model:
         return tails.sum(axis=1), tails
 
 
-def fit(cells: list[np.ndarray], grades: np.ndarray, steps: int = 200, rate: float = 0.05, ridge: float = 1e-4) -> Model:
-    """Maximum likelihood with ordered thresholds, all grades weighing the same, by Adam over the whole sample.
+def fit(cells: list[np.ndarray], grades: np.ndarray, steps: int = 200, rate: float = 0.05, lasso: float = 1e-3, least_texts: int = 5) -> Model:
+    """Penalised maximum likelihood with ordered thresholds, all grades weighing the same, by Adam over the whole sample.
+
+    The penalty on absolute weights leaves features that say nothing at zero.
 
     The first threshold is free and the others add squares, so they stay ordered.
     """
@@ -80,6 +96,8 @@ def fit(cells: list[np.ndarray], grades: np.ndarray, steps: int = 200, rate: flo
     ends = np.cumsum([len(c) for c in cells])
     owner = np.repeat(np.arange(len(cells)), [len(c) for c in cells])
     flat = np.concatenate(cells) if len(ends) and ends[-1] else np.zeros(0, np.int64)
+    common = np.bincount(flat, minlength=CELLS) >= least_texts
+    owner, flat = owner[common[flat]], flat[common[flat]]
     used, inverse = np.unique(flat, return_inverse=True)
     counts = np.bincount(grades, minlength=top + 1)
     balance = (len(grades) / np.maximum(counts, 1) / max(1, (counts > 0).sum()))[grades]
@@ -100,13 +118,16 @@ def fit(cells: list[np.ndarray], grades: np.ndarray, steps: int = 200, rate: flo
         np.add.at(by_edge, grades, low)
         by_edge = by_edge[1:-1]
         gradients = [
-            np.bincount(inverse, weights=by_score[owner], minlength=len(used)) / len(grades) + ridge * w,
+            np.bincount(inverse, weights=by_score[owner], minlength=len(used)) / len(grades),
             np.concatenate([[by_edge.sum()], np.cumsum(by_edge[::-1])[::-1][1:] * 2 * base[1:]]) / len(grades),
         ]
         for value, gradient, (mean, square) in zip((w, base), gradients, moments):
             mean += 0.1 * (gradient - mean)
             square += 0.001 * (gradient**2 - square)
-            value -= rate * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
+            pace = rate / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
+            value -= pace * (mean / (1 - 0.9**step))
+            if value is w:  # weights within their step of the penalty are zero
+                w[:] = np.sign(w) * np.maximum(np.abs(w) - lasso * pace, 0)
     weights = np.zeros(CELLS)
     weights[used] = w
     return Model(weights, np.concatenate([[base[0]], base[0] + np.cumsum(base[1:] ** 2 + 1e-3)]))
@@ -133,7 +154,7 @@ def train(documents: DataFrame, ratings: DataFrame, sample_rows: int = SAMPLE_RO
     return fit(*training_sample(documents, ratings, sample_rows))
 
 
-def grade_documents(documents: DataFrame, model: Model, least_grade: int, least_tail: float = 0.5) -> DataFrame:
+def grade_documents(documents: DataFrame, model: Model, least_grade: int, least_tail: float = 0.25) -> DataFrame:
     """Add expected_grade, p_tail = P(grade >= least_grade) and kept to ``documents`` (text); those names are replaced.
 
     A null or empty text has no features and gets the grade of the thresholds
