@@ -8,8 +8,10 @@ from scriptoria.llm.url_filter import OP1_SQL, op1_url_filter
 from scriptoria.llm.decontaminate import OP3_SQL, op3_decontamination
 from scriptoria.llm.langid import op4_language_id
 from scriptoria.llm.quality import op9_quality_classifier
+from scriptoria.llm.chat_format import OP5_SQL, op5_chat_format
 
 QUERIES = {
+    "op5_chat_format": op5_chat_format,
     "op4_language_id": op4_language_id,
     "op9_quality_classifier": op9_quality_classifier,
     "op3_decontamination": op3_decontamination,
@@ -19,6 +21,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op5_chat_format": OP5_SQL,
     "op3_decontamination": OP3_SQL,
     "op1_url_filter": OP1_SQL,
     "op6_sharding": OP6_SQL,
