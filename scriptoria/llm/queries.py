@@ -9,8 +9,10 @@ from scriptoria.llm.decontaminate import OP3_SQL, op3_decontamination
 from scriptoria.llm.langid import op4_language_id
 from scriptoria.llm.quality import op9_quality_classifier
 from scriptoria.llm.chat_format import OP5_SQL, op5_chat_format
+from scriptoria.llm.mixing import OP8_SQL, op8_mixing
 
 QUERIES = {
+    "op8_mixing": op8_mixing,
     "op5_chat_format": op5_chat_format,
     "op4_language_id": op4_language_id,
     "op9_quality_classifier": op9_quality_classifier,
@@ -21,6 +23,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op8_mixing": OP8_SQL,
     "op5_chat_format": OP5_SQL,
     "op3_decontamination": OP3_SQL,
     "op1_url_filter": OP1_SQL,
