@@ -10,8 +10,10 @@ from scriptoria.llm.langid import op4_language_id
 from scriptoria.llm.quality import op9_quality_classifier
 from scriptoria.llm.chat_format import OP5_SQL, op5_chat_format
 from scriptoria.llm.mixing import OP8_SQL, op8_mixing
+from scriptoria.llm.substring_dedup import OP2_SQL, op2_substring_dedup
 
 QUERIES = {
+    "op2_substring_dedup": op2_substring_dedup,
     "op8_mixing": op8_mixing,
     "op5_chat_format": op5_chat_format,
     "op4_language_id": op4_language_id,
@@ -23,6 +25,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op2_substring_dedup": OP2_SQL,
     "op8_mixing": OP8_SQL,
     "op5_chat_format": OP5_SQL,
     "op3_decontamination": OP3_SQL,

@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows handed to one call of a batch function: texts of a few kilobytes make some megabytes.
+# Rows and bytes of text handed to one call of a batch function; a longer text is a slice of its own.
 SLICE_ROWS = 512
+SLICE_BYTES = 4 << 20
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -39,14 +41,30 @@ def map_slices(
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                out = fn(batch.slice(at, rows))
+            for part in slices(batch, rows):
+                out = fn(part)
                 if out is not None:
                     yield record(out, kinds)
 
     return df.mapInArrow(run, schema)
 
 
+def slices(batch: pa.RecordBatch, rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """Cut a batch where a slice has ``rows`` rows or its column ``text`` passes ``SLICE_BYTES``."""
+    at = batch.schema.get_field_index("text")
+    if at < 0:
+        yield from (batch.slice(k, rows) for k in range(0, batch.num_rows, rows))
+        return
+    first = size = 0
+    for k, length in enumerate(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_pylist()):
+        if k > first and (k - first >= rows or size + length > SLICE_BYTES):
+            yield batch.slice(first, k - first)
+            first, size = k, 0
+        size += length
+    if first < batch.num_rows:
+        yield batch.slice(first)
+
+
 def record(columns: dict, kinds: pa.Schema) -> pa.RecordBatch:
     arrays = [c if isinstance(c, pa.Array) else pa.array(c, type=kinds.field(n).type) for n, c in columns.items()]
     return pa.RecordBatch.from_arrays(arrays, schema=pa.schema([kinds.field(n) for n in columns]))
