@@ -11,8 +11,10 @@ from scriptoria.llm.quality import op9_quality_classifier
 from scriptoria.llm.chat_format import OP5_SQL, op5_chat_format
 from scriptoria.llm.mixing import OP8_SQL, op8_mixing
 from scriptoria.llm.substring_dedup import OP2_SQL, op2_substring_dedup
+from scriptoria.llm.minhash import OP7_SQL, op7_minhash_near_dedup
 
 QUERIES = {
+    "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op2_substring_dedup": op2_substring_dedup,
     "op8_mixing": op8_mixing,
     "op5_chat_format": op5_chat_format,
@@ -25,6 +27,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op7_minhash_near_dedup": OP7_SQL,
     "op2_substring_dedup": OP2_SQL,
     "op8_mixing": OP8_SQL,
     "op5_chat_format": OP5_SQL,
