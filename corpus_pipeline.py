@@ -1,8 +1,73 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again as input of the next."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read again as input of the next.
 
-STAGES = []
+A stage is a function of (spark, docs, sf_dir).  All but the last return the
+columns of ``documents``; the last adds shard and slot.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from scriptoria.llm.decontaminate import find_leaks
+from scriptoria.llm.langid import identify, trained_on_the_rest
+from scriptoria.llm.minhash import near_duplicates
+from scriptoria.llm.mixing import mix_documents
+from scriptoria.llm.rows import table
+from scriptoria.llm.sharding import shard_documents
+from scriptoria.session import shared_folder
+
+# Of all words that reach the mixing stage, in percent, and passes over a leaf.
+MIX_PERCENT, MIX_EPOCHS = 90, 1
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the kernel classifier can tell: those without a letter (``und``) go."""
+    model = trained_on_the_rest(docs)
+    judged = identify(docs, model)
+    return judged.where("lang_pred <> 'und'").select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, the one with the smallest id."""
+    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
+    return docs.join(kept, F.expr("doc_id <=> _kept_id"), "left_semi")
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a word under a benchmark window."""
+    found = find_leaks(docs, table(spark, sf_dir, "benchmark"))
+    return found.where("NOT contaminated").select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents within the budgets of their domains, languages and sources."""
+    return mix_documents(docs, MIX_PERCENT, MIX_EPOCHS)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with shard and slot."""
+    return shard_documents(docs)
+
+
+STAGES = [
+    ("4 language ID", language),
+    ("7 MinHash near-dedup", near_dedup),
+    ("3 benchmark decontamination", decontaminate),
+    ("8 mixing sources to target weights", mix),
+    ("6 sharding", shard),
+]
+
+# The language stage is a trained model: no SQL; tests/llm/test_pipeline.py compares each stage with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4()}"
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
+    return STAGES[-1][1](spark, docs, sf_dir)
