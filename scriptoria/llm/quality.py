@@ -90,9 +90,9 @@ def fit(cells: list[np.ndarray], grades: np.ndarray, steps: int = 200, rate: flo
 
     The first threshold is free and the others add squares, so they stay ordered.
     """
-    top = int(grades.max()) if len(grades) else 1
+    top = int(grades.max()) if len(grades) else 0
     if top == 0:
-        return Model(np.zeros(CELLS), np.zeros(1))
+        return Model(np.zeros(CELLS), np.zeros(1))  # nothing to tell apart
     ends = np.cumsum([len(c) for c in cells])
     owner = np.repeat(np.arange(len(cells)), [len(c) for c in cells])
     flat = np.concatenate(cells) if len(ends) and ends[-1] else np.zeros(0, np.int64)
