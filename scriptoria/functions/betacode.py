@@ -1,8 +1,9 @@
-"""Beta code (ASCII transcription of Greek) to Unicode and back.
+"""Beta code (ASCII transcription of Greek) to Unicode and back, by the published rules of the code.
 
-The replacement table is generated: a beta-code letter plus diacritics is the
-Greek letter plus combining marks, composed.  What must equal the published
-conversion for right results is stated as plain values below.
+A letter is followed by its signs; a capital is an asterisk, the letter, and
+signs before or after the letter.  A letter with signs is the Greek letter with
+combining marks, composed; signs may stand in any order.  There is no table of
+combinations, so every combination the code allows is read.
 """
 
 from __future__ import annotations
@@ -16,94 +17,61 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# --- fixed values -----------------------------------------------------------
-# Beta-code letters and the Greek letters they stand for.
-_LATIN = "ABGDEZHQIKLMNCOPRSTUFXYW"
-_GREEK = "αβγδεζηθικλμνξοπρστυφχψω"
-# Diacritic signs and the combining marks they stand for.
-_MARKS = {
-    ")": "\u0313", "(": "\u0314", "\\": "\u0300", "/": "\u0301", "=": "\u0342", "|": "\u0345",
-    "+": "\u0308", "'": "\u0306",
+# --- fixed values: the letters and signs of beta code ----------------------------
+LETTERS = {
+    "A": "α", "B": "β", "G": "γ", "D": "δ", "E": "ε", "Z": "ζ", "H": "η", "Q": "θ", "I": "ι", "K": "κ", "L": "λ", "M": "μ",
+    "N": "ν", "C": "ξ", "O": "ο", "P": "π", "R": "ρ", "S": "σ", "T": "τ", "U": "υ", "F": "φ", "X": "χ", "Y": "ψ", "W": "ω",
 }
-# Which small letters take which signs, in order of the table.
-_SMALL_PLAIN = [("+", "IU")]
-_SMALL_BREATHING = [
-    (")", "AEHIOUW"), ("(", "AEHIOUW"), (")\\", "AEHIOUW"), ("(\\", "AEHIOUW"), (")/", "AEHIOUW"),
-    ("(/", "AEHIOUW"), (")=", "AHIUW"), ("(=", "AHIUW"),
-]
-_SMALL_ACCENT = [
-    ("\\", "AEHIOUW"), ("/", "AEHIOUW"), (")/|", "AH"), ("(/|", "A"), (")|", "HW"), ("(|", "H"), (")=|", "H"),
-    ("(=|", "HW"), ("=", "AHIUW"), ("\\+", "IU"), ("/+", "IU"), ("+/", "I"), ("|", "AHW"), ("|/", "W"),
-    ("/|", "AHW"), ("=|", "AHW"),
-]
-# Capitals: L stands for the letter; the signs may follow it or precede it.
-_CAPITAL = [
-    ("*L)", "AEHIOW"), ("*)L", "AEHIO"), ("*L(", "AEHIOUWR"), ("*(L", "AEHIOUWR"), ("*(\\L", "AEO"),
-    ("*L)\\", "H"), (")\\*L", "H"), ("*)\\L", "H"), ("*L)/", "AEHIOW"), ("*)/L", "AEHIOW"),
-    ("(/*L", "H"), ("*L(/", "AEIOW"), ("*(/L", "AEHIOUW"), ("*L)=", "AW"), ("*)=L", "AHW"),
-    ("*L(=", "AW"), ("*(=L", "UW"),
-]
-# Rough breathing with acute is read as rough breathing with circumflex on these capitals.
-_ACUTE_READ_AS_CIRCUMFLEX = "AHIW"
-# Rough breathing is read as smooth on small rho.
-_SMALL_RHO = {"R(": "\u1fe4"}
-# An acute alone composes to the code point of the Greek Extended block.
-_OXIA = {
-    "\u03ac": "\u1f71", "\u03ad": "\u1f73", "\u03ae": "\u1f75", "\u03af": "\u1f77", "\u03cc": "\u1f79",
-    "\u03cd": "\u1f7b", "\u03ce": "\u1f7d", "\u0390": "\u1fd3", "\u03b0": "\u1fe3",
+SIGNS = {
+    ")": "\u0313",  # smooth breathing
+    "(": "\u0314",  # rough breathing
+    "+": "\u0308",  # diaeresis
+    "'": "\u0306",  # breve
+    "\\": "\u0300",  # grave
+    "/": "\u0301",  # acute
+    "=": "\u0342",  # circumflex
+    "|": "\u0345",  # iota subscript
 }
-_APOSTROPHE = "\u02bc"
+APOSTROPHE = "\u02bc"  # a smooth breathing that has no letter to stand on
 # ----------------------------------------------------------------------------
 
-
-def _compose(letter: str, signs: str, oxia: bool = True) -> str:
-    order = sorted(signs, key=lambda s: {")": 0, "(": 0, "+": 0, "|": 2, "'": 1}.get(s, 1))
-    composed = unicodedata.normalize("NFC", letter + "".join(_MARKS[s] for s in order))
-    return _OXIA.get(composed, composed) if oxia else composed
+_VOWELS = "AEHIOUW"
+# Which letters a sign can stand on; another sign stays as it is written.
+_BEARERS = {")": _VOWELS + "R", "(": _VOWELS + "R", "+": "IU", "'": "AIU", "\\": _VOWELS, "/": _VOWELS, "=": "AHIUW", "|": "AHW"}
+_MARKED = re.compile(r"(\*?)([)(+'\\/=|]*)([A-Z])([)(+'\\/=|]*)")
+# The order in which marks compose.
+_ORDER = ")(+'\\/=|"
 
 
 @lru_cache(maxsize=1)
-def table() -> tuple[tuple[str, str], ...]:
-    """(beta code, Greek) pairs in table order."""
-    small = dict(zip(_LATIN, _GREEK))
-    pairs = [("*" + b, small[b].upper()) for b in _LATIN] + list(small.items())
-    for group in (_SMALL_PLAIN, _SMALL_BREATHING):
-        pairs += [(b + signs, _compose(small[b], signs)) for signs, letters in group for b in letters]
-    for pattern, letters in _CAPITAL:
-        signs = pattern.replace("*", "").replace("L", "")
-        for b in letters:
-            read = "(=" if signs == "(/" and b in _ACUTE_READ_AS_CIRCUMFLEX else signs
-            pairs.append((pattern.replace("L", b), _compose(small[b].upper(), read)))
-    pairs += [(b + signs, _compose(small[b], signs)) for signs, letters in _SMALL_ACCENT for b in letters]
-    pairs += list(_SMALL_RHO.items())
-    pairs.append((")", _APOSTROPHE))
-    pairs.append(("A'", _compose("α", "'")))
-    # Needed for the way back only.
-    pairs.append(("S", "ς"))
-    pairs += [(b + "/", _compose(small[b], "/", oxia=False)) for b in "EAHOIUW"]
-    return tuple(pairs)
+def _oxia() -> dict[str, str]:
+    """Letters with an acute alone: the code point of the Greek Extended block for the one that composition gives."""
+    extended = (chr(c) for c in range(0x1F70, 0x1FFF))
+    return {unicodedata.normalize("NFC", c): c for c in extended if len(unicodedata.decomposition(c).split()) == 1 and unicodedata.category(c) == "Ll"}
 
 
-@lru_cache(maxsize=1)
-def _to_greek() -> tuple[tuple[str, str], ...]:
-    return tuple(sorted(table(), key=lambda pair: -len(pair[0])))
+def _greek(letter: str, signs: str, capital: bool) -> str:
+    greek = LETTERS[letter].upper() if capital else LETTERS[letter]
+    composed = unicodedata.normalize("NFC", greek + "".join(SIGNS[s] for s in sorted(set(signs), key=_ORDER.index)))
+    return _oxia().get(composed, composed)
 
 
-@lru_cache(maxsize=1)
-def _to_beta() -> dict[int, str]:
-    first: dict[int, str] = {}
-    for beta, greek in table():
-        first.setdefault(ord(greek), beta)
-    return first
+def _read(found: re.Match) -> str:
+    star, before, letter, after = found.groups()
+    if letter not in LETTERS:
+        return star + before + letter + after
+    # Signs in front belong to a capital; in front of a small letter they have no letter.
+    own, front = (before + after, "") if star else (after, before)
+    worn = "".join(s for s in own if letter in _BEARERS[s])
+    left = "".join(s for s in own if letter not in _BEARERS[s])
+    return (front + _greek(letter, worn, bool(star)) + left).replace(")", APOSTROPHE)
 
 
 def convert(text: str) -> str:
-    """Replacement step for one text; final sigmas come after."""
-    text = text.upper()
-    for beta, greek in _to_greek():
-        if beta in text:
-            text = text.replace(beta, greek)
-    return text
+    """Conversion of one text but for final sigmas."""
+    # Capitals may also be written with signs in front of the asterisk.
+    upper = re.sub(r"([)(+'\\/=|]+)\*(?=[A-Z])", r"*\1", text.upper())
+    return _MARKED.sub(_read, upper).replace(")", APOSTROPHE)
 
 
 def convert_with_sigmas(text: str) -> str:
@@ -111,6 +79,21 @@ def convert_with_sigmas(text: str) -> str:
     return re.sub(r"σ(?!\w)", "ς", convert(text))
 
 
+@lru_cache(maxsize=65536)
+def _written(greek: str) -> str:
+    """Beta code of one character: letter and signs, the asterisk and the signs of a capital in front."""
+    if greek == APOSTROPHE:
+        return ")"
+    base, *marks = unicodedata.normalize("NFD", greek)
+    letters = {v: k for k, v in LETTERS.items()} | {"ς": "S"}
+    signs = {v: k for k, v in SIGNS.items()}
+    letter = letters.get(base.lower())
+    if letter is None or any(m not in signs for m in marks):
+        return greek
+    written = "".join(sorted((signs[m] for m in marks), key=_ORDER.index))
+    return letter + written if base in letters else "*" + written + letter
+
+
 @F.pandas_udf(T.StringType())
 def _beta_to_greek(values: pd.Series) -> pd.Series:
     return values.map(convert, na_action="ignore")
@@ -118,8 +101,7 @@ def _beta_to_greek(values: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.StringType())
 def _greek_to_beta(values: pd.Series) -> pd.Series:
-    mapping = _to_beta()
-    return values.map(lambda s: s.translate(mapping), na_action="ignore")
+    return values.map(lambda s: "".join(map(_written, s)), na_action="ignore")
 
 
 def fix_final_sigma(text: Column) -> Column:
@@ -128,7 +110,7 @@ def fix_final_sigma(text: Column) -> Column:
 
 
 def beta_to_unicode(text: Column) -> Column:
-    """Longest entries first, each replaced throughout the upper-cased text; then final sigmas."""
+    """The upper-cased text letter by letter with its signs; then final sigmas."""
     return fix_final_sigma(_beta_to_greek(text))
 
 

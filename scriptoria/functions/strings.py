@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -103,11 +102,6 @@ def wildcard_pattern(wildcard: Column) -> Column:
     return F.concat(F.lit("^"), F.array_join(pieces, ""))
 
 
-def wildcard_to_regex(wildcard: str) -> str:
-    """The same for one literal on the driver."""
-    return "^" + "".join(".*" + re.escape(piece) for piece in wildcard.split("*"))
-
-
 def clean_form(form: Column) -> Column:
     """A word form of the two-line records: no leading ``!``, trimmed."""
     return strip(F.regexp_replace(form, r"^!", ""))
@@ -158,4 +152,4 @@ def add_space(text: Column) -> Column:
 def repair_book_label(text: Column) -> Column:
     """Undo the Greek spelling of "book" and capitalise."""
     fixed = F.replace(text, F.lit("βοοκ"), F.lit("book"))
-    return F.concat(F.upper(F.substring(fixed, 1, 1)), F.lower(F.substring(fixed, 2, 2**30)))
+    return F.concat(F.upper(F.substring(fixed, 1, 1)), F.lower(F.substring(fixed, F.lit(2), F.length(fixed))))

@@ -10,7 +10,6 @@ from scriptoria.operators.ordered import first_per_key
 
 # --- fixed values -----------------------------------------------------------
 NUMERALS = {"1": "I", "2": "II", "3": "III", "4": "IV", "5": "V"}
-MAX_PARTS = 5
 # ----------------------------------------------------------------------------
 
 
@@ -56,16 +55,15 @@ def _path_key(path: Column) -> Column:
 def candidates(parts: Column) -> Column:
     """Readings of citation parts in order of preference: ``array<struct<priority, path, verse>>``.
 
-    First all of the first four parts name divisions (a fifth is the verse),
-    then the last part is the verse.  Each reading is tried as written and with
-    the other style of book numbers.
+    First all parts name divisions, then the last one is the verse, however
+    many there are.  Each reading is tried as written and with the other style
+    of book numbers.
     """
     size = F.size(parts)
-    divisions = F.slice(parts, 1, F.least(size, F.lit(4)))
-    shorter = F.slice(divisions, 1, F.greatest(F.size(divisions) - 1, F.lit(0)))
+    shorter = F.slice(parts, 1, F.greatest(size - 1, F.lit(0)))
     plain = F.array(
-        F.struct(F.lit(0).alias("rank"), divisions.alias("path"), F.get(parts, F.lit(4)).alias("verse")),
-        F.struct(F.lit(2).alias("rank"), shorter.alias("path"), F.get(divisions, F.size(divisions) - 1).alias("verse")),
+        F.struct(F.lit(0).alias("rank"), parts.alias("path"), F.lit(None).cast("string").alias("verse")),
+        F.struct(F.lit(2).alias("rank"), shorter.alias("path"), F.get(parts, size - 1).alias("verse")),
     )
 
     def other_style(path: Column) -> Column:
@@ -113,20 +111,19 @@ def resolve_citations(citations: DataFrame, divisions: DataFrame) -> DataFrame:
     spaced = (
         divisions.where(F.col("descriptor").contains(" ")).select("work_slug", "descriptor").distinct()
     )
-    # All pieces of a reference that start and end at a word or sign: an equi join finds the descriptors.
+    # A descriptor is looked up by its first word or sign and must go on as the reference does, up to a sign or the end.
     signs = F.regexp_extract_all("reference", F.lit("[^ .:]+|[ .:]"), F.lit(0))
-    pieces = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), F.size("__signs")),
-            lambda i: F.transform(
-                F.sequence(i, F.size("__signs")), lambda j: F.array_join(F.slice("__signs", i, j - i + 1), "")
-            ),
-        )
+    head = F.regexp_extract("descriptor", "^([^ .:]+|[ .:])", 1)
+    at = citations.where(F.length("reference") > 0).withColumn("__signs", signs).select(
+        "citation_id", "work_slug", "__signs", F.posexplode("__signs").alias("__at", "__head")
     )
+    rest = F.array_join(F.slice("__signs", F.col("__at") + 1, F.greatest(F.size("__signs"), F.lit(1))), "")
+    after = F.substring(F.col("__rest"), F.length("descriptor") + 1, F.lit(1))
     named = (
-        citations.where(F.length("reference") > 0).withColumn("__signs", signs)
-        .select("citation_id", "work_slug", F.explode(F.array_distinct(F.filter(pieces, lambda p: p.contains(" ")))).alias("descriptor"))
-        .join(spaced, ["work_slug", "descriptor"])
+        at.join(spaced.withColumn("__head", head), ["work_slug", "__head"])
+        .withColumn("__rest", rest)
+        .where(F.col("__rest").startswith(F.col("descriptor")) & (after.isin("", " ", ".", ":") | F.col("descriptor").rlike("[ .:]$")))
+        .select("citation_id", "work_slug", "descriptor").distinct()
         .withColumn("__slug", slugify(F.col("descriptor")))
         .groupBy("citation_id")
         .agg(F.sort_array(F.collect_set(F.struct(F.length("descriptor").alias("n"), "descriptor", F.col("__slug").alias("slug"))), asc=False).alias("__named"))
@@ -141,7 +138,7 @@ def resolve_citations(citations: DataFrame, divisions: DataFrame) -> DataFrame:
         def named_by(part: Column) -> Column:
             return F.get(F.filter("__named", lambda d: d["slug"] == part), F.lit(0))["descriptor"]
 
-        return F.slice(F.transform(F.split("__escaped", pattern), lambda p: F.coalesce(named_by(p), p)), 1, MAX_PARTS)
+        return F.transform(F.split("__escaped", pattern), lambda p: F.coalesce(named_by(p), p))
 
     both = prepared.select(
         "citation_id", "work_slug",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_DEPTH = 6  # citations name at most five levels
+from scriptoria.session import cut_lineage
 
 
 def division_label(title: Column, kind: Column, descriptor: Column, sequence_number: Column) -> Column:
@@ -18,49 +18,37 @@ def division_label(title: Column, kind: Column, descriptor: Column, sequence_num
     )
 
 
-def with_ancestors(divisions: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def with_ancestors(divisions: DataFrame) -> DataFrame:
     """Add ``ancestor_ids``, ``path`` (descriptors) and ``title_path`` (labels), root first.
 
     Expects division_id, parent_id, descriptor, title, type, sequence_number.
-    The chain is climbed level by level, for rows that still have a parent
-    above; parents are a small, distinct subset of the divisions, so each step
-    is a join of the shrinking open rows with the distinct parents.
+    Each round puts the chain of the highest known ancestor in front, so the
+    known part doubles and a tree of depth d takes log2(d) rounds; a round is
+    stored.  A parent that is no row ends the chain.  A cycle is an error.
     """
     label = division_label(F.col("title"), F.col("type"), F.col("descriptor"), F.col("sequence_number"))
-    chain = divisions.select(
-        F.col("division_id"),
-        F.col("parent_id").alias("__up"),
-        F.array(F.struct(F.col("division_id").alias("id"), F.col("descriptor").alias("d"), label.alias("l"))).alias(
-            "__chain"
-        ),
-    )
-    used = divisions.where(F.col("parent_id").isNotNull()).select(F.col("parent_id").alias("__pid")).distinct()
-    parents = divisions.join(used, F.col("division_id") == F.col("__pid"), "left_semi").select(
-        F.col("division_id").alias("__pid"),
-        F.col("parent_id").alias("__ppid"),
-        F.struct(F.col("division_id").alias("id"), F.col("descriptor").alias("d"), label.alias("l")).alias("__link"),
-    )
-    for _ in range(max_depth - 1):
-        chain = (
-            chain.join(parents, F.col("__up") == F.col("__pid"), "left")
-            .select(
-                "division_id",
-                F.col("__ppid").alias("__up"),
-                F.when(F.col("__link").isNotNull(), F.concat(F.array("__link"), F.col("__chain")))
-                .otherwise(F.col("__chain"))
-                .alias("__chain"),
-            )
-        )
-    chain = chain.select(
+    link = F.struct(F.col("division_id").alias("id"), F.col("descriptor").alias("d"), label.alias("l"))
+    rows = divisions.select("division_id", F.col("parent_id").alias("__up"), F.array(link).alias("__chain"))
+    climbed = 1
+    while True:
+        above = rows.select(F.col("division_id").alias("__pid"), F.col("__up").alias("__next"), F.col("__chain").alias("__above"))
+        joined = rows.join(above, F.col("__up") == F.col("__pid"), "left")
+        chain = F.when(F.col("__above").isNull(), F.col("__chain")).otherwise(F.concat("__above", "__chain"))
+        rows = cut_lineage(joined.select("division_id", F.col("__next").alias("__up"), chain.alias("__chain")))
+        climbed *= 2
+        if not rows.where(F.col("__up").isNotNull()).limit(1).count():
+            break
+        # A chain holds each division once: one that is longer than the table runs in a circle.
+        if climbed > rows.count():
+            raise ValueError("a division is its own ancestor")
+    chains = rows.select(
         "division_id",
-        F.when(F.col("__up").isNotNull(), F.raise_error(F.lit(f"division tree deeper than {max_depth}")).cast("array<bigint>"))
-        .otherwise(F.transform("__chain", lambda c: c["id"]))
-        .alias("ancestor_ids"),
+        F.transform("__chain", lambda c: c["id"]).alias("ancestor_ids"),
         F.transform("__chain", lambda c: c["d"]).alias("path"),
         F.transform("__chain", lambda c: c["l"]).alias("title_path"),
     )
     keep = [c for c in divisions.columns if c not in ("ancestor_ids", "path", "title_path")]
-    return divisions.select(*keep).join(chain, "division_id")
+    return divisions.select(*keep).join(chains, "division_id")
 
 
 def descendants(divisions: DataFrame, division_id: int | Column, include_self: bool = False) -> DataFrame:

@@ -20,7 +20,6 @@ from scriptoria.functions.tokens import FIELD_ANALYSERS, analyse
 from scriptoria.operators.ordered import number_rows
 from scriptoria.schemas import CLAUSES
 
-DEFAULT_STATS_LIMIT = 2000
 _BETA_SIGNS = r"[\/()*=&+|]"
 
 

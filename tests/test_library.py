@@ -43,13 +43,26 @@ def test_citations(spark):
     }
 
 
-def test_tree_deeper_than_allowed_fails(spark):
-    chain = spark.createDataFrame([(i, i - 1 if i else None, str(i), i) for i in range(5)], "division_id long, parent_id long, descriptor string, sequence_number long").withColumns(
-        {"title": F.lit(None).cast("string"), "type": F.lit(None).cast("string")}
+def _chain(spark, parents):
+    return spark.createDataFrame([(i, p, str(i), i) for i, p in parents], "division_id long, parent_id long, descriptor string, sequence_number long").withColumns(
+        {"title": F.lit(None).cast("string"), "type": F.lit(None).cast("string"), "work_slug": F.lit("w")}
     )
-    assert max(len(r.path) for r in H.with_ancestors(chain, 5).collect()) == 5
-    with pytest.raises(Exception, match="deeper"):
-        H.with_ancestors(chain, 3).collect()
+
+
+def test_trees_of_any_depth(spark):
+    tree = H.with_ancestors(_chain(spark, [(i, i - 1 if i else None) for i in range(37)] + [(99, 98)]))
+    paths = {r.division_id: r.path for r in tree.collect()}
+    assert paths == {i: [str(k) for k in range(i + 1)] for i in range(37)} | {99: ["99"]}
+    with pytest.raises(ValueError, match="own ancestor"):
+        H.with_ancestors(_chain(spark, [(1, 3), (2, 1), (3, 2), (4, None)]))
+
+
+def test_citations_of_any_depth(spark):
+    tree = H.with_ancestors(_chain(spark, [(i, i - 1 if i else None) for i in range(9)]))
+    asked = [" ".join(str(k) for k in range(n)) for n in range(1, 10)] + ["0.1.2.3.4.5.6:77", "0 1 2 3 77", "0 1 2 3 4 9 9"]
+    cited = spark.createDataFrame([(i, "w", r) for i, r in enumerate(asked)], "citation_id long, work_slug string, reference string")
+    got = {asked[r.citation_id]: (r.division_id, r.verse) for r in C.resolve_citations(cited, tree).collect()}
+    assert got == {a: (k, None) for k, a in enumerate(asked[:9])} | {"0.1.2.3.4.5.6:77": (6, "77"), "0 1 2 3 77": (3, "77")}
 
 
 def test_aliases(spark):
