@@ -215,13 +215,13 @@ def _hidden(node) -> bool:
 
 @F.pandas_udf(T.StringType())
 def prune_hidden(xml: pd.Series) -> pd.Series:
-    """XML without its hidden ``sup`` and ``span`` sub-trees; NULL when it is not well formed."""
+    """XML without its hidden ``sup`` and ``span`` sub-trees; what is not well formed comes back unchanged."""
 
     def one(x):
         try:
             document = minidom.parseString(x.encode("utf-8"))
         except ExpatError:
-            return None
+            return x
         stack = [document.documentElement]
         while stack:
             node = stack.pop()

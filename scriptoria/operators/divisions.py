@@ -96,13 +96,16 @@ def default_descriptors(divisions: DataFrame, chunk: Column | None = None) -> Da
     return numbered.withColumn("descriptor", F.coalesce("descriptor", F.col("__nth").cast("string"))).drop("__nth")
 
 
-def parents_by_level(divisions: DataFrame, group: str, order: str, max_level: int, chunk: Column | None = None) -> DataFrame:
+def parents_by_level(divisions: DataFrame, group: str, order: str, chunk: Column | None = None) -> DataFrame:
     """Parent: the nearest earlier division of a smaller level.
 
-    One carried value per level; the parent is the latest among the levels
-    above.  Adds ``parent_order`` (order value of the parent, or NULL).
+    One carried value for each level there is; the parent is the latest among
+    the levels above.  Adds ``parent_order`` (order value of the parent, or NULL).
     """
-    seen = {f"__l{k}": F.when(F.col("level") == k, F.col(order)) for k in range(max_level)}
+    levels = sorted(r["level"] for r in divisions.select("level").distinct().collect() if r["level"] is not None)
+    if not levels:
+        return divisions.withColumn("parent_order", F.lit(None).cast(divisions.schema[order].dataType))
+    seen = {f"__l{k}": F.when(F.col("level") == k, F.col(order)) for k in levels}
     carried = carry(divisions, [group], order, seen, chunk=chunk)
-    above = F.array(*[F.when(F.col("level") > k, F.col(f"__l{k}")) for k in range(max_level)])
+    above = F.array(*[F.when(F.col("level") > k, F.col(f"__l{k}")) for k in levels])
     return carried.withColumn("parent_order", F.array_max(above)).drop(*seen)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from scriptoria.functions.betacode import beta_to_unicode
 from scriptoria.functions.strings import person_surname, slugify, wildcard_pattern
 from scriptoria.operators.ordered import DEFAULT_WIDTH, by_width, first_per_key, running_sum
+from scriptoria.session import cut_lineage
 
 Library = dict[str, DataFrame]
 TRANSFORMS: dict[str, Callable[[Library, DataFrame], Library]] = {}
@@ -69,7 +70,23 @@ def normalise_rules(rules: DataFrame) -> DataFrame:
     )
 
 
-MAX_RULES = 10_000
+# Rules that no exact value selects are looked up by every file, in so many groups of files.
+_OPEN_GROUPS = 64
+
+
+def _filed_under(rules: DataFrame) -> DataFrame:
+    """Each rule under the values of one column it asks for exactly; patterns and empty rules under every group of files."""
+    pairs = lambda kind, values: F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+    everywhere = F.transform(F.sequence(F.lit(0), F.lit(_OPEN_GROUPS - 1)), lambda k: k.cast("string"))
+    keys = (
+        F.when(F.col("file_name").isNotNull() & ~F.col("file_name").contains("*"), pairs("file_name", F.array("file_name")))
+        .when(F.col("title").isNotNull(), pairs("title", F.col("title")))
+        .when(F.col("author").isNotNull(), pairs("author", F.array("author")))
+        .when(F.col("editor").isNotNull(), pairs("editor", F.col("editor")))
+        .when(F.col("language").isNotNull(), pairs("language", F.array("language")))
+        .otherwise(pairs("any", everywhere))
+    )
+    return rules.select(F.struct(*rules.columns).alias("__r"), F.explode(F.array_distinct(keys)).alias("__key"))
 
 
 def matched_rules(files: DataFrame, rules: DataFrame) -> DataFrame:
@@ -77,25 +94,10 @@ def matched_rules(files: DataFrame, rules: DataFrame) -> DataFrame:
 
     ``files``: file_id, author, title, language, file_name, editor.  A NULL
     rule column matches anything; titles and editors match any member; a file
-    name with ``*`` is a pattern.  The rules are folded to one list, a scalar
-    subquery, which is searched inside each file's row: no file is ever paired
-    with a rule it does not match.  The fold is refused above MAX_RULES rules.
+    name with ``*`` is a pattern.  A file meets the rules that are filed under
+    one of its own values, and those that ask for no exact value; of the ones
+    it fits the first counts.
     """
-    folded = rules.agg(
-        F.array_sort(
-            F.collect_list(
-                F.struct(
-                    "rule_pos", "author", "editor", "title", "language", "should_import", "import_parameters",
-                    "file_name",
-                    F.when(F.col("file_name").contains("*"), wildcard_pattern(F.col("file_name"))).alias("pattern"),
-                )
-            )
-        ).alias("__rules")
-    ).select(
-        F.when(F.size("__rules") <= MAX_RULES, F.col("__rules"))
-        .otherwise(F.raise_error(F.lit(f"more than {MAX_RULES} policy rules")))
-        .alias("__rules")
-    )
 
     def fits(want: Column, have: Column) -> Column:
         return want.isNull() | F.coalesce(want == have, F.lit(False))
@@ -103,27 +105,24 @@ def matched_rules(files: DataFrame, rules: DataFrame) -> DataFrame:
     def among(want: Column, have: Column) -> Column:
         return want.isNull() | F.coalesce(F.array_contains(want, have), F.lit(False))
 
-    matching = F.filter(
-        "__rules",
-        lambda r: fits(r["author"], F.col("author"))
-        & among(r["editor"], F.col("editor"))
-        & among(r["title"], F.col("title"))
-        & fits(r["language"], F.col("language"))
-        & F.when(r["pattern"].isNotNull(), F.coalesce(F.rlike(F.col("file_name"), r["pattern"]), F.lit(False))).otherwise(
-            fits(r["file_name"], F.col("file_name"))
-        ),
+    own = [F.struct(F.lit(c).alias("kind"), F.col(c).alias("value")) for c in ("file_name", "title", "author", "editor", "language")]
+    group = F.pmod(F.xxhash64("file_id"), F.lit(_OPEN_GROUPS)).cast("string")
+    keyed = files.select(
+        "file_id", "author", "title", "language", "file_name", "editor",
+        F.explode(F.array(*own, F.struct(F.lit("any").alias("kind"), group.alias("value")))).alias("__key"),
     )
-    first = F.get(matching, F.lit(0))
-    return (
-        files.withColumn("__rules", folded.scalar())
-        .withColumn("__rule", first)
-        .select(
-            *files.columns,
-            F.col("__rule.rule_pos").alias("rule_pos"),
-            F.col("__rule.should_import").alias("should_import"),
-            F.col("__rule.import_parameters").alias("import_parameters"),
-        )
+    r = lambda c: F.col(f"__r.{c}")
+    name = F.when(
+        r("file_name").contains("*"), F.coalesce(F.rlike(F.col("file_name"), wildcard_pattern(r("file_name"))), F.lit(False))
+    ).otherwise(fits(r("file_name"), F.col("file_name")))
+    matching = keyed.join(_filed_under(rules), "__key").where(
+        fits(r("author"), F.col("author")) & among(r("editor"), F.col("editor")) & among(r("title"), F.col("title"))
+        & fits(r("language"), F.col("language")) & name
+    )
+    first = matching.groupBy("file_id").agg(
+        F.min(F.struct(r("rule_pos").alias("rule_pos"), r("should_import").alias("should_import"), r("import_parameters").alias("import_parameters"))).alias("__first")
     )
+    return files.join(first, "file_id", "left").select(*files.columns, "__first.rule_pos", "__first.should_import", "__first.import_parameters")
 
 
 def accepted_files(files: DataFrame, rules: DataFrame) -> DataFrame:
@@ -198,10 +197,17 @@ def update_title_slug(library: Library, arguments: DataFrame) -> Library:
     candidates = asked.select("work_id", slugify(F.col("title")).alias("__base"), F.posexplode(fields).alias("__pos", "f")).select(
         "work_id", "__pos", F.concat("__base", suffix).alias("title_slug")
     )
-    free = candidates.join(works.select("title_slug"), "title_slug", "left_anti")
-    chosen = first_per_key(free, ["work_id"], ["__pos"], ["title_slug"]).withColumnRenamed("title_slug", "__new")
-    # Two works that ask for the same slug: the lower id gets it.
-    winners = chosen.groupBy("__new").agg(F.min("work_id").alias("work_id"))
+    # Works in order of their ids take the first free candidate: each proposes its first, a slug keeps the lowest id,
+    # and who is turned down goes on to the next, until nobody is.
+    open_ = candidates.join(works.select("title_slug"), "title_slug", "left_anti")
+    while True:
+        open_ = cut_lineage(open_)
+        proposed = first_per_key(open_, ["work_id"], ["__pos"], ["title_slug"])
+        winners = proposed.groupBy("title_slug").agg(F.min("work_id").alias("work_id")).withColumnRenamed("title_slug", "__new")
+        turned_down = proposed.join(winners.select(F.col("__new").alias("title_slug"), F.col("work_id").alias("__holder")), "title_slug").where("work_id <> __holder")
+        if not turned_down.limit(1).count():
+            break
+        open_ = open_.join(turned_down.select("work_id", "title_slug"), ["work_id", "title_slug"], "left_anti")
     renamed = works.join(winners, "work_id", "left").withColumn("title_slug", F.coalesce("__new", "title_slug")).drop("__new")
     return {**library, "works": renamed.select(*works.columns)}
 

@@ -166,7 +166,7 @@ SELECT g.division_id, p.sequence_number AS parent_order FROM geography g LEFT JO
 def parents_by_level(spark, sf_dir):
     """The tree's parents found again from levels and order alone."""
     tree = A.numbered_geography(spark, sf_dir).drop("parent_id")
-    return D.parents_by_level(tree, "work_slug", "sequence_number", 4).select("division_id", "parent_order")
+    return D.parents_by_level(tree, "work_slug", "sequence_number").select("division_id", "parent_order")
 
 
 @query(

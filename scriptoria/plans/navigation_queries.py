@@ -200,6 +200,42 @@ def resolve_citation_strings(spark, sf_dir):
     return C.resolve_citations(cited, _tree(spark, sf_dir))
 
 
+_CHAIN = """chain AS (
+  SELECT p_partkey AS id, p_partkey - (p_partkey - 1) % 9 AS top, list_transform(range(p_partkey - (p_partkey - 1) % 9, p_partkey + 1), lambda x: 'n' || x) AS path FROM part)"""
+
+
+def _chain(spark, sf_dir):
+    """Chains of nine divisions, one below the other."""
+    key = F.col("p_partkey")
+    return H.with_ancestors(
+        A.table(spark, sf_dir, "part").select(
+            key.alias("division_id"), F.when((key - 1) % 9 != 0, key - 1).alias("parent_id"), F.concat(F.lit("n"), key.cast("string")).alias("descriptor"),
+            F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("type"), key.alias("sequence_number"), F.lit("chain").alias("work_slug"),
+        )
+    )
+
+
+@query("deep_tree_paths", "H1 H2 F15 F16 J8", with_(_CHAIN) + "SELECT id AS division_id, array_to_string(path, '/') AS path, top AS root_id, CAST(len(path) AS INTEGER) AS depth FROM chain")
+def deep_tree_paths(spark, sf_dir):
+    return _chain(spark, sf_dir).select(
+        "division_id", H.path_string(F.col("path")).alias("path"), F.get("ancestor_ids", F.lit(0)).alias("root_id"), F.size("ancestor_ids").alias("depth")
+    )
+
+
+@query(
+    "deep_citations", "F20 J8 J9",
+    with_(_CHAIN) + "SELECT id AS citation_id, id AS division_id, CASE WHEN id % 2 = 1 THEN '77' END AS verse FROM chain",
+)
+def deep_citations(spark, sf_dir):
+    """Citations of up to nine parts, every second one with a verse."""
+    tree = _chain(spark, sf_dir)
+    path = F.array_join("path", " ")
+    cited = tree.select(
+        F.col("division_id").alias("citation_id"), "work_slug", F.when(F.col("division_id") % 2 == 1, F.concat(path, F.lit(":77"))).otherwise(path).alias("reference")
+    )
+    return C.resolve_citations(cited, tree)
+
+
 @query(
     "book_number_styles", "F19",
     """SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, count(*) AS n,

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,11 +29,13 @@ def local_session(app: str = "scriptoria", cores: str = "8", **conf: str) -> Spa
         **_LOCAL_DEFAULTS,
         "spark.sql.shuffle.partitions": str(cores),
         "spark.driver.memory": "12g",
+        "scriptoria.scan.tasks": str(cores),
         **conf,
     }.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
@@ -60,10 +66,28 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Shuffle a scan that has fewer tasks than the session has cores.
+    """Deal a scan out to as many tasks as ``scriptoria.scan.tasks`` says; unset, as on a cluster, it stays as it is.
 
-    A small file with one row group is read by one task, and per-row work on
-    its texts would stay there.  A scan with enough tasks is left alone.
+    A local session sets it: a test table is one row group, which one task reads.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+    tasks = df.sparkSession.conf.get("scriptoria.scan.tasks", None)
+    return df.repartition(int(tasks), *keys) if tasks else df
+
+
+_SHIPPED = "_scriptoria_shipped"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each context, so that functions find it from any working directory."""
+    context = spark.sparkContext
+    if getattr(context, _SHIPPED, False):
+        return
+    package = Path(__file__).resolve().parent
+    folder = Path(tempfile.mkdtemp(prefix="scriptoria-"))
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = folder / f"{package.name}.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    setattr(context, _SHIPPED, True)

@@ -1,5 +1,6 @@
 """Citations, linkage, slugs, notes, exports, streaming."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -149,13 +150,57 @@ def test_notes(spark):
     assert (row.work, row.reference) == ("nt", "A 1:2, a 1")
 
 
+def test_contested_slugs_go_to_the_next_suffix(spark):
+    """Works in order of their ids take the first candidate that is free."""
+    wanted = {1: ["one", "two"], 2: ["one", "two"], 3: ["two", "three"], 4: ["one"], 5: ["zero", "three", "four"]}
+    works = spark.createDataFrame(
+        [(k, "A" if k != 9 else "B", f"old-{k}" if k != 9 else "a-zero", ["E"], "en") for k in (1, 2, 3, 4, 5, 9)],
+        "work_id long, title string, title_slug string, editors array<string>, language string",
+    )
+    asked = spark.createDataFrame(list(wanted.items()), "work_id long, additional_fields array<string>")
+    got = {r.work_id: r.title_slug for r in T.update_title_slug({"works": works}, asked)["works"].collect()}
+    taken = {"a-zero", *(f"old-{k}" for k in range(1, 6))}
+    expected = {9: "a-zero"}
+    for k in sorted(wanted):
+        free = next((f"a-{f}" for f in wanted[k] if f"a-{f}" not in taken), None)
+        expected[k] = free or f"old-{k}"
+        taken.add(expected[k])
+    assert got == expected
+
+
+def test_first_rule_among_many(spark):
+    rng = np.random.default_rng(2)
+    pick = lambda values: None if rng.random() < 0.5 else str(rng.choice(values))
+    names = ["a.xml", "b.xml", "ab.xml", "c"]
+    files = [(k, pick(["x", "y"]), pick(["t", "u"]), pick(["en", "gr"]), pick(names), pick(["e", "f"])) for k in range(80)]
+    many = lambda values: None if rng.random() < 0.6 else [str(v) for v in rng.choice(values, rng.integers(0, 3))]
+    rules = [(k, pick(["x", "y"]), many(["e", "f"]), many(["t", "u"]), pick([*names, "a*", "*b*"]), pick(["en"]), bool(k % 2), f"p{k}") for k in range(40)]
+    got = T.matched_rules(
+        spark.createDataFrame(files, "file_id long, author string, title string, language string, file_name string, editor string"),
+        spark.createDataFrame(rules, "rule_pos int, author string, editor array<string>, title array<string>, file_name string, language string, should_import boolean, import_parameters string"),
+    ).collect()
+
+    def named(want, have):
+        return want is None or have is not None and ((want.replace("*", "") in have) if "*" in want else want == have)
+
+    def first(f):
+        _, author, title, language, name, editor = f
+        fitting = (
+            r for r in rules
+            if r[1] in (None, author) and (r[2] is None or editor in r[2]) and (r[3] is None or title in r[3]) and named(r[4], name) and r[5] in (None, language)
+        )
+        return next(((r[0], r[6], r[7]) for r in fitting), (None, None, None))
+
+    assert {r.file_id: (r.rule_pos, r.should_import, r.import_parameters) for r in got} == {f[0]: first(f) for f in files}
+
+
 def test_repeated_batches_write_once(spark, tmp_path):
     root = str(tmp_path / "index")
     first = spark.createDataFrame([(1, "a", "en", "x y")], "verse_id long, work_slug string, language string, content string")
-    second = spark.createDataFrame([(1, "a", "en", "x y"), (2, "b", "en", "y")], first.schema)
+    second = spark.createDataFrame([(1, "a", "en", "x y"), (2, "b", "en", "y"), (3, "a", "en", "z")], first.schema)
     I.update_index(first, 0, root)
     for _ in range(2):
         I.update_index(second, 1, root)
     rows = I.read_index(spark, root).where("field = 'content'").collect()
-    assert sorted((r.work_slug, r.term, r.tf) for r in rows) == [("a", "x", 1), ("a", "y", 1), ("b", "y", 1)]
+    assert sorted((r.work_slug, r.term, r.tf) for r in rows) == [("a", "x", 1), ("a", "y", 1), ("a", "z", 1), ("b", "y", 1)]
     assert sorted(r.title_slug for r in I.read_aliases(spark, root).collect()) == ["a", "b"]
