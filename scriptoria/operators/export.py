@@ -67,11 +67,11 @@ def search_summary(totals: DataFrame, query_text: str, url: str | None = None) -
 
 
 def write_results_csv(rows: DataFrame, path: str) -> None:
-    rows.select(*RESULT_COLUMNS).write.mode("overwrite").option("header", True).csv(path)
+    rows.select(*RESULT_COLUMNS).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").option("header", True).option("quoteAll", False).csv(path)
+    rows.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def note_count(original_content: Column) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptoria.functions.normalize import indexed_plain_text, normalize
@@ -114,6 +114,11 @@ def write_postings(postings: DataFrame, path: str, partitions: int | None = None
     ranged.sortWithinPartitions(*keys).write.mode(mode).parquet(path)
 
 
+def read_postings(spark: SparkSession, path: str, field: str, terms: Sequence[str]) -> DataFrame:
+    """Entries of some terms of a stored index; the scan prunes by field and term."""
+    return spark.read.parquet(path).where((F.col("field") == field) & F.col("term").isin(list(terms)))
+
+
 def without_works(postings: DataFrame, work_slugs: DataFrame) -> DataFrame:
     """Postings without the given works (column ``work_slug``)."""
     return postings.join(work_slugs.select("work_slug").distinct(), "work_slug", "left_anti")

@@ -8,3 +8,4 @@ from scriptoria.plans import import_queries  # noqa: F401
 from scriptoria.plans import linkage_queries, notes_queries  # noqa: F401
 from scriptoria.plans import tei_queries  # noqa: F401
 from scriptoria.plans import streaming_queries  # noqa: F401
+from scriptoria.plans import storage_queries  # noqa: F401

@@ -201,7 +201,7 @@ def resolve_citation_strings(spark, sf_dir):
 
 
 _CHAIN = """chain AS (
-  SELECT p_partkey AS id, p_partkey - (p_partkey - 1) % 9 AS top, list_transform(range(p_partkey - (p_partkey - 1) % 9, p_partkey + 1), lambda x: 'n' || x) AS path FROM part)"""
+  SELECT p_partkey AS id, p_partkey - p_partkey % 9 AS top, list_transform(range(p_partkey - p_partkey % 9, p_partkey + 1), lambda x: 'n' || x) AS path FROM part)"""
 
 
 def _chain(spark, sf_dir):
@@ -209,7 +209,7 @@ def _chain(spark, sf_dir):
     key = F.col("p_partkey")
     return H.with_ancestors(
         A.table(spark, sf_dir, "part").select(
-            key.alias("division_id"), F.when((key - 1) % 9 != 0, key - 1).alias("parent_id"), F.concat(F.lit("n"), key.cast("string")).alias("descriptor"),
+            key.alias("division_id"), F.when(key % 9 != 0, key - 1).alias("parent_id"), F.concat(F.lit("n"), key.cast("string")).alias("descriptor"),
             F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("type"), key.alias("sequence_number"), F.lit("chain").alias("work_slug"),
         )
     )
