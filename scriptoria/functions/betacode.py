@@ -47,7 +47,8 @@ _ORDER = ")(+'\\/=|"
 def _oxia() -> dict[str, str]:
     """Letters with an acute alone: the code point of the Greek Extended block for the one that composition gives."""
     extended = (chr(c) for c in range(0x1F70, 0x1FFF))
-    return {unicodedata.normalize("NFC", c): c for c in extended if len(unicodedata.decomposition(c).split()) == 1 and unicodedata.category(c) == "Ll"}
+    single = (c for c in extended if len(unicodedata.decomposition(c).split()) == 1 and unicodedata.category(c) == "Ll")
+    return {unicodedata.normalize("NFC", c): c for c in single if "\u0301" in unicodedata.normalize("NFD", c)}
 
 
 def _greek(letter: str, signs: str, capital: bool) -> str:
