@@ -9,7 +9,7 @@ would move the corpus many times over, so the symbols of a recompression
    reach lies inside it: those of three words or more, else those of two, else
    the window itself.  The same window has the same tests wherever it stands,
    so it can repeat only if all its tests stand in a second document.
-2. The windows that pass are exchanged under 96 bits of a fingerprint of all
+2. The windows that pass are exchanged under 80 bits of a fingerprint of all
    their words, and the smallest id of each is looked up.
 3. Documents that hold a covered window lose the words under it.
 
@@ -75,14 +75,14 @@ class Slice:
         return np.cumsum(change)[:-1]
 
     def fingerprints(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """96 bits of each window that starts at ``at``."""
+        """80 bits of each window that starts at ``at``."""
         out = []
         for k in range(2):
             total = np.zeros(len(at), dtype=np.uint64)
             for j in range(self.window):
                 total = total * _POWERS[k] + self.numbers[at + j, k]
             out.append(mixed(total))
-        return out[0].astype(np.int64), (out[1] >> np.uint64(33)).astype(np.int32)
+        return out[0].astype(np.int64), (out[1] >> np.uint64(48)).astype(np.int64).astype(np.int16)
 
     def tests(self) -> tuple[np.ndarray, np.ndarray]:
         """(document, test) of all windows, each once."""
@@ -113,16 +113,12 @@ class Slice:
         return np.flatnonzero(self.valid & ~fails)
 
 
-def _digest(words: list[bytes]) -> bytes:
-    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+def _sequence(words: list[bytes]) -> np.ndarray:
+    """128 bits that stand for a document's word sequence, as two numbers."""
+    return np.frombuffer(hashlib.blake2b(b" ".join(words), digest_size=16).digest(), np.int64)
 
 
-def _tag(words: list[bytes]) -> int:
-    """31 bits that tell apart the texts of rows that repeat a doc_id."""
-    return int.from_bytes(_digest(words)[:4], "little") >> 1
-
-
-_TESTED = "doc_id bigint, tag bigint, s1 bigint, s2 bigint, alone array<bigint>, spoken array<bigint>, known array<bigint>"
+_TESTED = "doc_id bigint, s1 bigint, s2 bigint, alone array<bigint>, spoken array<bigint>, known array<bigint>"
 
 
 def _recompressed(documents: DataFrame, window: int) -> DataFrame:
@@ -133,10 +129,10 @@ def _recompressed(documents: DataFrame, window: int) -> DataFrame:
         ids = column_of(batch, "doc_id").to_pylist()
         texts = byte_texts(batch)
         slice_ = Slice(texts, numbers, window)
-        digests = [_digest(w) for w in slice_.words]
+        sequences = np.array([_sequence(w) for w in slice_.words]).reshape(-1, 2)
         # Of equal word sequences only the one with the smallest id can matter.
-        best: dict[bytes, tuple] = {}
-        for k, (d, i) in enumerate(zip(digests, ids)):
+        best: dict[tuple, tuple] = {}
+        for k, (d, i) in enumerate(zip(map(tuple, sequences.tolist()), ids)):
             if i is not None:
                 best[d] = min(best.get(d, (i, k)), (i, k))
         counts = np.zeros(len(ids), dtype=bool)
@@ -147,12 +143,8 @@ def _recompressed(documents: DataFrame, window: int) -> DataFrame:
         shared = many[inverse] > 1
         speaks = np.zeros(len(tests), dtype=bool)
         speaks[place] = True
-        pair = np.array([np.frombuffer(d, np.int64) for d in digests]).reshape(-1, 2)
         lists = [_lists(docs, tests, mask, len(ids)) for mask in (~shared, shared & speaks, shared)]
-        return {
-            "doc_id": ids, "tag": [_tag(w) for w in slice_.words], "s1": pair[:, 0], "s2": pair[:, 1],
-            "alone": lists[0], "spoken": lists[1], "known": lists[2],
-        }
+        return {"doc_id": ids, "s1": sequences[:, 0], "s2": sequences[:, 1], "alone": lists[0], "spoken": lists[1], "known": lists[2]}
 
     return map_slices(documents, _TESTED, run)
 
@@ -163,35 +155,40 @@ def _lists(docs: np.ndarray, values: np.ndarray, mask: np.ndarray, n: int) -> pa
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values[mask], pa.int64()))
 
 
-_WINDOWS = "k1 bigint, k2 int, doc_id bigint, place bigint, covered boolean"
+_WINDOWS = "k1 bigint, k2 smallint, doc_id bigint, place bigint"
+# Bits of a place that count words; above them stands which of the texts of a repeated doc_id it is.
+_PLACE_BITS = 40
+
+
+def _turn(twins: list[int] | None, words: list[bytes]) -> int:
+    """Which of the different texts under one doc_id this is; 0 where there is but one."""
+    return sorted(twins).index(int(_sequence(words)[0])) if twins else 0
 
 
 def _candidate_windows(rows: DataFrame, window: int) -> DataFrame:
-    """Windows that may repeat; ``covered`` where a document of the slice with a smaller id holds it too."""
+    """Windows that may repeat; the place is -1 - place where a document of the slice with a smaller id holds it too."""
     numbers = Numbers()
 
     def run(batch: pa.RecordBatch) -> dict | None:
+        batch = batch.filter(column_of(batch, "tests").is_valid())
         slice_ = Slice(byte_texts(batch), numbers, window)
-        tags = np.array([_tag(w) for w in slice_.words], dtype=np.int64)
-        copies = [t in (c or ()) for t, c in zip(tags.tolist(), column_of(batch, "copies").to_pylist())]
-        lists = [() if copy else known or () for copy, known in zip(copies, column_of(batch, "tests").to_pylist())]
+        lists = column_of(batch, "tests").to_pylist()
         docs = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
         at = slice_.candidates(docs, np.array([t for x in lists for t in x], dtype=np.int64))
         if not len(at):
             return None
-        ids = column_of(batch, "doc_id").fill_null(0).to_numpy(zero_copy_only=False)
+        turns = np.array([_turn(t, w) for t, w in zip(column_of(batch, "twins").to_pylist(), slice_.words)], dtype=np.int64)
         k1, k2 = slice_.fingerprints(at)
         doc = slice_.doc[at]
-        owner, place = ids[doc], (tags[doc] << 32) | (at - slice_.first[doc])
+        owner, place = column_of(batch, "doc_id").to_numpy()[doc], (turns[doc] << _PLACE_BITS) | (at - slice_.first[doc])
         # The first row of a window is that of the smallest id; it goes on, and so does any tie.
         order = np.lexsort((owner, k2, k1))
         k1, k2, owner, place = k1[order], k2[order], owner[order], place[order]
         new = np.append(True, (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]))
-        least = owner[np.flatnonzero(new)][np.cumsum(new) - 1]
-        covered = owner > least
+        covered = owner > owner[np.flatnonzero(new)][np.cumsum(new) - 1]
         # What needs no look-up takes a key of its own, lest it crowd the key of its window.
         k1 = np.where(covered, mixed((owner ^ (place << 20)).astype(np.uint64)).astype(np.int64), k1)
-        return {"k1": k1, "k2": k2, "doc_id": owner, "place": place, "covered": covered}
+        return {"k1": k1, "k2": k2, "doc_id": owner, "place": np.where(covered, -1 - place, place)}
 
     return map_slices(rows, _WINDOWS, run)
 
@@ -202,17 +199,16 @@ _KEPT = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, ke
 def _without_repeats(rows: DataFrame, window: int) -> DataFrame:
     def run(batch: pa.RecordBatch) -> dict:
         out = {name: [] for name in ("n_words", "n_removed", "kept_sha256", "kept_text")}
-        for text, places in zip(byte_texts(batch), column_of(batch, "places").to_pylist()):
+        for text, places, copies, twins in zip(byte_texts(batch), *(column_of(batch, c).to_pylist() for c in ("places", "copies", "twins"))):
             words = text.split() if text else []
             gone = np.zeros(len(words) + 1, dtype=np.int64)
-            if places:
-                tag = _tag(words)
-                if -1 - tag in places and len(words) >= window:
-                    gone[:1], gone[-1:] = 1, -1
-                else:
-                    at = np.array([p & 0xFFFFFFFF for p in places if p >= 0 and p >> 32 == tag], dtype=np.int64)
-                    np.add.at(gone, at, 1)
-                    np.add.at(gone, at + window, -1)
+            if copies and len(words) >= window and int(_sequence(words)[0]) in copies:
+                gone[0], gone[-1] = 1, -1
+            elif places:
+                at, turn = np.array(places, dtype=np.int64), _turn(twins, words)
+                at = at[at >> _PLACE_BITS == turn] & ((1 << _PLACE_BITS) - 1)
+                np.add.at(gone, at, 1)
+                np.add.at(gone, at + window, -1)
             kept = np.cumsum(gone)[:-1] == 0
             left = words if kept.all() else [w for w, k in zip(words, kept.tolist()) if k]
             joined = b" ".join(left)
@@ -236,29 +232,43 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW_WORDS) -> DataFram
     """
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     tested = cut_lineage(_recompressed(texts, window))
-    first = tested.groupBy("s1", "s2").agg(F.min("doc_id").alias("least"))
-    copies = tested.select("doc_id", "tag", "s1", "s2").join(first, ["s1", "s2"]).where("doc_id > least").select("doc_id", "tag")
-    said = tested.select(F.explode("alone").alias("test"), "doc_id").unionByName(
-        tested.select(F.explode("spoken").alias("test"), F.lit(None).cast("bigint").alias("doc_id"))
-    )
-    # A null id stands for two documents of one slice.
-    both = Window.partitionBy("test")
-    heard = said.withColumn("_n", F.sum(F.when(F.col("doc_id").isNull(), 2).otherwise(1)).over(both)).where("_n > 1 AND doc_id IS NOT NULL")
-    passed = heard.select("doc_id", "test").unionByName(tested.select("doc_id", F.explode("known").alias("test")))
+    ids = tested.select("doc_id", "s1", "s2")
+    first = ids.groupBy("s1", "s2").agg(F.min("doc_id").alias("least"))
+    copies = cut_lineage(ids.join(first, ["s1", "s2"]).where("doc_id > least").select("doc_id", "s1"))
+    own = tested.join(_broadcast_if_small(copies), ["doc_id", "s1"], "left_anti")
     nothing = F.lit(None).cast("bigint")
+    # Of two documents of one slice that share a test, one spoke; it may be a copy, so all that was spoken counts.
+    said = own.select(F.explode("alone").alias("test"), "doc_id").unionByName(tested.select(F.explode("spoken").alias("test"), nothing.alias("doc_id")))
+    heard = said.withColumn("_n", F.sum(F.when(F.col("doc_id").isNull(), 2).otherwise(1)).over(Window.partitionBy("test")))
+    passed = heard.where("_n > 1 AND doc_id IS NOT NULL").select("doc_id", "test").unionByName(own.select("doc_id", F.explode("known").alias("test")))
+    # Different texts under one doc_id.
+    repeated = ids.groupBy("doc_id").agg(F.min("s1").alias("a"), F.max("s1").alias("z")).where("a <> z").select("doc_id")
+    twins = ids.join(repeated, "doc_id", "left_semi").select("doc_id", F.col("s1").alias("twin")).distinct()
     marks = (
-        passed.withColumn("copy", nothing).unionByName(copies.select("doc_id", nothing.alias("test"), F.col("tag").alias("copy")))
-        .groupBy("doc_id").agg(F.collect_set("test").alias("tests"), F.collect_set("copy").alias("copies"))
+        passed.withColumn("twin", nothing).unionByName(twins.withColumn("test", nothing))
+        .groupBy("doc_id").agg(F.collect_set("test").alias("tests"), F.collect_set("twin").alias("twins"))
     )
     # Both joins keep all texts, so Spark exchanges the texts once for the two of them.
     windows = _candidate_windows(texts.join(marks, "doc_id", "left"), window)
     least = F.min("doc_id").over(Window.partitionBy("k1", "k2"))
-    places = windows.withColumn("_least", least).where("covered OR doc_id > _least").select("doc_id", "place")
-    gone = places.unionByName(copies.select("doc_id", (-1 - F.col("tag")).alias("place")))
-    gone = gone.groupBy("doc_id").agg(F.collect_set("place").alias("places"))
+    places = windows.withColumn("_least", least).where("place < 0 OR doc_id > _least")
+    places = places.select("doc_id", F.when(F.col("place") < 0, -1 - F.col("place")).otherwise(F.col("place")).alias("place"))
+    columns = ["place", "copy", "twin"]
+    wide = lambda df: df.select("doc_id", *(F.col(c) if c in df.columns else nothing.alias(c) for c in columns))
+    gone = wide(places).unionByName(wide(copies.withColumnRenamed("s1", "copy"))).unionByName(wide(twins))
+    gone = gone.groupBy("doc_id").agg(F.collect_set("place").alias("places"), F.collect_set("copy").alias("copies"), F.collect_set("twin").alias("twins"))
     return _without_repeats(texts.join(gone, "doc_id", "left"), window)
 
 
+# Rows of two numbers that may be broadcast: some 64 MB.
+_BROADCAST_ROWS = 2_000_000
+
+
+def _broadcast_if_small(df: DataFrame) -> DataFrame:
+    """A hint behind a count of the stored rows; beyond the bound Spark shuffles the join."""
+    return F.broadcast(df) if df.count() <= _BROADCAST_ROWS else df
+
+
 def op2_substring_dedup(spark, sf_dir):
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
 
