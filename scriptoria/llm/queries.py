@@ -1,38 +1,41 @@
-"""The queries of this subpackage and the SQL that must give the same rows."""
+"""The queries of this subpackage and the SQL that must give the same rows.
+
+Language ID and quality grades are trained models: held-out accuracy stands in for SQL.
+"""
 
 from __future__ import annotations
 
-from scriptoria.llm.exact_dedup import OP10_SQL, op10_exact_dedup
-from scriptoria.llm.sharding import OP6_SQL, op6_sharding
-from scriptoria.llm.url_filter import OP1_SQL, op1_url_filter
+from scriptoria.llm.chat_format import OP5_SQL, op5_chat_format
 from scriptoria.llm.decontaminate import OP3_SQL, op3_decontamination
+from scriptoria.llm.exact_dedup import OP10_SQL, op10_exact_dedup
 from scriptoria.llm.langid import op4_language_id
-from scriptoria.llm.quality import op9_quality_classifier
-from scriptoria.llm.chat_format import OP5_SQL, op5_chat_format
+from scriptoria.llm.minhash import OP7_SQL, op7_minhash_near_dedup
 from scriptoria.llm.mixing import OP8_SQL, op8_mixing
+from scriptoria.llm.quality import op9_quality_classifier
+from scriptoria.llm.sharding import OP6_SQL, op6_sharding
 from scriptoria.llm.substring_dedup import OP2_SQL, op2_substring_dedup
-from scriptoria.llm.minhash import OP7_SQL, op7_minhash_near_dedup
+from scriptoria.llm.url_filter import OP1_SQL, op1_url_filter
 
 QUERIES = {
-    "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op1_url_filter": op1_url_filter,
     "op2_substring_dedup": op2_substring_dedup,
-    "op8_mixing": op8_mixing,
-    "op5_chat_format": op5_chat_format,
-    "op4_language_id": op4_language_id,
-    "op9_quality_classifier": op9_quality_classifier,
     "op3_decontamination": op3_decontamination,
-    "op1_url_filter": op1_url_filter,
+    "op4_language_id": op4_language_id,
+    "op5_chat_format": op5_chat_format,
     "op6_sharding": op6_sharding,
+    "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op8_mixing": op8_mixing,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 SQL = {
-    "op7_minhash_near_dedup": OP7_SQL,
+    "op1_url_filter": OP1_SQL,
     "op2_substring_dedup": OP2_SQL,
-    "op8_mixing": OP8_SQL,
-    "op5_chat_format": OP5_SQL,
     "op3_decontamination": OP3_SQL,
-    "op1_url_filter": OP1_SQL,
+    "op5_chat_format": OP5_SQL,
     "op6_sharding": OP6_SQL,
+    "op7_minhash_near_dedup": OP7_SQL,
+    "op8_mixing": OP8_SQL,
     "op10_exact_dedup": OP10_SQL,
 }
