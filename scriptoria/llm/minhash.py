@@ -5,17 +5,21 @@ collections, A and B, hold ``width`` groups of ``depth`` minhashes each; a table
 of the index takes one group of A and one of B as its key, so 2 x width groups
 give width x width tables, and minhashes are computed for the root of what as
 many independent tables would need.  At a similarity of 0.8 a pair misses all
-tables with a probability below 2e-5, far less above it.
+tables with a probability of 2e-6, far less above it.
 
 Keys are formed only where they can meet: two documents share the table (i, j)
 only if they share group i of A and group j of B, so a first exchange finds, for
 each document, the groups that any other document shares; the table keys
 are the pairs of these.
 
-Within a table's bucket no pairs are listed.  Each member is compared with the
-bucket's centre, and linked ones form components.  Only where a comparison has
-failed, the member is compared with the bucket's members of other components,
-so no link between two components is lost.  Equal sets are one node all along.
+Within a table's bucket no pairs are listed.  Its centre is the member whose
+groups most others share - the original rather than one of its variants - and
+each other member is compared with it; linked ones form components.  Only where
+a comparison has failed, all that were compared with that centre meet once more by the rarest
+shingles of their sets - an exact filter that passes every pair that can be
+linked - and pairs of different components are compared, so no link between two
+components is lost.  Equal sets are one node all along.  A centre's members are compared as a stream that holds one
+set; a centre with many is dealt out to several tasks.
 """
 
 from __future__ import annotations
@@ -34,7 +38,10 @@ from scriptoria.session import cut_lineage
 SHINGLE_WORDS = 2
 # Link where 100 * intersection >= PERCENT * union.
 PERCENT = 80
-WIDTH, DEPTH = 20, 3
+WIDTH, DEPTH = 26, 4
+# Members of one centre that one task compares, and ids that may be broadcast (some 64 MB).
+CENTRE_ROWS = 500
+BROADCAST_ROWS = 2_000_000
 
 _rng = np.random.default_rng(20_251_201)
 _SCALE = _rng.integers(1, 1 << 63, size=2 * WIDTH * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -74,8 +81,8 @@ def shingle_sets(texts: list[bytes | None], numbers: Numbers, shingle_words: int
 def signature(shingles: np.ndarray) -> np.ndarray:
     """The minhashes of a set that is not empty."""
     least = np.full(len(_SCALE), np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(shingles), 2048):
-        part = shingles[at : at + 2048, None] * _SCALE[None, :] + _SHIFT[None, :]
+    for at in range(0, len(shingles), 256):
+        part = shingles[at : at + 256, None] * _SCALE[None, :] + _SHIFT[None, :]
         least = np.minimum(least, part.min(axis=0))
     return least
 
@@ -110,14 +117,20 @@ def _sets(documents: DataFrame, shingle_words: int) -> DataFrame:
     return map_slices(documents, "doc_id bigint, n_shingles bigint, node binary, keys array<bigint>", run)
 
 
-def _buckets(nodes: DataFrame) -> DataFrame:
-    """(bucket, node, n_shingles) of the tables whose two groups a second node shares."""
-    groups = nodes.select("node", "n_shingles", F.posexplode("keys").alias("i", "key"))
+def _shared_groups(nodes: DataFrame) -> DataFrame:
+    """(id, size, score, a, b): the groups of A and B that a second node shares, and how many share them in all."""
+    groups = nodes.select("id", F.posexplode("keys").alias("i", "key"))
     shared = groups.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("_n > 1")
     half = lambda low: F.collect_list(F.when((F.col("i") < WIDTH) == F.lit(low), F.col("key")))
-    found = shared.groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), half(True).alias("a"), half(False).alias("b"))
+    found = shared.groupBy("id").agg(F.sum("_n").alias("score"), half(True).alias("a"), half(False).alias("b"))
+    return found.where("size(a) > 0 AND size(b) > 0").join(nodes.select("id", F.col("n_shingles").alias("size")), "id")
+
+
+def _buckets(groups: DataFrame) -> DataFrame:
+    """(bucket, id, size, c) of all tables; c is the bucket's centre."""
     pairs = F.flatten(F.transform("a", lambda x: F.transform("b", lambda y: F.xxhash64(x, y))))
-    return found.where("size(a) > 0 AND size(b) > 0").select(F.explode(pairs).alias("bucket"), "node", "n_shingles")
+    rows = groups.select(F.explode(pairs).alias("bucket"), "id", "size", "score")
+    return rows.withColumn("c", F.max(F.struct("score", "id", "size")).over(Window.partitionBy("bucket"))).drop("score")
 
 
 def _fits(percent: int):
@@ -126,34 +139,93 @@ def _fits(percent: int):
     return least * 100 >= most * percent
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Add ``linked`` to pairs of nodes (x, y) from their full sets (node, shingles)."""
+def _broadcast_if_small(df: DataFrame) -> DataFrame:
+    """A hint behind a count of the stored rows; beyond the bound Spark shuffles the join."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
-    def run(batch: pa.RecordBatch) -> dict:
-        linked = []
-        for x, y in zip(column_of(batch, "xs").to_pylist(), column_of(batch, "ys").to_pylist()):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            linked.append(100 * both >= percent * (len(x) + len(y) - both))
-        return {"x": column_of(batch, "x"), "y": column_of(batch, "y"), "linked": linked}
 
-    full = pairs.join(sets.select(F.col("node").alias("y"), F.col("shingles").alias("ys")), "y")
-    full = full.join(sets.select(F.col("node").alias("x"), F.col("shingles").alias("xs")), "x").select("x", "y", "xs", "ys")
-    return map_slices(full, "x binary, y binary, linked boolean", run)
+def _texts_of(wanted: DataFrame, documents: DataFrame, nodes: DataFrame, shingle_words: int) -> DataFrame:
+    """(id, text) of one document of each node among ``wanted``."""
+    members = cut_lineage(nodes.join(wanted.select("id").distinct(), "id").select("id", "node", F.col("doc_id").alias("_doc")))
+    numbers = Numbers()
+
+    def named(batch: pa.RecordBatch) -> dict:
+        """An id may stand in several rows of documents: only a text that gives the node passes."""
+        made = [_name(s) == node for s, node in zip(shingle_sets(byte_texts(batch), numbers, shingle_words), column_of(batch, "node").to_pylist())]
+        right = batch.filter(pa.array(made))
+        return {c: column_of(right, c) for c in ("id", "text")}
+
+    texts = documents.join(_broadcast_if_small(members), F.expr("doc_id <=> _doc")).select("id", "node", "text")
+    return map_slices(texts, "id bigint, text string", named).groupBy("id").agg(F.min("text").alias("text"))
 
 
-def _full_sets(documents: DataFrame, nodes: DataFrame, wanted: DataFrame, shingle_words: int) -> DataFrame:
-    """(node, shingles) of the wanted nodes, made again from one document of each."""
+def _close_pairs(texts: DataFrame, labels: DataFrame, shingle_words: int, percent: int) -> DataFrame:
+    """Pairs (x, y) of different components among ``texts`` (id, text) that can be similar enough, by their rarest shingles.
+
+    With the shingles of each set in order of rarity, two sets that share at
+    least o of them share one among the first size - o + 1 of each.  Variants of
+    one text that are too far apart begin with shingles of their own, so they
+    do not meet, though they share most of the text.
+    """
     numbers = Numbers()
 
     def run(batch: pa.RecordBatch) -> dict:
         sets = shingle_sets(byte_texts(batch), numbers, shingle_words)
-        return {"made": [_name(s) for s in sets], "node": column_of(batch, "node"), "shingles": [s.tobytes() for s in sets]}
+        return {"id": column_of(batch, "id"), "size": [len(s) for s in sets], "shingles": [s.astype(np.int64) for s in sets]}
+
+    sets = cut_lineage(map_slices(texts, "id bigint, size bigint, shingles array<bigint>", run))
+    tokens = sets.select("id", "size", F.explode("shingles").alias("token"))
+    common = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Shingles of one set only come first; how many there are is what matters.
+    shared = tokens.join(common, "token").groupBy("id", "size").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("ranked"))
+    own = F.col("size") - F.size("ranked")
+    first = F.floor(F.col("size") * (100 - percent) / 100) + 1
+    heads = shared.where(own < first).select("id", "size", own.alias("own"), F.posexplode(F.slice("ranked", F.lit(1), (first - own).cast("int"))).alias("k", "r"))
+    heads = heads.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").select(
+        "id", "size", F.coalesce("label", "id").alias("label"), (F.col("own") + F.col("k")).alias("place"), F.col("r.token").alias("token")
+    )
+    # The smaller set needs a shorter head: what it must share with one of its own size at least.
+    least = F.ceil(F.col("size") * 2 * percent / (100 + percent))
+    small = heads.where(F.col("place") <= F.col("size") - least)
+    x, y = (df.select("token", *(F.col(c).alias(f"{n}_{c}") for c in ("id", "size", "label", "place"))) for df, n in ((small, "x"), (heads, "y")))
+    overlap = F.ceil((F.col("x_size") + F.col("y_size")) * percent / (100 + percent))
+    fits = (
+        ((F.col("x_size") < F.col("y_size")) | ((F.col("x_size") == F.col("y_size")) & (F.col("x_id") < F.col("y_id"))))
+        & (F.col("x_label") != F.col("y_label")) & _fits(percent)
+        & (F.col("x_place") <= F.col("x_size") - overlap) & (F.col("y_place") <= F.col("y_size") - overlap)
+    )
+    met = x.join(y.withColumnRenamed("token", "_token"), (F.col("token") == F.col("_token")) & fits)
+    return met.select(F.col("x_id").alias("x"), F.col("y_id").alias("y")).distinct()
+
+
+def _confirmed(pairs: DataFrame, documents: DataFrame, nodes: DataFrame, shingle_words: int, percent: int) -> DataFrame:
+    """Add ``linked`` to distinct pairs of ids (x, y) from their full sets, made again from one document of each.
+
+    Under each x, and part of its pairs, comes the text of x and then those of its ys.
+    """
+    pairs = cut_lineage(pairs.select("x", "y"))
+    counts = pairs.groupBy("x").agg(F.ceil(F.count(F.lit(1)) / CENTRE_ROWS).alias("parts"))
+    dealt = pairs.join(counts, "x").select("x", F.pmod(F.xxhash64("y"), F.col("parts")).alias("part"), F.col("y").alias("id"), F.lit(1).alias("place"))
+    heads = counts.select("x", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), F.col("x").alias("id"), F.lit(0).alias("place"))
+    wanted = dealt.unionByName(heads)
+    texts = _texts_of(wanted, documents, nodes, shingle_words)
+    numbers = Numbers()
+    rows = wanted.join(texts, "id").select("x", "part", "place", "id", "text").repartition("x", "part").sortWithinPartitions("x", "part", "place")
+    centre: list = [None, np.zeros(0, np.uint64)]
+
+    def compared(batch: pa.RecordBatch) -> dict:
+        x, place, y = (column_of(batch, c).to_pylist() for c in ("x", "place", "id"))
+        out: dict[str, list] = {"x": [], "y": [], "linked": []}
+        for c, at, other, own in zip(x, place, y, shingle_sets(byte_texts(batch), numbers, shingle_words)):
+            if at == 0:
+                centre[:] = c, own
+                continue
+            both = len(np.intersect1d(centre[1], own, assume_unique=True))
+            for name, value in zip(out, (c, other, 100 * both >= percent * (len(centre[1]) + len(own) - both))):
+                out[name].append(value)
+        return out
 
-    chosen = nodes.join(wanted.select("node").distinct(), "node", "left_semi").select("node", F.col("doc_id").alias("_id"))
-    texts = documents.join(chosen, F.expr("doc_id <=> _id")).select("node", "text")
-    # An id may stand in several rows: the one whose text gives the node counts, once.
-    return map_slices(texts, "made binary, node binary, shingles binary", run).where("made = node").select("node", "shingles").dropDuplicates(["node"])
+    return map_slices(rows, "x bigint, y bigint, linked boolean", compared)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -190,34 +262,33 @@ def near_duplicates(documents: DataFrame, shingle_words: int = SHINGLE_WORDS, pe
     nodes = rows.where("node IS NOT NULL").groupBy("node").agg(
         F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys")
     )
-    buckets = _buckets(nodes)
-    bucket = Window.partitionBy("bucket")
-    centred = buckets.withColumn("c", F.min(F.struct("node", "n_shingles")).over(bucket))
-    star = (
-        centred.where("node > c.node")
-        .select(F.col("c.node").alias("x"), F.col("node").alias("y"), F.col("c.n_shingles").alias("x_size"), F.col("n_shingles").alias("y_size"))
-        .distinct()
+    # Short names for the nodes; they are fixed once they are stored.
+    nodes = cut_lineage(nodes.withColumn("id", F.monotonically_increasing_id()))
+    groups = cut_lineage(_shared_groups(nodes))
+    buckets = _buckets(groups)
+    star = buckets.where("id <> c.id").select(
+        F.col("c.id").alias("x"), F.col("id").alias("y"), F.col("c.size").alias("x_size"), F.col("size").alias("y_size")
     )
-    star = cut_lineage(star)
-    members = cut_lineage(star.select(F.explode(F.array("x", "y")).alias("node")).distinct())
-    sets = cut_lineage(_full_sets(texts, nodes, members, shingle_words))
-    near = _confirmed(star.where(_fits(percent)), sets, percent)
-    tried = cut_lineage(star.join(near, ["x", "y"], "left").select("x", "y", F.coalesce("linked", F.lit(False)).alias("linked")))
-    links = tried.where("linked").select("x", "y")
-    failed = tried.where("NOT linked")
+    tried = cut_lineage(star.distinct())
+    near = cut_lineage(_confirmed(tried.where(_fits(percent)), texts, nodes, shingle_words, percent))
+    links = near.where("linked").select("x", "y")
+    failed = tried.select("x", "y").join(links, ["x", "y"], "left_anti")
+    failed = cut_lineage(failed)
     if failed.limit(1).count():
         labels = components(links)
-        # Buckets in which a comparison with the centre has failed, with the failed members as y.
-        again = centred.join(failed.select(F.col("x").alias("_c"), F.col("y").alias("_y")), (F.col("c.node") == F.col("_c")) & (F.col("node") == F.col("_y")), "left_semi")
-        labelled = lambda df, n: df.join(labels.select(F.col("node").alias(n), F.col("label").alias(f"{n}_label")), n, "left")
-        left = again.select("bucket", F.col("node").alias("x"), F.col("n_shingles").alias("x_size"))
-        right = centred.where("node > c.node").select("bucket", F.col("node").alias("y"), F.col("n_shingles").alias("y_size"))
-        across = labelled(labelled(left.join(right, "bucket").where((F.col("x") != F.col("y")) & _fits(percent)).select("x", "y").distinct(), "x"), "y")
-        apart = across.where(~F.coalesce(F.col("x_label"), F.col("x")).eqNullSafe(F.coalesce(F.col("y_label"), F.col("y"))))
-        pairs = apart.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-        links = links.unionByName(_confirmed(pairs, sets, percent).where("linked").select("x", "y"))
+        label = lambda df, n: df.join(labels.select(F.col("node").alias(n), F.col("label").alias(f"{n}_label")), n, "left").withColumn(
+            f"{n}_label", F.coalesce(f"{n}_label", n)
+        )
+        # A failed member that has meanwhile met the centre's component by another way needs no more.
+        still = label(label(failed, "x"), "y").where("x_label <> y_label").select(F.col("x").alias("_c"), F.col("y").alias("_y"))
+        # The members of a bucket are among those that its centre was compared with.
+        centres = still.select(F.col("_c").alias("x")).distinct()
+        involved = tried.join(centres, "x", "left_semi").select(F.explode(F.array("x", "y")).alias("id")).distinct()
+        pairs = _close_pairs(_texts_of(involved, texts, nodes, shingle_words), labels, shingle_words, percent)
+        links = links.unionByName(_confirmed(pairs, texts, nodes, shingle_words, percent).where("linked").select("x", "y"))
     labels = components(links)
-    classes = nodes.select("node", F.col("doc_id").alias("_least")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    classes = nodes.select("node", "id", F.col("doc_id").alias("_least")).join(labels.withColumnRenamed("node", "id"), "id", "left")
+    classes = classes.withColumn("label", F.coalesce("label", "id"))
     ids = classes.groupBy("label").agg(F.min("_least").alias("component_id"))
     named = classes.select("node", "label").join(ids, "label").select("node", "component_id")
     out = rows.select("doc_id", "n_shingles", "node").join(named, "node", "left")
