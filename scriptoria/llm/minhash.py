@@ -274,8 +274,8 @@ def near_duplicates(documents: DataFrame, shingle_words: int = SHINGLE_WORDS, pe
     links = near.where("linked").select("x", "y")
     failed = tried.select("x", "y").join(links, ["x", "y"], "left_anti")
     failed = cut_lineage(failed)
+    labels, merged = components(links), None
     if failed.limit(1).count():
-        labels = components(links)
         label = lambda df, n: df.join(labels.select(F.col("node").alias(n), F.col("label").alias(f"{n}_label")), n, "left").withColumn(
             f"{n}_label", F.coalesce(f"{n}_label", n)
         )
@@ -285,10 +285,14 @@ def near_duplicates(documents: DataFrame, shingle_words: int = SHINGLE_WORDS, pe
         centres = still.select(F.col("_c").alias("x")).distinct()
         involved = tried.join(centres, "x", "left_semi").select(F.explode(F.array("x", "y")).alias("id")).distinct()
         pairs = _close_pairs(_texts_of(involved, texts, nodes, shingle_words), labels, shingle_words, percent)
-        links = links.unionByName(_confirmed(pairs, texts, nodes, shingle_words, percent).where("linked").select("x", "y"))
-    labels = components(links)
+        met = _confirmed(pairs, texts, nodes, shingle_words, percent).where("linked")
+        # Links between components, each once, however many of their members are linked.
+        merged = components(label(label(met, "x"), "y").select(F.col("x_label").alias("x"), F.col("y_label").alias("y")).distinct())
     classes = nodes.select("node", "id", F.col("doc_id").alias("_least")).join(labels.withColumnRenamed("node", "id"), "id", "left")
     classes = classes.withColumn("label", F.coalesce("label", "id"))
+    if merged is not None:
+        wider = merged.select(F.col("node").alias("label"), F.col("label").alias("_wider"))
+        classes = classes.join(wider, "label", "left").withColumn("label", F.coalesce("_wider", "label"))
     ids = classes.groupBy("label").agg(F.min("_least").alias("component_id"))
     named = classes.select("node", "label").join(ids, "label").select("node", "component_id")
     out = rows.select("doc_id", "n_shingles", "node").join(named, "node", "left")
