@@ -3,12 +3,15 @@
 The blended-spectrum presence kernel of two texts counts the character n-grams,
 n = 1 to 4, that both hold, however often, and is divided by the root of the
 two own values.  n-grams are taken over the UTF-8 bytes of the lower-cased text
-and hashed to ``CELLS`` cells, so a text of any length is a fixed number of
-bits.  Landmarks - some texts of each language - give Nyström features, and
+and hashed to ``CELLS`` cells.  A long text would fill the cells whatever its
+language, so it is cut into consecutive pieces of at most ``PIECE_BYTES`` bytes;
+each piece is scored by its own bits, and the text's scores are the mean over all its
+pieces, weighted by length.  Training takes pieces of the same length.
+Landmarks - some pieces of each language - give Nyström features, and
 ridge regression, one language against the rest, is fitted on a bounded sample.
 
 As features and regression are both linear in the landmark kernels, they fold
-into one matrix of cells x languages; a batch of texts is scored by one product
+into one matrix of cells x languages; a block of pieces is scored by one product
 of its presence bits with that matrix.
 """
 
@@ -16,6 +19,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,14 +38,21 @@ RIDGE = 1e-3
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], dtype=np.uint32)
 _LETTER = re.compile(r"[^\W\d_]")
 _PIECE = 1 << 20
+# Bytes of a piece that is scored by itself, and pieces that one product scores.
+PIECE_BYTES = 4096
+BLOCK_PIECES = 256
 
 
-def presence(text: str) -> np.ndarray:
-    """One byte for each cell, 1 where the whole text has an n-gram of that cell."""
+def codes_of(text: str) -> np.ndarray:
+    return np.frombuffer(text.lower().encode(), dtype=np.uint8)
+
+
+def presence(text: str | np.ndarray) -> np.ndarray:
+    """One byte for each cell, 1 where the whole text, or the codes given, have an n-gram of that cell."""
     bits = np.zeros(CELLS, dtype=np.uint8)
-    codes = np.frombuffer(text.lower().encode(), dtype=np.uint8).astype(np.uint32)
+    codes = codes_of(text) if isinstance(text, str) else text
     for at in range(0, len(codes), _PIECE):
-        part = codes[at : at + _PIECE + max(SPECTRUM) - 1]
+        part = codes[at : at + _PIECE + max(SPECTRUM) - 1].astype(np.uint32)
         total = np.zeros(len(part), dtype=np.uint32)
         for k, n in enumerate(range(1, max(SPECTRUM) + 1)):
             if len(part) < n:
@@ -53,24 +64,48 @@ def presence(text: str) -> np.ndarray:
     return bits
 
 
+def bounds_of(n_bytes: int) -> np.ndarray:
+    """Where the pieces of a text of so many bytes begin and end: pieces of one length, to a byte, at least one."""
+    n = max(1, -(-n_bytes // PIECE_BYTES))
+    return n_bytes * np.arange(n + 1) // n
+
+
+def piece_of(codes: np.ndarray, bounds: np.ndarray, k: int) -> np.ndarray:
+    """Piece ``k`` and the bytes after it that end an n-gram of it, so no n-gram of the text is lost."""
+    return codes[bounds[k] : bounds[k + 1] + max(SPECTRUM) - 1]
+
+
+def _pieces(texts: list[str | None]) -> Iterator[tuple[int, float, np.ndarray]]:
+    """(number of the text, share of its length, presence) of all pieces of each text; None has none."""
+    for k, t in enumerate(texts):
+        if t is not None:
+            codes = codes_of(t)
+            bounds = bounds_of(len(codes))
+            for j in range(len(bounds) - 1):
+                yield k, (bounds[j + 1] - bounds[j]) / max(len(codes), 1), presence(piece_of(codes, bounds, j))
+
+
 class Model:
-    """Scores of a text: presence bits times ``matrix``, divided by the root of the number of bits."""
+    """Scores of a piece: presence bits times ``matrix``, divided by the root of the number of bits; of a text, their mean by length."""
 
     def __init__(self, languages: list[str], matrix: np.ndarray):
         self.languages, self.matrix = languages, matrix.astype(np.float32)
 
     def predict(self, texts: list[str | None]) -> Iterator[tuple[str, float]]:
         judged = [t is not None and _LETTER.search(t) is not None for t in texts]
-        bits = np.stack([presence(t) if ok else np.zeros(CELLS, np.uint8) for t, ok in zip(texts, judged)])
-        scale = np.sqrt(np.maximum(bits.sum(axis=1, dtype=np.int64), 1))
-        scores = bits.astype(np.float32) @ self.matrix / scale[:, None]
+        scores = np.zeros((len(texts), len(self.languages)))
+        pieces = _pieces([t if ok else None for t, ok in zip(texts, judged)])
+        while block := list(islice(pieces, BLOCK_PIECES)):
+            bits = np.stack([b for _, _, b in block])
+            weight = np.array([share for _, share, _ in block]) / np.sqrt(np.maximum(bits.sum(axis=1, dtype=np.int64), 1))
+            np.add.at(scores, [k for k, _, _ in block], bits.astype(np.float32) @ self.matrix * weight[:, None])
         best = scores.argmax(axis=1)
         for k, ok in enumerate(judged):
             yield (self.languages[best[k]], float(np.clip(scores[k, best[k]], 0.0, 1.0))) if ok else ("und", 0.0)
 
 
 def fit(bits: np.ndarray, labels: list[str], landmarks_per_language: int = LANDMARKS_PER_LANGUAGE, ridge: float = RIDGE) -> Model:
-    """``bits``: a row of presence for each training text; the first texts of a language are its landmarks."""
+    """``bits``: a row of presence for each training piece; the first of a language are its landmarks."""
     languages = sorted(set(labels))
     number = np.array([languages.index(x) for x in labels])
     unit = bits.astype(np.float64) / np.sqrt(np.maximum(bits.sum(axis=1, dtype=np.int64), 1))[:, None]
@@ -88,10 +123,11 @@ def fit(bits: np.ndarray, labels: list[str], landmarks_per_language: int = LANDM
 
 
 def training_sample(documents: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> tuple[np.ndarray, list[str]]:
-    """Presence bits and languages of at most ``per_language`` texts of each language, chosen by a hash of their id.
+    """Presence bits and languages of at most ``per_language`` pieces of each language, from texts chosen by a hash of their id.
 
-    The choice runs over all rows with id and language only; what reaches the
-    driver are 2 KB for each chosen text.
+    A language with fewer texts gives several pieces of each, evenly spaced over
+    the whole text, the middle one first.  The choice runs over all rows with id and
+    language only; what reaches the driver are 2 KB for each piece.
     """
     usable = documents.where("lang IS NOT NULL AND text IS NOT NULL")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id")
@@ -100,12 +136,22 @@ def training_sample(documents: DataFrame, per_language: int = SAMPLE_PER_LANGUAG
     texts = usable.select("doc_id", "lang", "text").where(F.col("doc_id").isin(ids)) if ids else usable.limit(0)
 
     def run(batch: pa.RecordBatch) -> dict:
-        bits = [np.packbits(presence(t)).tobytes() for t in column_of(batch, "text").to_pylist()]
-        return {"doc_id": column_of(batch, "doc_id"), "lang": column_of(batch, "lang"), "bits": bits}
+        out: dict[str, list] = {"doc_id": [], "lang": [], "place": [], "bits": []}
+        for i, lang, take, text in zip(*(column_of(batch, c).to_pylist() for c in ("doc_id", "lang", "take", "text"))):
+            codes = codes_of(text)
+            bounds = bounds_of(len(codes))
+            n = len(bounds) - 1
+            spaced = sorted({(2 * k + 1) * n // (2 * take) for k in range(take)}, key=lambda j: (abs(2 * j - n), j))
+            for place, j in enumerate(spaced):
+                for name, value in zip(out, (i, lang, place, np.packbits(presence(piece_of(codes, bounds, j))).tobytes())):
+                    out[name].append(value)
+        return out
 
     one_each = texts.groupBy("doc_id", "lang").agg(F.max("text").alias("text"))  # an id may stand in many rows
-    rows = map_slices(one_each.select(F.col("doc_id").cast("bigint").alias("doc_id"), "lang", "text"), "doc_id bigint, lang string, bits binary", run).collect()
-    rows = sorted(rows, key=lambda r: (r["lang"], r["doc_id"], bytes(r["bits"])))
+    takes = F.greatest(F.lit(1), F.floor(F.lit(per_language) / F.count(F.lit(1)).over(Window.partitionBy("lang"))))
+    wanted = one_each.select(F.col("doc_id").cast("bigint").alias("doc_id"), "lang", takes.cast("bigint").alias("take"), "text")
+    rows = map_slices(wanted, "doc_id bigint, lang string, place bigint, bits binary", run).collect()
+    rows = sorted(rows, key=lambda r: (r["lang"], r["place"], r["doc_id"], bytes(r["bits"])))
     bits = np.array([np.unpackbits(np.frombuffer(bytes(r["bits"]), np.uint8)) for r in rows], dtype=np.uint8).reshape(len(rows), CELLS)
     return bits, [r["lang"] for r in rows]
 

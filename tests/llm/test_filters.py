@@ -128,6 +128,42 @@ def test_presence_covers_the_whole_text(monkeypatch):
     assert (langid.presence(t) == whole).all()
 
 
+def rich_text(language, n_chars, seed):
+    """Invented words of a language's own syllables, a fifth of them random letters that all languages share."""
+    own, rng = np.random.default_rng(language), np.random.default_rng([seed, language])
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    syllables = np.array(["".join(own.choice(letters, own.integers(2, 4))) for _ in range(400)])
+    n = n_chars // 5
+    words = np.char.add(syllables[rng.integers(0, 400, n)], syllables[rng.integers(0, 400, n)])
+    noise = ["".join(w) for w in letters[rng.integers(0, 26, (n, 6))]]
+    return " ".join(np.where(rng.random(n) < 0.2, noise, words))[:n_chars]
+
+
+def test_language_of_long_texts_of_rich_vocabulary(spark):
+    """So many different n-grams that a text as a whole would have nearly all of them."""
+    data = [(100 * g + k, rich_text(g, int(n), k), f"l{g}") for g in range(5) for k, n in enumerate(np.geomspace(500, 40_000, 16))]
+    model = langid.train(spark.createDataFrame(data, "doc_id long, text string, lang string"))
+    long = [(100 * g + k, rich_text(g, n, 900 + k), f"l{g}") for g in range(5) for k, n in enumerate((60, 300_000, 600_000))]
+    judged = langid.identify(spark.createDataFrame(long, "doc_id long, text string, lang string"), model).collect()
+    assert [r.lang_pred for r in judged] == [r.lang for r in judged]
+    assert all(0 < r.score <= 1 for r in judged)
+
+
+def test_pieces_cover_the_whole_text(monkeypatch):
+    """A change of any byte changes a piece; the pieces' n-grams are those of the text, and their shares make one."""
+    monkeypatch.setattr(langid, "PIECE_BYTES", 37)
+    for t in ("", "a", " ".join(f"wörd{k}" for k in range(300))):
+        pieces = list(langid._pieces([None, t]))
+        assert {k for k, _, _ in pieces} == {1} and np.isclose(sum(share for _, share, _ in pieces), float(bool(t)))
+        assert (np.max([bits for _, _, bits in pieces], axis=0) == langid.presence(t)).all()
+    monkeypatch.setattr(langid, "BLOCK_PIECES", 3)
+    model = langid.Model(["a", "b"], np.random.default_rng(2).random((langid.CELLS, 2)) / 100)
+    t = "some wörds " * 50
+    wanted = sum(share * (bits @ model.matrix) / np.sqrt(bits.sum()) for _, share, bits in langid._pieces([t]))
+    (lang, score), other = list(model.predict([t, None]))
+    assert other == ("und", 0.0) and lang == "ab"[wanted.argmax()] and np.isclose(score, min(wanted.max(), 1), atol=1e-5)
+
+
 def test_folded_scores_are_kernel_ridge_regression():
     texts = [f"the {w} of and" for w in "abcdefgh"] + [f"der {w} und die" for w in "abcdefgh"]
     bits = np.stack([langid.presence(t) for t in texts])
