@@ -21,6 +21,8 @@ from scriptoria.session import shared_folder
 
 # Of all words that reach the mixing stage, in percent, and passes over a leaf.
 MIX_PERCENT, MIX_EPOCHS = 90, 1
+# Words of a shingle in the near-duplicate stage; the two words of op7 are that query's own contract.
+NEAR_SHINGLE_WORDS = 5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +33,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest id."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
+    """One document of each group of near-duplicates - sets of five words, similarity 0.8 - the one with the smallest id."""
+    kept = near_duplicates(docs, shingle_words=NEAR_SHINGLE_WORDS).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
     return docs.join(kept, F.expr("doc_id <=> _kept_id"), "left_semi")
 
 
