@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptoria.llm.decontaminate import find_leaks
-from scriptoria.llm.langid import identify, trained_on_the_rest
+from scriptoria.llm.langid import LETTERS_ONLY, identify, trained_on_the_rest
 from scriptoria.llm.minhash import near_duplicates
 from scriptoria.llm.mixing import mix_documents
 from scriptoria.llm.rows import table
@@ -26,9 +26,12 @@ NEAR_SHINGLE_WORDS = 5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the kernel classifier can tell: those without a letter (``und``) go."""
+    """Documents whose language the kernel classifier can tell: those without a letter (``und``) go.
+
+    Where no row gives anything to learn from, that is no fault of a text: those with a letter stay then, too.
+    """
     model = trained_on_the_rest(docs)
-    judged = identify(docs, model)
+    judged = identify(docs, model if model.learned else LETTERS_ONLY)
     return judged.where("lang_pred <> 'und'").select(*docs.columns)
 
 

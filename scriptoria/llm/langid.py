@@ -91,6 +91,11 @@ class Model:
     def __init__(self, languages: list[str], matrix: np.ndarray):
         self.languages, self.matrix = languages, matrix.astype(np.float32)
 
+    @property
+    def learned(self) -> bool:
+        """Not so where there was nothing to learn from: ``und`` then says nothing about a text."""
+        return self.languages != ["und"]
+
     def predict(self, texts: list[str | None]) -> Iterator[tuple[str, float]]:
         judged = [t is not None and _LETTER.search(t) is not None for t in texts]
         scores = np.zeros((len(texts), len(self.languages)))
@@ -104,6 +109,10 @@ class Model:
             yield (self.languages[best[k]], float(np.clip(scores[k, best[k]], 0.0, 1.0))) if ok else ("und", 0.0)
 
 
+# For use without a trained model: ``any`` where a text has a letter, ``und`` where it has none.
+LETTERS_ONLY = Model(["any"], np.zeros((CELLS, 1)))
+
+
 def fit(bits: np.ndarray, labels: list[str], landmarks_per_language: int = LANDMARKS_PER_LANGUAGE, ridge: float = RIDGE) -> Model:
     """``bits``: a row of presence for each training piece; the first of a language are its landmarks."""
     languages = sorted(set(labels))
@@ -129,7 +138,7 @@ def training_sample(documents: DataFrame, per_language: int = SAMPLE_PER_LANGUAG
     the whole text, the middle one first.  The choice runs over all rows with id and
     language only; what reaches the driver are 2 KB for each piece.
     """
-    usable = documents.where("lang IS NOT NULL AND text IS NOT NULL")
+    usable = documents.where("lang <> 'und' AND text IS NOT NULL")  # und is the want of a language
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id")
     chosen = usable.select("doc_id", "lang").withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= per_language)
     ids = [r["doc_id"] for r in chosen.select("doc_id").toLocalIterator()]
@@ -157,7 +166,7 @@ def training_sample(documents: DataFrame, per_language: int = SAMPLE_PER_LANGUAG
 
 
 def train(documents: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, landmarks: int = LANDMARKS_PER_LANGUAGE) -> Model:
-    """Learn from doc_id, text and lang; without a single usable row every text is ``und``."""
+    """Learn from doc_id, text and lang; without a single usable row every text is ``und`` and the model is not ``learned``."""
     bits, labels = training_sample(documents, per_language)
     return fit(bits, labels, landmarks) if labels else Model(["und"], np.zeros((CELLS, 1)))
 

@@ -28,3 +28,14 @@ def test_near_dedup_takes_five_words(spark):
     for data in (rows() + [(300, " ".join(apart))], [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()]):
         found = corpus_pipeline.near_dedup(spark, documents(spark, data).repartition(3), SF_DIR)
         assert {r.doc_id for r in found.collect()} == brute_kept(data) != brute_kept(data, 2)
+
+
+def test_language_stage_without_languages(spark):
+    """Nothing to learn from is not the same as no letter."""
+    wanted = sorted(str(t) for _, t in rows() if t and any(c.isalpha() for c in t))
+    nothing = documents(spark)
+    for lang in ("CAST(NULL AS STRING)", "'und'"):
+        found = corpus_pipeline.language(spark, nothing.selectExpr("doc_id", "text", f"{lang} AS lang", "source"), SF_DIR)
+        assert found.columns == ["doc_id", "text", "lang", "source"]
+        assert sorted(r.text for r in found.collect()) == wanted
+    assert corpus_pipeline.language(spark, nothing.limit(0), SF_DIR).collect() == []
