@@ -30,9 +30,12 @@ from scriptoria.llm.rows import column_of, map_slices, table
 
 CELLS = 1 << 14
 SPECTRUM = (1, 2, 3, 4)
-# Bounds of the training sample: texts and, of them, landmarks of each language.
+# Bounds of the training sample: pieces and, of them, landmarks of each language.
 SAMPLE_PER_LANGUAGE = 400
 LANDMARKS_PER_LANGUAGE = 48
+# Bounds of both over all languages, dealt evenly; so many languages, the most frequent, are learned at most.
+SAMPLE_ROWS = 4096
+LANDMARKS = 512
 RIDGE = 1e-3
 # Odd multipliers that spread the n-grams over the cells.
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], dtype=np.uint32)
@@ -116,33 +119,49 @@ LETTERS_ONLY = Model(["any"], np.zeros((CELLS, 1)))
 def fit(bits: np.ndarray, labels: list[str], landmarks_per_language: int = LANDMARKS_PER_LANGUAGE, ridge: float = RIDGE) -> Model:
     """``bits``: a row of presence for each training piece; the first of a language are its landmarks."""
     languages = sorted(set(labels))
-    number = np.array([languages.index(x) for x in labels])
-    unit = bits.astype(np.float64) / np.sqrt(np.maximum(bits.sum(axis=1, dtype=np.int64), 1))[:, None]
+    place = {x: k for k, x in enumerate(languages)}
+    number = np.array([place[x] for x in labels])
+    landmarks_per_language = min(landmarks_per_language, max(1, LANDMARKS // len(languages)))
+    size = np.sqrt(np.maximum(bits.sum(axis=1, dtype=np.int64), 1))
     marks = np.concatenate([np.flatnonzero(number == k)[:landmarks_per_language] for k in range(len(languages))])
-    values, vectors = np.linalg.eigh(unit[marks] @ unit[marks].T)
+    # Counts of common cells are exact in 32 bits; blocks, so that only the landmarks are held in full.
+    held = bits[marks].astype(np.float32)
+    common = np.concatenate([bits[at : at + BLOCK_PIECES].astype(np.float32) @ held.T for at in range(0, len(bits), BLOCK_PIECES)])
+    kernel = common.astype(np.float64) / size[:, None] / size[marks]
+    values, vectors = np.linalg.eigh(kernel[marks])
     keep = values > 1e-8 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])
-    features = unit @ unit[marks].T @ root
+    features = kernel @ root
     # Each language weighs the same, however many texts it has.
     weight = (1.0 / np.bincount(number))[number][:, None] * len(labels) / len(languages)
     wanted = (number[:, None] == np.arange(len(languages))).astype(np.float64)
     gram = features.T @ (features * weight) + ridge * len(labels) * np.eye(features.shape[1])
     beta = np.linalg.solve(gram, features.T @ (wanted * weight))
-    return Model(languages, unit[marks].T @ (root @ beta))
+    share = root @ beta / size[marks][:, None]
+    matrix = np.empty((bits.shape[1], len(languages)), dtype=np.float32)
+    for at in range(0, len(matrix), BLOCK_PIECES):
+        matrix[at : at + BLOCK_PIECES] = held[:, at : at + BLOCK_PIECES].T.astype(np.float64) @ share
+    return Model(languages, matrix)
 
 
 def training_sample(documents: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> tuple[np.ndarray, list[str]]:
     """Presence bits and languages of at most ``per_language`` pieces of each language, from texts chosen by a hash of their id.
 
     A language with fewer texts gives several pieces of each, evenly spaced over
-    the whole text, the middle one first.  The choice runs over all rows with id and
-    language only; what reaches the driver are 2 KB for each piece.
+    the whole text, the middle one first.  At most ``LANDMARKS`` languages are
+    learned, the most frequent ones, and ``SAMPLE_ROWS`` is dealt evenly over them.
+    The choice runs over all rows with id and language only; what reaches the
+    driver are the languages' names and 2 KB for each piece.
     """
     usable = documents.where("lang <> 'und' AND text IS NOT NULL")  # und is the want of a language
+    counted = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANDMARKS)
+    learned = [(r["lang"],) for r in counted.collect()]
+    usable = usable.join(F.broadcast(documents.sparkSession.createDataFrame(learned, "lang string")), "lang", "left_semi")
+    per_language = min(per_language, SAMPLE_ROWS // max(1, len(learned)))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id")
     chosen = usable.select("doc_id", "lang").withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= per_language)
-    ids = [r["doc_id"] for r in chosen.select("doc_id").toLocalIterator()]
-    texts = usable.select("doc_id", "lang", "text").where(F.col("doc_id").isin(ids)) if ids else usable.limit(0)
+    ids = F.broadcast(chosen.select("doc_id", "lang"))  # SAMPLE_ROWS at most
+    texts = usable.select("doc_id", "lang", "text").join(ids, ["doc_id", "lang"], "left_semi")
 
     def run(batch: pa.RecordBatch) -> dict:
         out: dict[str, list] = {"doc_id": [], "lang": [], "place": [], "bits": []}

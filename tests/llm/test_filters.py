@@ -149,6 +149,20 @@ def test_language_of_long_texts_of_rich_vocabulary(spark):
     assert all(0 < r.score <= 1 for r in judged)
 
 
+def test_training_sample_is_bounded_over_all_languages(spark, monkeypatch):
+    """Many strings in lang - region tags, typing errors - share one bound; the frequent ones are learned."""
+    monkeypatch.setattr(langid, "SAMPLE_ROWS", 60)
+    monkeypatch.setattr(langid, "LANDMARKS", 12)
+    data = [(50 * g + k, rich_text(g % 5, 300, k), f"l{g}") for g in range(40) for k in range(20 if g < 5 else 1)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    bits, labels = langid.training_sample(docs)
+    assert len(labels) == len(bits) <= 60 and len(set(labels)) == 12
+    assert {x: labels.count(x) for x in labels if x in {f"l{g}" for g in range(5)}} == {f"l{g}": 5 for g in range(5)}
+    seen, eigh = [], np.linalg.eigh
+    monkeypatch.setattr(np.linalg, "eigh", lambda m: seen.append(len(m)) or eigh(m))
+    assert len(langid.fit(bits, labels).languages) == 12 and seen[0] <= 12
+
+
 def test_pieces_cover_the_whole_text(monkeypatch):
     """A change of any byte changes a piece; the pieces' n-grams are those of the text, and their shares make one."""
     monkeypatch.setattr(langid, "PIECE_BYTES", 37)
