@@ -5,6 +5,7 @@ Language ID and quality grades are trained models: held-out accuracy stands in f
 
 from __future__ import annotations
 
+from scriptoria.llm.centroids import OP11_SQL, op11_centroid_clustering
 from scriptoria.llm.chat_format import OP5_SQL, op5_chat_format
 from scriptoria.llm.decontaminate import OP3_SQL, op3_decontamination
 from scriptoria.llm.exact_dedup import OP10_SQL, op10_exact_dedup
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_centroid_clustering": op11_centroid_clustering,
 }
 
 SQL = {
@@ -38,4 +40,5 @@ SQL = {
     "op7_minhash_near_dedup": OP7_SQL,
     "op8_mixing": OP8_SQL,
     "op10_exact_dedup": OP10_SQL,
+    "op11_centroid_clustering": OP11_SQL,
 }
