@@ -1,10 +1,12 @@
 """The queries of this subpackage and the SQL that must give the same rows.
 
-Language ID and quality grades are trained models: held-out accuracy stands in for SQL.
+Language ID and quality grades are trained models: held-out accuracy stands in for SQL.  Tokens have no SQL: a brute-force
+version stands in for it.
 """
 
 from __future__ import annotations
 
+from scriptoria.llm.alignment import op13_tokenizer_alignment
 from scriptoria.llm.centroids import OP11_SQL, op11_centroid_clustering
 from scriptoria.llm.chat_format import OP5_SQL, op5_chat_format
 from scriptoria.llm.decontaminate import OP3_SQL, op3_decontamination
@@ -29,6 +31,7 @@ QUERIES = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_exact_dedup": op10_exact_dedup,
     "op11_centroid_clustering": op11_centroid_clustering,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 
 SQL = {
