@@ -41,7 +41,8 @@ def from_entries(rows: np.ndarray, columns: np.ndarray, height: int, width: int,
 
 
 def transposed(m: Csr) -> Csr:
-    order = np.argsort(m.columns, kind="stable")
+    in_order = (m.columns[1:] >= m.columns[:-1]).all()
+    order = np.arange(len(m.columns)) if in_order else np.argsort(m.columns, kind="stable")
     starts = np.zeros(m.width + 1, np.int64)
     np.cumsum(np.bincount(m.columns, minlength=m.width), out=starts[1:])
     return Csr(starts, m.rows()[order], m.values[order], m.height)
@@ -70,13 +71,14 @@ def product_blocks(a: Csr, b: Csr, block: int = BLOCK) -> Iterator[tuple[np.ndar
         last = max(row + 1, int(np.searchsorted(np.append(0, ends)[a.starts], done + block, side="right")) - 1)
         first_entry, last_entry = a.starts[row], a.starts[last]
         place, values = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        owners = np.repeat(np.arange(row, last), np.diff(a.starts[row : last + 1]))
         while first_entry < last_entry:
             done = ends[first_entry - 1] if first_entry else 0
             until = min(last_entry, max(first_entry + 1, int(np.searchsorted(ends, done + block, side="right"))))
             n = lengths[first_entry:until]
             total = int(n.sum())
             at = np.repeat(b.starts[a.columns[first_entry:until]] - (np.cumsum(n) - n), n) + np.arange(total)
-            own = np.searchsorted(a.starts, np.arange(first_entry, until), side="right") - 1
+            own = owners[first_entry - a.starts[row] : until - a.starts[row]]
             place = np.concatenate([place, np.repeat(own, n) * b.width + b.columns[at]])
             values = np.concatenate([values, np.repeat(a.values[first_entry:until], n) * b.values[at]])
             if len(place):

@@ -125,3 +125,11 @@ def test_links_of_one_slice():
         by_id.update(dict(zip(zip(doc.tolist(), x.tolist(), y.tolist()), n.tolist())))
     wanted = Counter((int(np.searchsorted(a.ends, x, side="right")), int(a.ids[x]), int(b.ids[y])) for x, y in listed)
     assert by_id == wanted
+
+
+def test_ranks_of_the_vocabulary_are_the_tokenizer():
+    """The fast encoder gives the tokens of the tokenizer's own library, around every code point."""
+    own, (t, _) = A.ByteTokens(A.BYTE_TOKENIZER), tokenizers()
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x3100 or c % 37 == 0)]
+    texts = [f" a{chr(c)}b {chr(c)}1{chr(c)} {chr(c)}{chr(c)}  {chr(c)}\n{chr(c)} !{chr(c)}" for c in points] + [x or "" for _, x in AWKWARD]
+    assert own.encode(texts) == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
