@@ -16,6 +16,7 @@ from scriptoria.llm.minhash import OP7_SQL, op7_minhash_near_dedup
 from scriptoria.llm.mixing import OP8_SQL, op8_mixing
 from scriptoria.llm.quality import op9_quality_classifier
 from scriptoria.llm.sharding import OP6_SQL, op6_sharding
+from scriptoria.llm.spotsigs import OP12_SQL, op12_document_fingerprints
 from scriptoria.llm.substring_dedup import OP2_SQL, op2_substring_dedup
 from scriptoria.llm.url_filter import OP1_SQL, op1_url_filter
 
@@ -31,6 +32,7 @@ QUERIES = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_exact_dedup": op10_exact_dedup,
     "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_document_fingerprints": op12_document_fingerprints,
     "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 
@@ -44,4 +46,5 @@ SQL = {
     "op8_mixing": OP8_SQL,
     "op10_exact_dedup": OP10_SQL,
     "op11_centroid_clustering": OP11_SQL,
+    "op12_document_fingerprints": OP12_SQL,
 }

@@ -36,7 +36,7 @@ def test_thirteen_operators():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
-@pytest.mark.parametrize("name", ["op1_url_filter", "op6_sharding"])
+@pytest.mark.parametrize("name", ["op1_url_filter", "op6_sharding", "op12_document_fingerprints"])
 def test_native_plans_run_no_python(spark, name):
     plan = QUERIES[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
     assert not any(word in plan for word in ("Python", "Arrow", "Pandas", "CartesianProduct", "NestedLoopJoin"))
