@@ -31,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptoria.llm.recompression import Numbers, mixed
 from scriptoria.llm.rows import byte_texts, column_of, map_slices, table
+from scriptoria.llm.wordhash import mixed, word_hashes
 from scriptoria.session import cut_lineage
 
 SHINGLE_WORDS = 2
@@ -49,22 +49,17 @@ _SHIFT = _rng.integers(0, 1 << 63, size=2 * WIDTH * DEPTH, dtype=np.uint64)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
-def shingle_sets(texts: list[bytes | None], numbers: Numbers, shingle_words: int) -> list[np.ndarray]:
+def shingle_sets(texts: list[bytes | None], shingle_words: int) -> list[np.ndarray]:
     """Sorted distinct shingles of each text, A-Z lower-cased, as 64-bit fingerprints.
 
     Fewer words than a shingle are one shingle; no words are an empty set.
     """
-    words, lengths = [], []
-    for t in texts:
-        own = t.lower().split() if t else []
-        words += own
-        lengths.append(len(own))
-    h = numbers(words)[:, 0] if words else np.zeros(0, np.uint64)
+    h, lengths = word_hashes(texts)
     out, at = [], 0
     total = h[: max(0, len(h) - shingle_words + 1)].copy()
     for j in range(1, shingle_words):
         total = mixed(total * _A + h[j : j + len(total)])
-    for n in lengths:
+    for n in lengths.tolist():
         if n >= shingle_words:
             out.append(np.unique(total[at : at + n - shingle_words + 1]))
         elif n:
@@ -103,10 +98,8 @@ def _name(shingles: np.ndarray) -> bytes | None:
 
 def _sets(documents: DataFrame, shingle_words: int) -> DataFrame:
     """doc_id, n_shingles, node (null for an empty set) and group keys of each row."""
-    numbers = Numbers()
-
     def run(batch: pa.RecordBatch) -> dict:
-        sets = shingle_sets(byte_texts(batch), numbers, shingle_words)
+        sets = shingle_sets(byte_texts(batch), shingle_words)
         full = [k for k, s in enumerate(sets) if len(s)]
         keys: list = [None] * len(sets)
         if full:
@@ -147,11 +140,9 @@ def _broadcast_if_small(df: DataFrame) -> DataFrame:
 def _texts_of(wanted: DataFrame, documents: DataFrame, nodes: DataFrame, shingle_words: int) -> DataFrame:
     """(id, text) of one document of each node among ``wanted``."""
     members = cut_lineage(nodes.join(wanted.select("id").distinct(), "id").select("id", "node", F.col("doc_id").alias("_doc")))
-    numbers = Numbers()
-
     def named(batch: pa.RecordBatch) -> dict:
         """An id may stand in several rows of documents: only a text that gives the node passes."""
-        made = [_name(s) == node for s, node in zip(shingle_sets(byte_texts(batch), numbers, shingle_words), column_of(batch, "node").to_pylist())]
+        made = [_name(s) == node for s, node in zip(shingle_sets(byte_texts(batch), shingle_words), column_of(batch, "node").to_pylist())]
         right = batch.filter(pa.array(made))
         return {c: column_of(right, c) for c in ("id", "text")}
 
@@ -167,10 +158,8 @@ def _close_pairs(texts: DataFrame, labels: DataFrame, shingle_words: int, percen
     one text that are too far apart begin with shingles of their own, so they
     do not meet, though they share most of the text.
     """
-    numbers = Numbers()
-
     def run(batch: pa.RecordBatch) -> dict:
-        sets = shingle_sets(byte_texts(batch), numbers, shingle_words)
+        sets = shingle_sets(byte_texts(batch), shingle_words)
         return {"id": column_of(batch, "id"), "size": [len(s) for s in sets], "shingles": [s.astype(np.int64) for s in sets]}
 
     sets = cut_lineage(map_slices(texts, "id bigint, size bigint, shingles array<bigint>", run))
@@ -209,14 +198,13 @@ def _confirmed(pairs: DataFrame, documents: DataFrame, nodes: DataFrame, shingle
     heads = counts.select("x", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), F.col("x").alias("id"), F.lit(0).alias("place"))
     wanted = dealt.unionByName(heads)
     texts = _texts_of(wanted, documents, nodes, shingle_words)
-    numbers = Numbers()
     rows = wanted.join(texts, "id").select("x", "part", "place", "id", "text").repartition("x", "part").sortWithinPartitions("x", "part", "place")
     centre: list = [None, np.zeros(0, np.uint64)]
 
     def compared(batch: pa.RecordBatch) -> dict:
         x, place, y = (column_of(batch, c).to_pylist() for c in ("x", "place", "id"))
         out: dict[str, list] = {"x": [], "y": [], "linked": []}
-        for c, at, other, own in zip(x, place, y, shingle_sets(byte_texts(batch), numbers, shingle_words)):
+        for c, at, other, own in zip(x, place, y, shingle_sets(byte_texts(batch), shingle_words)):
             if at == 0:
                 centre[:] = c, own
                 continue
