@@ -7,6 +7,9 @@ and hashed to ``CELLS`` cells.  A long text would fill the cells whatever its
 language, so it is cut into consecutive pieces of at most ``PIECE_BYTES`` bytes;
 each piece is scored by its own bits, and the text's scores are the mean over all its
 pieces, weighted by length.  Training takes pieces of the same length.
+A text that is no text of any learned language scores low: the sample also gives
+shorter cuts, and ``KNOWN_SHARE`` of what nearly all of a size reach is what a
+text of that size must reach to count as known.
 Landmarks - some pieces of each language - give Nyström features, and
 ridge regression, one language against the rest, is fitted on a bounded sample.
 
@@ -17,7 +20,6 @@ of its presence bits with that matrix.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from itertools import islice
 
@@ -39,7 +41,10 @@ LANDMARKS = 512
 RIDGE = 1e-3
 # Odd multipliers that spread the n-grams over the cells.
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], dtype=np.uint32)
-_LETTER = re.compile(r"[^\W\d_]")
+# A text is known from this share of the score that all but ``LOW_SHARE`` of the sampled cuts of its size reach.
+KNOWN_SHARE, LOW_SHARE = 0.5, 0.01
+# Sampled pieces are also cut to these parts of their length.
+CUT_BITS = (3, 6)
 _PIECE = 1 << 20
 # Bytes of a piece that is scored by itself, and pieces that one product scores.
 PIECE_BYTES = 4096
@@ -88,28 +93,55 @@ def _pieces(texts: list[str | None]) -> Iterator[tuple[int, float, np.ndarray]]:
                 yield k, (bounds[j + 1] - bounds[j]) / max(len(codes), 1), presence(piece_of(codes, bounds, j))
 
 
+def has_letter(text: str | None) -> bool:
+    return text is not None and any(map(str.isalpha, text))
+
+
 class Model:
     """Scores of a piece: presence bits times ``matrix``, divided by the root of the number of bits; of a text, their mean by length."""
 
-    def __init__(self, languages: list[str], matrix: np.ndarray):
+    def __init__(self, languages: list[str], matrix: np.ndarray, floors: np.ndarray | None = None):
         self.languages, self.matrix = languages, matrix.astype(np.float32)
+        # Least score of a known piece by the binary length of its number of bits.
+        self.floors = np.zeros(CELLS.bit_length() + 1) if floors is None else floors
 
     @property
     def learned(self) -> bool:
         """Not so where there was nothing to learn from: ``und`` then says nothing about a text."""
         return self.languages != ["und"]
 
-    def predict(self, texts: list[str | None]) -> Iterator[tuple[str, float]]:
-        judged = [t is not None and _LETTER.search(t) is not None for t in texts]
-        scores = np.zeros((len(texts), len(self.languages)))
+    def scores(self, bits: np.ndarray) -> np.ndarray:
+        """Scores of pieces given by their presence, for each language."""
+        return bits.astype(np.float32) @ self.matrix / np.sqrt(np.maximum(bits.sum(axis=1, dtype=np.int64), 1))[:, None]
+
+    def calibrated(self, bits: np.ndarray) -> Model:
+        """With floors from the best scores of sampled pieces and cuts; a size below all that were sampled has none."""
+        best, sizes = self.scores(bits).max(axis=1), size_class(bits)
+        floors = np.zeros_like(self.floors)
+        for k in range(len(floors)):
+            own = best[sizes == k]
+            floors[k] = KNOWN_SHARE * np.quantile(own, LOW_SHARE) if len(own) else floors[max(k - 1, 0)]
+        return Model(self.languages, self.matrix, np.maximum(floors, 0))
+
+    def predict(self, texts: list[str | None]) -> Iterator[tuple[str, float, bool]]:
+        """(language, score, known) of each text."""
+        judged = list(map(has_letter, texts))
+        scores, floors = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts))
         pieces = _pieces([t if ok else None for t, ok in zip(texts, judged)])
         while block := list(islice(pieces, BLOCK_PIECES)):
             bits = np.stack([b for _, _, b in block])
-            weight = np.array([share for _, share, _ in block]) / np.sqrt(np.maximum(bits.sum(axis=1, dtype=np.int64), 1))
-            np.add.at(scores, [k for k, _, _ in block], bits.astype(np.float32) @ self.matrix * weight[:, None])
+            share = np.array([share for _, share, _ in block])
+            np.add.at(scores, [k for k, _, _ in block], self.scores(bits) * share[:, None])
+            np.add.at(floors, [k for k, _, _ in block], self.floors[size_class(bits)] * share)
         best = scores.argmax(axis=1)
         for k, ok in enumerate(judged):
-            yield (self.languages[best[k]], float(np.clip(scores[k, best[k]], 0.0, 1.0))) if ok else ("und", 0.0)
+            score = scores[k, best[k]]
+            yield (self.languages[best[k]], float(np.clip(score, 0.0, 1.0)), bool(score >= floors[k])) if ok else ("und", 0.0, False)
+
+
+def size_class(bits: np.ndarray) -> np.ndarray:
+    """Binary length of the number of cells that each piece sets."""
+    return np.frexp(bits.sum(axis=1, dtype=np.int64).astype(np.float64))[1]
 
 
 # For use without a trained model: ``any`` where a text has a letter, ``und`` where it has none.
@@ -144,9 +176,11 @@ def fit(bits: np.ndarray, labels: list[str], landmarks_per_language: int = LANDM
     return Model(languages, matrix)
 
 
-def training_sample(documents: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> tuple[np.ndarray, list[str]]:
+def training_sample(documents: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> tuple[np.ndarray, list[str], np.ndarray]:
     """Presence bits and languages of at most ``per_language`` pieces of each language, from texts chosen by a hash of their id.
 
+    The third value has the bits of shorter cuts, of the first piece of each text.
+
     A language with fewer texts gives several pieces of each, evenly spaced over
     the whole text, the middle one first.  At most ``LANDMARKS`` languages are
     learned, the most frequent ones, and ``SAMPLE_ROWS`` is dealt evenly over them.
@@ -164,48 +198,54 @@ def training_sample(documents: DataFrame, per_language: int = SAMPLE_PER_LANGUAG
     texts = usable.select("doc_id", "lang", "text").join(ids, ["doc_id", "lang"], "left_semi")
 
     def run(batch: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {"doc_id": [], "lang": [], "place": [], "bits": []}
+        out: dict[str, list] = {"doc_id": [], "lang": [], "place": [], "bits": [], "cuts": []}
         for i, lang, take, text in zip(*(column_of(batch, c).to_pylist() for c in ("doc_id", "lang", "take", "text"))):
             codes = codes_of(text)
             bounds = bounds_of(len(codes))
             n = len(bounds) - 1
             spaced = sorted({(2 * k + 1) * n // (2 * take) for k in range(take)}, key=lambda j: (abs(2 * j - n), j))
             for place, j in enumerate(spaced):
-                for name, value in zip(out, (i, lang, place, np.packbits(presence(piece_of(codes, bounds, j))).tobytes())):
+                piece = piece_of(codes, bounds, j)
+                cuts = [np.packbits(presence(piece[: max(1, len(piece) >> b)])).tobytes() for b in CUT_BITS] if place == 0 else []
+                for name, value in zip(out, (i, lang, place, np.packbits(presence(piece)).tobytes(), cuts)):
                     out[name].append(value)
         return out
 
     one_each = texts.groupBy("doc_id", "lang").agg(F.max("text").alias("text"))  # an id may stand in many rows
     takes = F.greatest(F.lit(1), F.floor(F.lit(per_language) / F.count(F.lit(1)).over(Window.partitionBy("lang"))))
     wanted = one_each.select(F.col("doc_id").cast("bigint").alias("doc_id"), "lang", takes.cast("bigint").alias("take"), "text")
-    rows = map_slices(wanted, "doc_id bigint, lang string, place bigint, bits binary", run).collect()
+    rows = map_slices(wanted, "doc_id bigint, lang string, place bigint, bits binary, cuts array<binary>", run).collect()
     rows = sorted(rows, key=lambda r: (r["lang"], r["place"], r["doc_id"], bytes(r["bits"])))
-    bits = np.array([np.unpackbits(np.frombuffer(bytes(r["bits"]), np.uint8)) for r in rows], dtype=np.uint8).reshape(len(rows), CELLS)
-    return bits, [r["lang"] for r in rows]
+    unpacked = lambda found: np.array([np.unpackbits(np.frombuffer(bytes(b), np.uint8)) for b in found], dtype=np.uint8).reshape(-1, CELLS)
+    return unpacked([r["bits"] for r in rows]), [r["lang"] for r in rows], unpacked([b for r in rows for b in r["cuts"]])
 
 
 def train(documents: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, landmarks: int = LANDMARKS_PER_LANGUAGE) -> Model:
     """Learn from doc_id, text and lang; without a single usable row every text is ``und`` and the model is not ``learned``."""
-    bits, labels = training_sample(documents, per_language)
-    return fit(bits, labels, landmarks) if labels else Model(["und"], np.zeros((CELLS, 1)))
+    bits, labels, cuts = training_sample(documents, per_language)
+    return fit(bits, labels, landmarks).calibrated(np.concatenate([bits, cuts])) if labels else Model(["und"], np.zeros((CELLS, 1)))
 
 
 def identify(documents: DataFrame, model: Model) -> DataFrame:
-    """Add lang_pred and score to all columns of ``documents`` (text); columns of those names are replaced.
+    """Add lang_pred, score and lang_known to all columns of ``documents`` (text); columns of those names are replaced.
 
     Only the whole text is looked at.  ``und`` with score 0 where the text is
-    null or has no letter.  Equal texts get equal rows; an empty table gives none.
+    null or has no letter (a sign that ``str.isalpha`` knows).  ``lang_known``
+    says whether the score is that of a text in a learned language.  Of
+    languages with equal scores the first by name is taken.  At most
+    ``LANDMARKS`` languages are ever predicted, the most frequent of the
+    training rows.  Equal texts get equal rows; an empty table gives none.
     """
-    own = [c for c in documents.columns if c.lower() not in ("lang_pred", "score")]
+    own = [c for c in documents.columns if c.lower() not in ("lang_pred", "score", "lang_known")]
     rows = documents.select(F.struct(F.lit(0), *(F.col(f"`{c}`") for c in own if c != "text")).alias("row"), F.col("text").cast("string").alias("text"))
 
     def run(batch: pa.RecordBatch) -> dict:
         found = list(model.predict(column_of(batch, "text").to_pylist()))
-        return {"row": column_of(batch, "row"), "text": column_of(batch, "text"), "lang_pred": [f[0] for f in found], "score": [f[1] for f in found]}
+        return {"row": column_of(batch, "row"), "text": column_of(batch, "text"), "lang_pred": [f[0] for f in found], "score": [f[1] for f in found], "lang_known": [f[2] for f in found]}
 
-    schema = f"row {rows.schema['row'].dataType.simpleString()}, text string, lang_pred string, score double"
+    schema = f"row {rows.schema['row'].dataType.simpleString()}, text string, lang_pred string, score double, lang_known boolean"
     judged = map_slices(rows, schema, run, rows=256)
-    return judged.select(*(F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in own), "lang_pred", "score")
+    return judged.select(*(F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in own), "lang_pred", "score", "lang_known")
 
 
 def held_out() -> Column:

@@ -97,7 +97,7 @@ def _name(shingles: np.ndarray) -> bytes | None:
 
 
 def _sets(documents: DataFrame, shingle_words: int) -> DataFrame:
-    """doc_id, n_shingles, node (null for an empty set) and group keys of each row."""
+    """doc_id, text_hash, n_shingles, node (null for an empty set) and group keys of each row."""
     def run(batch: pa.RecordBatch) -> dict:
         sets = shingle_sets(byte_texts(batch), shingle_words)
         full = [k for k, s in enumerate(sets) if len(s)]
@@ -105,9 +105,10 @@ def _sets(documents: DataFrame, shingle_words: int) -> DataFrame:
         if full:
             for k, row in zip(full, group_keys(np.stack([signature(sets[k]) for k in full]))):
                 keys[k] = row
-        return {"doc_id": column_of(batch, "doc_id"), "n_shingles": [len(s) for s in sets], "node": [_name(s) for s in sets], "keys": keys}
+        own = {c: column_of(batch, c) for c in ("doc_id", "text_hash")}
+        return own | {"n_shingles": [len(s) for s in sets], "node": [_name(s) for s in sets], "keys": keys}
 
-    return map_slices(documents, "doc_id bigint, n_shingles bigint, node binary, keys array<bigint>", run)
+    return map_slices(documents.withColumn("text_hash", F.xxhash64("text")), "doc_id bigint, text_hash bigint, n_shingles bigint, node binary, keys array<bigint>", run)
 
 
 def _shared_groups(nodes: DataFrame) -> DataFrame:
@@ -237,13 +238,15 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(documents: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
-    """One row for each row of ``documents`` (doc_id, text): doc_id, n_shingles, component_id, kept.
+    """One row for each row of ``documents`` (doc_id, text): doc_id, n_shingles, component_id, kept, text_hash.
 
     ``component_id`` is the smallest doc_id reachable over links.  An empty
     set - a null text or one without words - is linked with nothing and has
     its own doc_id.  Rows that repeat a doc_id count by their texts; a null
     doc_id is never a component's id unless all its rows have none.  Equal
-    sets are linked.  Other columns are not read; an empty table gives no rows.
+    sets are linked.  Very long texts are whole.  ``text_hash`` (xxhash64 of
+    the text) tells rows that repeat a doc_id apart.  Other columns are not
+    read; an empty table gives no rows.
     """
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = cut_lineage(_sets(texts, shingle_words))
@@ -283,13 +286,30 @@ def near_duplicates(documents: DataFrame, shingle_words: int = SHINGLE_WORDS, pe
         classes = classes.join(wider, "label", "left").withColumn("label", F.coalesce("_wider", "label"))
     ids = classes.groupBy("label").agg(F.min("_least").alias("component_id"))
     named = classes.select("node", "label").join(ids, "label").select("node", "component_id")
-    out = rows.select("doc_id", "n_shingles", "node").join(named, "node", "left")
+    out = rows.select("doc_id", "text_hash", "n_shingles", "node").join(named, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.expr("doc_id <=> component_id"))
+    found = out.select("doc_id", "n_shingles", component.alias("component_id"), "text_hash")
+    return found.select("doc_id", "n_shingles", "component_id", F.expr("doc_id <=> component_id").alias("kept"), "text_hash")
+
+
+def keep_one_of_each(documents: DataFrame, shingle_words: int, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``documents``, all columns, that stand for their group of near-duplicates; each row is judged by its own text.
+
+    The row with the smallest doc_id of a group stays, one where several have
+    that id and the same text; of several texts under one id each that stands
+    for its group.  Rows without words stay, one for each id and text; rows
+    without id stay only where their whole group has none.
+    """
+    judged = near_duplicates(documents, shingle_words, percent).where("kept")
+    kept = cut_lineage(judged.groupBy(F.col("doc_id").alias("_kept"), "text_hash").agg(F.count(F.lit(1)).alias("_n")))
+    rows = documents.select(F.col("doc_id").cast("bigint").alias("_own"), F.xxhash64(F.col("text").cast("string")).alias("_hash"), F.struct("*").alias("_row"))
+    rows = rows.join(kept, F.expr("_own <=> _kept AND _hash = text_hash"), "left_semi")
+    repeated = kept.where("_n > 1").limit(1).count() > 0
+    return (rows.dropDuplicates(["_own", "_hash"]) if repeated else rows).select("_row.*")
 
 
 def op7_minhash_near_dedup(spark, sf_dir):
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 # Only pairs whose sizes allow a link share shingles here; links spread by recursion.

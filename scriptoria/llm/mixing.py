@@ -48,11 +48,11 @@ def _weight(name: Column, weights: dict[str, int]) -> Column:
 
 
 def weigh(documents: DataFrame) -> DataFrame:
-    """The example tree: domain, lang, source and the weight of each among its siblings; null is the name '?'."""
+    """doc_id, text and the example tree: domain, lang, source and the weight of each among its siblings; null is the name '?'."""
     named = [F.coalesce(F.col(c).cast("string"), F.lit("?")) for c in ("lang", "source")]
     domain = F.when(named[1].isin(BOOKS), "books").otherwise("web")
     return documents.select(
-        "*", domain.alias("_domain"), named[0].alias("_lang"), named[1].alias("_source"),
+        "doc_id", "text", domain.alias("_domain"), named[0].alias("_lang"), named[1].alias("_source"),
         _weight(domain, DOMAIN_WEIGHTS).alias("_domain_weight"), _weight(named[0], LANGUAGE_WEIGHTS).alias("_lang_weight"), F.lit(1).cast("bigint").alias("_source_weight"),
     )
 
@@ -126,13 +126,17 @@ def select_copies(weighed: DataFrame, budget_percent: int = BUDGET_PERCENT, max_
 
 
 def mix_documents(documents: DataFrame, budget_percent: int = BUDGET_PERCENT, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
-    """The documents, all columns, as often as they are taken; rows that repeat a doc_id are taken as one."""
+    """The documents, all columns whatever their names, as often as they are taken; rows that repeat a doc_id are taken as one.
+
+    Very long texts are whole; an empty table gives no rows.
+    """
     copies = select_copies(weigh(documents), budget_percent, max_epochs, seed).where("copies > 0")
     wanted = copies.groupBy("doc_id").agg(F.max("copies").alias("_copies"))
     return (
-        documents.join(wanted.withColumnRenamed("doc_id", "_id"), F.expr("doc_id <=> _id"))
+        documents.select(F.col("doc_id").alias("_own"), F.struct("*").alias("_row"))
+        .join(wanted.withColumnRenamed("doc_id", "_id"), F.expr("_own <=> _id"))
         .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-        .select(*(F.col(f"`{c}`") for c in documents.columns))
+        .select("_row.*")
     )
 
 

@@ -111,7 +111,7 @@ def test_language_of_awkward_documents(spark):
     docs = documents(spark)
     model = langid.train(docs.where("doc_id < 12"))
     found = langid.identify(docs, model)
-    assert found.columns == docs.columns + ["lang_pred", "score"] and found.count() == docs.count()
+    assert found.columns == docs.columns + ["lang_pred", "score", "lang_known"] and found.count() == docs.count()
     for r in found.collect():
         assert (r.lang_pred == "und") == (r.text is None or not any(c.isalpha() for c in r.text))
         assert r.lang_pred in ("und", "xx")
@@ -155,7 +155,7 @@ def test_training_sample_is_bounded_over_all_languages(spark, monkeypatch):
     monkeypatch.setattr(langid, "LANDMARKS", 12)
     data = [(50 * g + k, rich_text(g % 5, 300, k), f"l{g}") for g in range(40) for k in range(20 if g < 5 else 1)]
     docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
-    bits, labels = langid.training_sample(docs)
+    bits, labels, _ = langid.training_sample(docs)
     assert len(labels) == len(bits) <= 60 and len(set(labels)) == 12
     assert {x: labels.count(x) for x in labels if x in {f"l{g}" for g in range(5)}} == {f"l{g}": 5 for g in range(5)}
     seen, eigh = [], np.linalg.eigh
@@ -174,8 +174,8 @@ def test_pieces_cover_the_whole_text(monkeypatch):
     model = langid.Model(["a", "b"], np.random.default_rng(2).random((langid.CELLS, 2)) / 100)
     t = "some wörds " * 50
     wanted = sum(share * (bits @ model.matrix) / np.sqrt(bits.sum()) for _, share, bits in langid._pieces([t]))
-    (lang, score), other = list(model.predict([t, None]))
-    assert other == ("und", 0.0) and lang == "ab"[wanted.argmax()] and np.isclose(score, min(wanted.max(), 1), atol=1e-5)
+    (lang, score, _), other = list(model.predict([t, None]))
+    assert other == ("und", 0.0, False) and lang == "ab"[wanted.argmax()] and np.isclose(score, min(wanted.max(), 1), atol=1e-5)
 
 
 def test_folded_scores_are_kernel_ridge_regression():
