@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptoria.functions.strings import slugify
 from scriptoria.operators.ordered import first_per_key
 
 # --- fixed values -----------------------------------------------------------
@@ -104,8 +103,8 @@ def resolve_citations(citations: DataFrame, divisions: DataFrame) -> DataFrame:
 
     ``citations``: citation_id, work_slug, reference.  The text is split at
     blanks, periods and colons; failing that at blanks and colons only.
-    Descriptors of the work that contain blanks are protected: every piece of
-    the reference that equals one is put in place as one part, longest first.
+    Descriptors of the work that contain blanks are protected: from the left,
+    the longest descriptor that stands at a place is one part.
     Returns citation_id, division_id, verse.
     """
     spaced = (
@@ -123,20 +122,35 @@ def resolve_citations(citations: DataFrame, divisions: DataFrame) -> DataFrame:
         at.join(spaced.withColumn("__head", head), ["work_slug", "__head"])
         .withColumn("__rest", rest)
         .where(F.col("__rest").startswith(F.col("descriptor")) & (after.isin("", " ", ".", ":") | F.col("descriptor").rlike("[ .:]$")))
-        .select("citation_id", "work_slug", "descriptor").distinct()
-        .withColumn("__slug", slugify(F.col("descriptor")))
+        .select("citation_id", F.struct(F.col("__at").alias("at"), F.size(F.regexp_extract_all("descriptor", F.lit("[^ .:]+|[ .:]"), F.lit(0))).alias("n"), "descriptor").alias("__m"))
         .groupBy("citation_id")
-        .agg(F.sort_array(F.collect_set(F.struct(F.length("descriptor").alias("n"), "descriptor", F.col("__slug").alias("slug"))), asc=False).alias("__named"))
+        .agg(F.collect_set("__m").alias("__m"))
     )
-    prepared = citations.join(named, "citation_id", "left").withColumn(
-        "__named", F.coalesce("__named", F.array().cast("array<struct<n:int,descriptor:string,slug:string>>"))
-    ).withColumn(
-        "__escaped", F.aggregate("__named", F.col("reference"), lambda text, d: F.replace(text, d["descriptor"], d["slug"]))
+    # Leftmost, longest: at each place the longest descriptor that begins after the one chosen before it.
+    ordered = F.array_sort("__m", lambda a, b: F.when(a["at"] == b["at"], b["n"] - a["n"]).otherwise(a["at"] - b["at"]))
+    found = "array<struct<at:int,n:int,descriptor:string>>"
+    chosen = F.aggregate(
+        ordered, F.array().cast(found),
+        lambda done, m: F.when(
+            (F.size(done) == 0) | (m["at"] >= F.element_at(done, -1)["at"] + F.element_at(done, -1)["n"]), F.concat(done, F.array(m))
+        ).otherwise(done),
     )
+    prepared = citations.withColumn("__signs", signs).join(named, "citation_id", "left").withColumn("__m", F.coalesce("__m", F.array().cast(found)))
+    prepared = prepared.withColumn("__named", F.transform(chosen, lambda m, k: F.struct(m["at"].alias("at"), m["n"].alias("n"), m["descriptor"].alias("descriptor"), k.alias("k"))))
+
+    def in_place(sign: Column, i: Column) -> Column:
+        """A sign, or the private mark of the descriptor that begins here, or nothing inside of one."""
+        begins = F.get(F.filter("__named", lambda m: m["at"] == i), F.lit(0))
+        mark = F.concat(F.lit("\ue000"), begins["k"].cast("string"), F.lit("\ue001"), F.when(begins["descriptor"].rlike("[ .:]$"), " ").otherwise(""))
+        inside = F.exists("__named", lambda m: (m["at"] < i) & (i < m["at"] + m["n"]))
+        return F.when(begins.isNotNull(), mark).when(inside, "").otherwise(sign)
+
+    prepared = prepared.withColumn("__escaped", F.when(F.size("__named") == 0, F.col("reference")).otherwise(F.array_join(F.transform("__signs", in_place), "")))
 
     def parts(pattern: str) -> Column:
         def named_by(part: Column) -> Column:
-            return F.get(F.filter("__named", lambda d: d["slug"] == part), F.lit(0))["descriptor"]
+            number = F.try_to_number(F.regexp_extract(part, "^\ue000([0-9]+)\ue001$", 1), F.lit("9999999")).cast("int")
+            return F.get(F.col("__named"), number)["descriptor"]
 
         return F.transform(F.split("__escaped", pattern), lambda p: F.coalesce(named_by(p), p))
 

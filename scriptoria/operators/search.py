@@ -10,14 +10,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scriptoria.functions.betacode import beta_to_unicode
 from scriptoria.functions.normalize import lookup_key, normalize, strip_accents
 from scriptoria.functions.strings import unslugify
 from scriptoria.functions.tokens import FIELD_ANALYSERS, analyse
-from scriptoria.operators.ordered import number_rows
+from scriptoria.operators.ordered import by_width, number_rows
 from scriptoria.schemas import CLAUSES
 
 _BETA_SIGNS = r"[\/()*=&+|]"
@@ -276,10 +276,21 @@ def result_counts(hits: DataFrame, estimate: bool = False) -> DataFrame:
 
 
 def page(hits: DataFrame, number: int, length: int = 20, chunk: Column | None = None) -> DataFrame:
-    """Page ``number`` (1-based) of each query's hits by verse id; ``chunk`` as for ``matched_frequencies``."""
-    numbered = number_rows(hits, ["query_id"], "verse_id", "rank", chunk=chunk)
-    low = (number - 1) * length
-    return numbered.where((F.col("rank") > low) & (F.col("rank") <= low + length))
+    """Page ``number`` (1-based) of each query's hits by verse id, with their ``rank``.
+
+    Hits are counted by ``chunk``, a column that grows with verse_id (default:
+    ids are dense); only those of the chunks that hold the page are numbered,
+    so a query with a billion hits ranks a few chunks of them.
+    """
+    low, high = (number - 1) * length, number * length
+    cut = hits.withColumn("__chunk", chunk if chunk is not None else by_width("verse_id"))
+    counts = cut.groupBy("query_id", "__chunk").agg(F.count(F.lit(1)).alias("__n"))
+    along = Window.partitionBy("query_id").orderBy("__chunk")
+    held = counts.withColumn("__before", F.sum("__n").over(along) - F.col("__n"))
+    held = held.where((F.col("__before") < high) & (F.col("__before") + F.col("__n") > low)).drop("__n")
+    inside = F.row_number().over(Window.partitionBy("query_id", "__chunk").orderBy("verse_id"))
+    numbered = cut.join(held, ["query_id", "__chunk"]).withColumn("rank", F.col("__before") + inside)
+    return numbered.where((F.col("rank") > low) & (F.col("rank") <= high)).drop("__chunk", "__before")
 
 
 def result_url(work_slug: Column, path: Column, verse: Column | None = None) -> Column:

@@ -70,12 +70,32 @@ def normalise_rules(rules: DataFrame) -> DataFrame:
     )
 
 
-# Rules that no exact value selects are looked up by every file, in so many groups of files.
+# Characters of the pieces under which patterns are filed.
+_PIECE = 3
+# Rules that neither an exact value nor a piece selects are looked up by every file, in so many groups of files.
 _OPEN_GROUPS = 64
 
 
-def _filed_under(rules: DataFrame) -> DataFrame:
-    """Each rule under the values of one column it asks for exactly; patterns and empty rules under every group of files."""
+def _pieces(text: Column) -> Column:
+    """Distinct runs of ``_PIECE`` characters; none of a shorter text."""
+    last = F.length(text) - (_PIECE - 1)
+    return F.when(last < 1, F.array().cast("array<string>")).otherwise(
+        F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda k: F.substring(text, k, F.lit(_PIECE))))
+    )
+
+
+def _rarest_pieces(files: DataFrame, rules: DataFrame) -> DataFrame:
+    """(rule_pos, __piece): the literal piece of each pattern that the fewest file names hold; none where its literals are too short."""
+    patterns = rules.where(F.col("file_name").contains("*")).select("rule_pos", F.explode(F.split("file_name", r"\*+")).alias("l"))
+    pieces = patterns.select("rule_pos", F.explode(_pieces(F.col("l"))).alias("__piece"))
+    held = files.select(F.explode(_pieces(F.col("file_name"))).alias("__piece")).join(pieces.select("__piece").distinct(), "__piece", "left_semi")
+    counts = held.groupBy("__piece").agg(F.count(F.lit(1)).alias("__n"))
+    ranked = pieces.join(counts, "__piece", "left").select("rule_pos", F.struct(F.coalesce("__n", F.lit(0)).alias("n"), "__piece").alias("r"))
+    return ranked.groupBy("rule_pos").agg(F.min("r").alias("r")).select("rule_pos", F.col("r.__piece").alias("__piece"))
+
+
+def _filed_under(rules: DataFrame, pieces: DataFrame | None) -> DataFrame:
+    """Each rule under the values of one column it asks for exactly, else under its rarest piece, else under every group of files."""
     pairs = lambda kind, values: F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
     everywhere = F.transform(F.sequence(F.lit(0), F.lit(_OPEN_GROUPS - 1)), lambda k: k.cast("string"))
     keys = (
@@ -84,8 +104,13 @@ def _filed_under(rules: DataFrame) -> DataFrame:
         .when(F.col("author").isNotNull(), pairs("author", F.array("author")))
         .when(F.col("editor").isNotNull(), pairs("editor", F.col("editor")))
         .when(F.col("language").isNotNull(), pairs("language", F.array("language")))
-        .otherwise(pairs("any", everywhere))
     )
+    if pieces is None:
+        keys = keys.otherwise(pairs("any", everywhere))
+    else:
+        rules = rules.join(pieces.select(F.col("rule_pos").alias("__pos"), "__piece"), F.expr("rule_pos = __pos"), "left")
+        keys = keys.when(F.col("__piece").isNotNull(), pairs("piece", F.array("__piece"))).otherwise(pairs("any", everywhere))
+        rules = rules.drop("__pos")
     return rules.select(F.struct(*rules.columns).alias("__r"), F.explode(F.array_distinct(keys)).alias("__key"))
 
 
@@ -95,9 +120,15 @@ def matched_rules(files: DataFrame, rules: DataFrame) -> DataFrame:
     ``files``: file_id, author, title, language, file_name, editor.  A NULL
     rule column matches anything; titles and editors match any member; a file
     name with ``*`` is a pattern.  A file meets the rules that are filed under
-    one of its own values, and those that ask for no exact value; of the ones
-    it fits the first counts.
+    one of its own values or a piece of its name, and those that give neither;
+    of the ones it fits the first counts.
     """
+    first = tested_rules(files, rules).groupBy("file_id").agg(F.min("__rule").alias("__first"))
+    return files.join(first, "file_id", "left").select(*files.columns, "__first.rule_pos", "__first.should_import", "__first.import_parameters")
+
+
+def tested_rules(files: DataFrame, rules: DataFrame, fitting: bool = True) -> DataFrame:
+    """(file_id, __rule) of the rules that fit each file, or with ``fitting`` off of all that are tried on it."""
 
     def fits(want: Column, have: Column) -> Column:
         return want.isNull() | F.coalesce(want == have, F.lit(False))
@@ -107,22 +138,23 @@ def matched_rules(files: DataFrame, rules: DataFrame) -> DataFrame:
 
     own = [F.struct(F.lit(c).alias("kind"), F.col(c).alias("value")) for c in ("file_name", "title", "author", "editor", "language")]
     group = F.pmod(F.xxhash64("file_id"), F.lit(_OPEN_GROUPS)).cast("string")
-    keyed = files.select(
-        "file_id", "author", "title", "language", "file_name", "editor",
-        F.explode(F.array(*own, F.struct(F.lit("any").alias("kind"), group.alias("value")))).alias("__key"),
-    )
+    patterns = rules.where("file_name LIKE '%*%' AND title IS NULL AND author IS NULL AND editor IS NULL AND language IS NULL")
+    pieces = _rarest_pieces(files, patterns) if patterns.limit(1).count() else None
+    under = F.array(*own, F.struct(F.lit("any").alias("kind"), group.alias("value")))
+    if pieces is not None:
+        under = F.concat(under, F.transform(_pieces(F.coalesce("file_name", F.lit(""))), lambda p: F.struct(F.lit("piece").alias("kind"), p.alias("value"))))
+    keyed = files.select("file_id", "author", "title", "language", "file_name", "editor", F.explode(under).alias("__key"))
     r = lambda c: F.col(f"__r.{c}")
     name = F.when(
         r("file_name").contains("*"), F.coalesce(F.rlike(F.col("file_name"), wildcard_pattern(r("file_name"))), F.lit(False))
     ).otherwise(fits(r("file_name"), F.col("file_name")))
-    matching = keyed.join(_filed_under(rules), "__key").where(
+    tried = keyed.join(_filed_under(rules, pieces), "__key")
+    fits_all = (
         fits(r("author"), F.col("author")) & among(r("editor"), F.col("editor")) & among(r("title"), F.col("title"))
         & fits(r("language"), F.col("language")) & name
     )
-    first = matching.groupBy("file_id").agg(
-        F.min(F.struct(r("rule_pos").alias("rule_pos"), r("should_import").alias("should_import"), r("import_parameters").alias("import_parameters"))).alias("__first")
-    )
-    return files.join(first, "file_id", "left").select(*files.columns, "__first.rule_pos", "__first.should_import", "__first.import_parameters")
+    rule = F.struct(r("rule_pos").alias("rule_pos"), r("should_import").alias("should_import"), r("import_parameters").alias("import_parameters"))
+    return (tried.where(fits_all) if fitting else tried).select("file_id", rule.alias("__rule"))
 
 
 def accepted_files(files: DataFrame, rules: DataFrame) -> DataFrame:
@@ -261,10 +293,27 @@ def assign_related_work(library: Library, arguments: DataFrame) -> Library:
 # Divisions --------------------------------------------------------------------------
 
 
-def _unique_targets(found: DataFrame, key: str) -> DataFrame:
-    """Fail when an argument does not name exactly one division."""
-    counted = found.groupBy(key).agg(F.count("division_id").alias("__n"), F.min("division_id").alias("division_id"))
-    return counted.withColumn(
+def _match_given(known: DataFrame, asked: DataFrame, keys: dict[str, str]) -> DataFrame:
+    """(argument_id, division_id) of the one division that agrees with each argument in all keys it gives; another number is an error.
+
+    ``keys``: column of ``asked`` -> column of ``known``.  Arguments are grouped
+    by the set of keys they give - at most 2^keys sets.  For each set that
+    occurs divisions are counted by work and these keys and met by equality, so
+    no argument meets more than one row.
+    """
+    mask = sum((F.when(F.col(k).isNotNull(), 1 << n).otherwise(0) for n, k in enumerate(keys)), F.lit(0))
+    masked = asked.select("argument_id", "work_id", *keys, mask.alias("__mask"))
+    found = None
+    for row in masked.select("__mask").distinct().collect():
+        given = {k: c for n, (k, c) in enumerate(keys.items()) if row[0] >> n & 1}
+        counted = known.groupBy("work_id", *given.values()).agg(F.count("division_id").alias("__n"), F.min("division_id").alias("division_id"))
+        counted = counted.select("work_id", *(F.col(c).alias(k) for k, c in given.items()), "__n", "division_id")
+        own = masked.where(F.col("__mask") == row[0]).select("argument_id", "work_id", *given).join(counted, ["work_id", *given], "left")
+        own = own.select("argument_id", F.coalesce("__n", F.lit(0)).alias("__n"), "division_id")
+        found = own if found is None else found.unionByName(own)
+    if found is None:
+        return asked.select("argument_id", F.lit(None).cast("bigint").alias("division_id")).where("false")
+    return found.withColumn(
         "division_id",
         F.when(F.col("__n") == 1, F.col("division_id")).otherwise(
             F.raise_error(F.concat(F.lit("the transform names "), F.col("__n").cast("string"), F.lit(" divisions"))).cast("bigint")
@@ -272,10 +321,6 @@ def _unique_targets(found: DataFrame, key: str) -> DataFrame:
     ).drop("__n")
 
 
-def _optional_match(want: Column, have: Column) -> Column:
-    return want.isNull() | want.eqNullSafe(have)
-
-
 @transform("set_division_title")
 def set_division_title(library: Library, arguments: DataFrame) -> Library:
     """``arguments``: argument_id, work_id, existing_title_slug, existing_parent_slug, existing_sequence_number, title, title_slug, descriptor."""
@@ -287,14 +332,8 @@ def set_division_title(library: Library, arguments: DataFrame) -> Library:
         *[F.col(n).alias(f"__{n}") for n in new],
     )
     known = divisions.join(parents, "parent_id", "left").select("work_id", "division_id", "title_slug", "sequence_number", "__parent_slug")
-    fits = (
-        _optional_match(F.col("existing_title_slug"), F.col("title_slug"))
-        & _optional_match(F.col("existing_parent_slug"), F.col("__parent_slug"))
-        & _optional_match(F.col("existing_sequence_number"), F.col("sequence_number"))
-    )
-    found = known.join(asked.drop(*[f"__{n}" for n in new]), "work_id").where(fits)
-    checked = asked.select("argument_id").join(found.select("argument_id", "division_id"), "argument_id", "left")
-    target = _unique_targets(checked, "argument_id").join(asked.select("argument_id", *[f"__{n}" for n in new]), "argument_id").drop("argument_id")
+    given = {"existing_title_slug": "title_slug", "existing_parent_slug": "__parent_slug", "existing_sequence_number": "sequence_number"}
+    target = _match_given(known, asked, given).join(asked.select("argument_id", *[f"__{n}" for n in new]), "argument_id").drop("argument_id")
     joined = divisions.join(target, "division_id", "left")
     return {
         **library,
@@ -308,12 +347,8 @@ def set_division_readable(library: Library, arguments: DataFrame) -> Library:
     divisions = library["divisions"]
     keys = ["sequence_number", "title_slug", "type", "descriptor", "level"]
     asked = arguments.select("argument_id", "work_id", *[F.col(k).alias(f"__{k}") for k in keys], F.col("readable").alias("__readable"))
-    fits = F.lit(True)
-    for k in keys:
-        fits = fits & _optional_match(F.col(f"__{k}"), F.col(k))
-    found = divisions.select("work_id", "division_id", *keys).join(asked.drop("__readable"), "work_id").where(fits)
-    checked = asked.select("argument_id").join(found.select("argument_id", "division_id"), "argument_id", "left")
-    target = _unique_targets(checked, "argument_id").join(asked.select("argument_id", "__readable"), "argument_id").drop("argument_id")
+    target = _match_given(divisions.select("work_id", "division_id", *keys), asked, {f"__{k}": k for k in keys})
+    target = target.join(asked.select("argument_id", "__readable"), "argument_id").drop("argument_id")
     joined = divisions.join(target, "division_id", "left")
     return {
         **library,

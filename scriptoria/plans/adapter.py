@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptoria.functions.normalize import strip_accents
 from scriptoria.functions.tokens import plain_tokens, word_tokens
-from scriptoria.session import spread
+from scriptoria.session import shared_folder, spread
 
 # A verse id is the document id followed by 26 bits of line number.
 LINE_BITS = 26
@@ -204,3 +206,43 @@ def note_references(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         .join(docs, "division_id")
     )
+
+
+def document_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A division tree over the documents: source, language, document; ``position`` numbers it in document order."""
+    from scriptoria.operators.ordered import by_width, number_rows
+
+    none = lambda kind: F.lit(None).cast(kind)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
+    top, middle = -1 - F.crc32("source"), -(1 << 33) - F.crc32(F.concat("source", F.lit("-"), "lang"))
+    source = docs.select("source").distinct().select(
+        top.alias("division_id"), none("bigint").alias("parent_id"), F.col("source").alias("descriptor"), F.lit("Part").alias("type"),
+        F.col("source").alias("title_slug"), F.struct("source", F.lit("").alias("lang"), F.lit(-1).cast("bigint").alias("doc_id")).alias("sort_key"),
+    )
+    language = docs.select("source", "lang").distinct().select(
+        middle.alias("division_id"), top.alias("parent_id"), F.col("lang").alias("descriptor"), F.lit("Book").alias("type"),
+        work_slug().alias("title_slug"), F.struct("source", "lang", F.lit(-1).cast("bigint").alias("doc_id")).alias("sort_key"),
+    )
+    document = docs.select(
+        F.col("doc_id").alias("division_id"), middle.alias("parent_id"), F.col("doc_id").cast("string").alias("descriptor"), F.lit("Chapter").alias("type"),
+        F.concat(work_slug(), F.lit("-"), F.col("doc_id").cast("string")).alias("title_slug"), F.struct("source", "lang", "doc_id").alias("sort_key"),
+    )
+    tree = source.unionByName(language).unionByName(document).withColumns({"root": F.lit(0), "title": none("string")})
+    chunk = F.struct("sort_key.source", "sort_key.lang", by_width(F.col("sort_key.doc_id")).alias("c"))
+    return number_rows(tree, ["root"], "sort_key", "position", chunk=chunk).withColumn("sequence_number", F.col("position")).drop("root", "sort_key")
+
+
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def stored_index(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of the index of all verses, written once for each application and input."""
+    from scriptoria.operators.postings import build_term_counts, index_documents
+    from scriptoria.operators.stored_index import write_index
+
+    name = (spark.sparkContext.applicationId, sf_dir)
+    if name not in _STORED:
+        folder = f"{shared_folder(spark)}/stored-index-{uuid.uuid4()}"
+        write_index(build_term_counts(index_documents(verses(spark, sf_dir))), folder)
+        _STORED[name] = folder
+    return _STORED[name]

@@ -59,6 +59,58 @@ def policy_first_matching_rule(spark, sf_dir):
     return T.matched_rules(_files(spark, sf_dir), _rules(spark)).select("file_id", "rule_pos", "should_import")
 
 
+_PATTERNS = """WITH f AS (SELECT p_partkey AS file_id, p_name || '_' || p_partkey || '.xml' AS name FROM part),
+r AS (SELECT p_partkey AS pos, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE '_' END || p_partkey || '.xml' AS tail, p_partkey % 4 <> 0 AS should_import FROM part)
+SELECT file_id, CAST(min(pos) AS INTEGER) AS rule_pos, arg_min(should_import, pos) AS should_import FROM f JOIN r ON suffix(name, tail) GROUP BY file_id"""
+
+
+def part_patterns(spark, sf_dir):
+    """Files named after the parts, and a pattern for each part."""
+    key, null = F.col("p_partkey"), F.lit(None).cast("string")
+    part = A.table(spark, sf_dir, "part")
+    files = part.select(
+        key.alias("file_id"), F.concat("p_name", F.lit("_"), key.cast("string"), F.lit(".xml")).alias("file_name"), *(F.lit("x").alias(c) for c in ("author", "title", "language", "editor"))
+    )
+    lists = F.lit(None).cast("array<string>")
+    rules = part.select(
+        key.cast("int").alias("rule_pos"), null.alias("author"), lists.alias("editor"), lists.alias("title"),
+        F.concat(F.when(key % 3 == 0, "*").otherwise("*_"), key.cast("string"), F.lit(".xml")).alias("file_name"), null.alias("language"), (key % 4 != 0).alias("should_import"), null.alias("import_parameters"),
+    )
+    return files, rules
+
+
+@query("policy_pattern_rules", "J18 P16 F26", _PATTERNS)
+def policy_pattern_rules(spark, sf_dir):
+    """A pattern for each file: rules are filed under their rarest piece, and a file meets few of them."""
+    return T.matched_rules(*part_patterns(spark, sf_dir)).select("file_id", "rule_pos", "should_import")
+
+
+@query(
+    "transform_many_arguments", "M5 M6",
+    """SELECT p_partkey AS division_id, CASE p_partkey % 4 WHEN 0 THEN 'T' || p_partkey WHEN 1 THEN 'T' || p_partkey END AS title, p_partkey % 4 >= 2 AS readable_unit FROM part""",
+)
+def transform_many_arguments(spark, sf_dir):
+    """An argument for each division of one work; arguments differ in the keys they give."""
+    key, null = F.col("p_partkey"), F.lit(None)
+    part, text = A.table(spark, sf_dir, "part"), key.cast("string")
+    slug = F.concat(F.lit("d-"), text)
+    divisions = part.select(
+        F.lit(1).cast("bigint").alias("work_id"), key.alias("division_id"), null.cast("bigint").alias("parent_id"), null.cast("string").alias("title"), slug.alias("title_slug"),
+        text.alias("descriptor"), key.alias("sequence_number"), F.lit("Chapter").alias("type"), F.lit(1).alias("level"), F.lit(False).alias("readable_unit"),
+    )
+    own = [key.alias("argument_id"), F.lit(1).cast("bigint").alias("work_id")]
+    titles = part.where(key % 4 < 2).select(
+        *own, F.when(key % 4 == 0, slug).alias("existing_title_slug"), null.cast("string").alias("existing_parent_slug"), F.when(key % 4 == 1, key).alias("existing_sequence_number"),
+        F.concat(F.lit("T"), text).alias("title"), null.cast("string").alias("title_slug"), null.cast("string").alias("descriptor"),
+    )
+    readable = part.where(key % 4 >= 2).select(
+        *own, F.when(key % 4 == 2, key).alias("sequence_number"), F.when(key % 8 == 3, slug).alias("title_slug"), F.when(key % 8 == 3, "Chapter").alias("type"), F.when(key % 8 == 7, text).alias("descriptor"),
+        F.when(key % 8 == 7, 1).alias("level"), F.lit(True).alias("readable"),
+    )
+    done = T.run_transforms({"divisions": divisions}, [("set_division_title", titles), ("set_division_readable", readable)])
+    return done["divisions"].select("division_id", "title", "readable_unit")
+
+
 @query(
     "corpus_index", "K4 J18 P16",
     f"SELECT p_name AS title, p_brand AS author, p_type AS language, replace(p_name, ' ', '_') || '.xml' AS file, 'Editor ' || p_size AS editor FROM part WHERE {_RULE} IN (1, 2, 3, 5)",

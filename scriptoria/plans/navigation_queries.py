@@ -236,6 +236,27 @@ def deep_citations(spark, sf_dir):
     return C.resolve_citations(cited, tree)
 
 
+_GREEK = """SELECT p_partkey AS citation_id, CASE WHEN p_partkey % 5 > 0 THEN p_partkey + 100 WHEN p_partkey % 2 = 0 THEN 11 ELSE 12 END AS division_id,
+  CASE WHEN p_partkey % 5 = 0 THEN 'v' || p_partkey END AS verse FROM part"""
+
+
+@query("citations_longest_match", "F20 J8 J9", _GREEK)
+def citations_longest_match(spark, sf_dir):
+    """Several descriptors with blanks in one citation, without a Latin letter, and one that begins as another does."""
+    key = F.col("p_partkey")
+    even = key % 2 == 0
+    part = A.table(spark, sf_dir, "part")
+    heads = part.select(F.when(even, 1).otherwise(2).alias("n")).distinct()
+    null = F.lit(None).cast("string")
+    rest = [null.alias("title"), null.alias("type"), F.lit("greek").alias("work_slug")]
+    books = heads.select(F.col("n").cast("bigint").alias("division_id"), F.lit(None).cast("bigint").alias("parent_id"), F.when(F.col("n") == 1, "α β").otherwise("α β ζ").alias("descriptor"), F.col("n").cast("bigint").alias("sequence_number"), *rest)
+    chapters = heads.select((F.col("n") + 10).cast("bigint").alias("division_id"), F.col("n").cast("bigint").alias("parent_id"), F.lit("γ δ. ε").alias("descriptor"), (F.col("n") + 10).cast("bigint").alias("sequence_number"), *rest)
+    leaves = part.select((key + 100).alias("division_id"), F.when(even, 11).otherwise(12).cast("bigint").alias("parent_id"), key.cast("string").alias("descriptor"), (key + 100).alias("sequence_number"), *rest)
+    head = F.when(even, "α β γ δ. ε").otherwise("α β ζ γ δ. ε")
+    cited = part.select(key.alias("citation_id"), F.lit("greek").alias("work_slug"), F.when(key % 5 == 0, F.concat(head, F.lit(":v"), key.cast("string"))).otherwise(F.concat(head, F.lit(" "), key.cast("string"))).alias("reference"))
+    return C.resolve_citations(cited, H.with_ancestors(books.unionByName(chapters).unionByName(leaves)))
+
+
 @query(
     "book_number_styles", "F19",
     """SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, count(*) AS n,

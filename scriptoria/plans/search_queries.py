@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from scriptoria.operators import postings as P
 from scriptoria.operators import search as S
+from scriptoria.operators import stored_index as I
 from scriptoria.operators.export import result_rows, search_summary
+from scriptoria.operators.hierarchy import section_text, with_ancestors
 from scriptoria.plans import adapter as A
 from scriptoria.plans.registry import query
-from scriptoria.plans.sql import POSTINGS, VERSES, WORKS, with_
+from scriptoria.plans.sql import POSTINGS, VERSES, WORD, WORKS, with_
 
 TWO_TERMS = [(1, 0, 0, False, "content", "the"), (1, 0, 1, False, "content", "and")]
 
@@ -207,7 +209,7 @@ SELECT query_id, CAST(sum(tf) AS BIGINT) AS matches, count(DISTINCT verse_id) AS
 FROM hits JOIN firsts USING (query_id) JOIN postings USING (verse_id, term) WHERE field = 'content' GROUP BY query_id""",
 )
 def search_many_queries(spark, sf_dir):
-    """One AND of all distinct words for each benchmark item, all in one job."""
+    """One AND of all distinct words for each benchmark item, all in one job, over the stored index."""
     words = A.table(spark, sf_dir, "benchmark").select(
         F.col("item_id").alias("query_id"), F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))).alias("clause", "term")
     )
@@ -216,7 +218,7 @@ def search_many_queries(spark, sf_dir):
         .agg(F.min("clause").alias("clause"))
         .select("query_id", F.lit(0).alias("branch"), "clause", F.lit(False).alias("negated"), F.lit("content").alias("field"), "term")
     )
-    return S.total_matches(S.matched_frequencies(S.match(_counts(spark, sf_dir, terms=terms), terms)))
+    return S.total_matches(S.matched_frequencies(I.match_stored(spark, A.stored_index(spark, sf_dir), terms)))
 
 
 @query(
@@ -274,3 +276,91 @@ FROM postings JOIN hits USING (verse_id) WHERE field = 'content' AND term IN ('t
 def search_metadata(spark, sf_dir):
     hits = _hits(spark, sf_dir)
     return search_summary(S.total_matches(S.matched_frequencies(hits)), "the AND and").drop("query_id")
+
+
+@query(
+    "stored_dictionary", "K5 A4",
+    with_(VERSES, POSTINGS) + """
+SELECT field, term, count(*) AS verses, CAST(sum(tf) AS BIGINT) AS occurrences FROM postings GROUP BY field, term""",
+)
+def stored_dictionary(spark, sf_dir):
+    """The dictionary beside the stored index."""
+    return spark.read.parquet(f"{A.stored_index(spark, sf_dir)}/dictionary").select("field", "term", "verses", "occurrences")
+
+
+def _fielded(spark: SparkSession, sf_dir: str, rows) -> DataFrame:
+    """Hits of clauses on texts, sections of the document tree and works."""
+    tree = with_ancestors(A.document_tree(spark, sf_dir))
+    sections = tree.select(F.col("division_id").alias("verse_id"), F.col("title_slug").alias("work_slug"), section_text(F.col("path"), F.col("title_path")).alias("section"), F.col("title_slug").alias("section_id"))
+    works = A.works(spark, sf_dir).select(
+        F.xxhash64("title_slug").alias("verse_id"), F.col("title_slug").alias("work_slug"), F.concat("title", F.lit(","), "title_slug").alias("work"),
+        F.col("title_slug").alias("work_id"), F.element_at("authors", 1).alias("author"),
+    )
+    return I.search_fielded(
+        A.stored_index(spark, sf_dir), S.clauses(spark, rows), A.verses(spark, sf_dir).where(F.length("content") > 0), tree,
+        P.build_postings(sections, I.SECTION_FIELDS), P.build_postings(works, I.WORK_FIELDS),
+    )
+
+
+def _fielded_sql(condition: str, term: str | None, columns: str, rest: str) -> str:
+    """Verses of documents that fulfil a condition, and hold a term if one is given."""
+    holds = f"AND list_contains(regexp_extract_all(lower(content), '{WORD}'), '{term}')" if term else ""
+    return with_(VERSES) + f"""
+SELECT CAST(1 AS BIGINT) AS query_id, {columns} FROM verses JOIN documents d ON d.doc_id = division_id
+WHERE length(content) > 0 AND ({condition}) {holds} {rest}"""
+
+
+@query("search_section_field", "P13 J16 A5", _fielded_sql("source = 'src3'", "the", "count(*) AS results", "HAVING count(*) > 0"))
+def search_section_field(spark, sf_dir):
+    """``section:src3 the``: the part and all that lies below it."""
+    return S.result_counts(_fielded(spark, sf_dir, [(1, 0, 0, False, "section", "src3"), (1, 0, 1, False, "content", "the")]))
+
+
+@query("search_section_phrase", "P14 P13", _fielded_sql("source = 'src3' AND lang = 'de'", "der", "work_slug, count(*) AS verses, count(DISTINCT division_id) AS sections", "GROUP BY work_slug"))
+def search_section_phrase(spark, sf_dir):
+    """``section:"src3 de" der``: a quoted description of a section."""
+    return I.matched_works(_fielded(spark, sf_dir, [(1, 0, 0, False, "section", "src3 de"), (1, 0, 1, False, "content", "der")]))
+
+
+@query("search_section_id_field", "P13 P14", _fielded_sql("source = 'src2' AND lang = 'en'", "of", "division_id, count(*) AS verses", "GROUP BY division_id"))
+def search_section_id_field(spark, sf_dir):
+    """``section_id:src2-en of``, with the verses of each section that is met."""
+    return I.matched_sections(_fielded(spark, sf_dir, [(1, 0, 0, False, "section_id", "src2-en"), (1, 0, 1, False, "content", "of")]))
+
+
+@query("search_work_id_field", "P13 J1", _fielded_sql("source = 'src1' AND lang = 'en'", "of", "count(*) AS results", "HAVING count(*) > 0"))
+def search_work_id_field(spark, sf_dir):
+    return S.result_counts(_fielded(spark, sf_dir, [(1, 0, 0, False, "work_id", "src1-en"), (1, 0, 1, False, "content", "of")]))
+
+
+@query("search_author_field", "P13 P15 A4", _fielded_sql("source = 'src4' AND NOT (source = 'src4' AND lang = 'en')", None, "work_slug, count(*) AS verses, count(DISTINCT division_id) AS sections", "GROUP BY work_slug"))
+def search_author_field(spark, sf_dir):
+    """``author:"Author of src4" NOT section:"src4 en"``: no clause on a text at all."""
+    return I.matched_works(_fielded(spark, sf_dir, [(1, 0, 0, False, "author", "Author of src4"), (1, 0, 1, True, "section", "src4 en")]))
+
+
+@query(
+    "search_sections_matched", "A4 P13",
+    _fielded_sql("source IN ('src5', 'src6') AND (source, lang) NOT IN (('src5', 'de'))", None, "division_id, count(*) AS verses", "GROUP BY division_id"),
+)
+def search_sections_matched(spark, sf_dir):
+    """``(section:src5 NOT section:"src5 de") OR section:src6``: verses of each section that is met."""
+    rows = [(1, 0, 0, False, "section", "src5"), (1, 0, 1, True, "section", "src5 de"), (1, 1, 0, False, "section", "src6")]
+    return I.matched_sections(_fielded(spark, sf_dir, rows))
+
+
+@query(
+    "search_page_of_many_queries", "W13 O5",
+    with_(VERSES, POSTINGS) + """,
+asked AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS term FROM benchmark),
+hits AS (SELECT DISTINCT query_id, verse_id FROM asked JOIN postings USING (term) WHERE field = 'content')
+SELECT query_id, verse_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY verse_id) AS rank FROM hits) WHERE rank BETWEEN 41 AND 60""".replace(")\n,", "),"),
+)
+def search_page_of_many_queries(spark, sf_dir):
+    """The third page of every benchmark item's hits, words OR-ed."""
+    words = A.table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("query_id"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))).alias("term")
+    )
+    postings = spark.read.parquet(f"{A.stored_index(spark, sf_dir)}/postings").where("field = 'content'")
+    hits = postings.select("term", "verse_id").join(words, "term").select("query_id", "verse_id").distinct()
+    return S.page(hits, 3, 20, chunk=A.verse_chunk())

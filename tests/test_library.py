@@ -130,7 +130,7 @@ def test_chapter_text(spark):
 def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([("/work/a", "A 1", "text, \"quoted\"", "A", "1", "1")], ", ".join(f"{c} string" for c in E.RESULT_COLUMNS))
     E.write_results_csv(rows, str(tmp_path / "hits"))
-    assert [tuple(r) for r in spark.read.option("header", True).option("escape", "\\").csv(str(tmp_path / "hits")).collect()] == [tuple(rows.first())]
+    assert [tuple(r) for r in spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "hits")).collect()] == [tuple(rows.first())]
     chapters = spark.createDataFrame([("a", "line"), ("b", "other")], "work_slug string, text string")
     E.write_chapter_texts(chapters, str(tmp_path / "chapters"))
     assert spark.read.text(str(tmp_path / "chapters")).where("work_slug = 'a'").first().value == "line"
