@@ -9,6 +9,7 @@ from scriptoria.functions.betacode import beta_to_unicode
 from scriptoria.functions.normalize import lookup_key, strip_accents
 from scriptoria.functions.tokens import plain_tokens
 from scriptoria.operators import morphology as M
+from scriptoria.operators import near_words as N
 from scriptoria.operators import postings as P
 from scriptoria.operators import search as S
 from scriptoria.operators.ordered import by_width
@@ -251,6 +252,23 @@ def _query_words(spark, sf_dir) -> DataFrame:
 _QUERY_WORDS = r"qw AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS word FROM benchmark)"
 
 
+@query(
+    "words_within_one_edit", "O3",
+    with_(TOKENS, _QUERY_WORDS) + "SELECT word, token AS near, CAST(levenshtein(word, token) AS INTEGER) AS edits FROM qw JOIN tokens ON abs(length(word) - length(token)) <= 1 AND levenshtein(word, token) <= 1",
+)
+def words_within_one_edit(spark, sf_dir):
+    """Tokens of the documents next to each word of the benchmark."""
+    return N.within_one_edit(_query_words(spark, sf_dir), A.tokens(spark, sf_dir).withColumnRenamed("token", "word"))
+
+
+@query("near_words_ranked", "F40 O3")
+def near_words_ranked(spark, sf_dir):
+    """Tokens of the documents similar to each word of the benchmark, the most similar first."""
+    near = N.near_words(_query_words(spark, sf_dir), A.tokens(spark, sf_dir).withColumnRenamed("token", "word"))
+    return near.orderBy("word", F.desc("similarity"), "near")
+
+
+
 @query(
     "related_forms_of_query_words", "J2 P5",
     with_(TOKENS, _QUERY_WORDS) + """

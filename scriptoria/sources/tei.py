@@ -23,6 +23,8 @@ from scriptoria.schemas import NODES
 CATALOGUE_FILE = "__cts__.xml"
 # ----------------------------------------------------------------------------------
 _ROWS_PER_BATCH = 50_000
+# Positions of a file that elements and the texts inside them meet by.
+TILE = 64
 
 
 def read_files(spark: SparkSession, path: str, pattern: str = "*.xml") -> DataFrame:
@@ -147,15 +149,19 @@ def inside(nodes: DataFrame, tag: str) -> DataFrame:
 def element_text(nodes: DataFrame, elements: DataFrame, recurse: bool = False, separator: str = "") -> DataFrame:
     """Add ``text`` to elements: their direct text nodes, or all texts inside them.
 
-    The pairs are found by the parent's position, or by the interval within
-    the same file.
+    Direct texts are met by the parent's position.  For all texts a file is cut
+    into tiles of ``TILE`` positions: an element stands under the tiles of its
+    interval and a text under its one tile, so a text meets the few elements
+    that reach into its tile and not all of its file.
     """
     texts = nodes.where(F.col("kind") == "text").select(
         F.col("file"), F.col("node_seq").alias("__at"), F.col("parent_seq").alias("__parent"), F.col("text").alias("__text")
     )
     wanted = elements.select("file", "node_seq", "end_seq")
     if recurse:
-        pairs = wanted.join(texts, "file").where(F.col("__at").between(F.col("node_seq"), F.col("end_seq")))
+        tile = lambda c: F.floor(F.col(c) / TILE).cast("bigint")
+        tiled = wanted.withColumn("__tile", F.explode(F.sequence(tile("node_seq"), tile("end_seq"))))
+        pairs = tiled.join(texts.withColumn("__tile", tile("__at")), ["file", "__tile"]).where(F.col("__at").between(F.col("node_seq"), F.col("end_seq")))
     else:
         pairs = wanted.join(texts.withColumnRenamed("__parent", "node_seq"), ["file", "node_seq"])
     folded = pairs.groupBy("file", "node_seq").agg(F.array_sort(F.collect_list(F.struct("__at", "__text"))).alias("__t"))
