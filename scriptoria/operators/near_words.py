@@ -69,11 +69,14 @@ def near_words(words: DataFrame, vocabulary: DataFrame, percent: int = PERCENT)
         ranked = df.join(held, "gram", "left").groupBy("word", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("held", F.lit(0)).alias("held"), "gram"))).alias("g"))
         shortest = F.ceil(F.col("n") * least / (200 - least))
         first = F.size("g") - F.greatest(F.ceil((F.col("n") + shortest) * rate - 1 - 1e-9), F.lit(1)) + 1
-        heads.append(ranked.select("word", "n", F.explode(F.slice("g", F.lit(1), F.greatest(first, F.lit(0)).cast("int"))).alias("h")).select("word", "n", F.col("h.gram").alias("gram")))
-    other = heads[1].select(F.col("word").alias("near"), F.col("n").alias("m"), "gram")
+        own = F.transform("g", lambda g: g["gram"]).alias("grams")
+        heads.append(ranked.select("word", "n", own, F.explode(F.slice("g", F.lit(1), F.greatest(first, F.lit(0)).cast("int"))).alias("h")).select("word", "n", "grams", F.col("h.gram").alias("gram")))
+    other = heads[1].select(F.col("word").alias("near"), F.col("n").alias("m"), F.col("grams").alias("others"), "gram")
     total = F.col("n") + F.col("m")
     fits = F.least("n", "m") * 200 >= total * least
-    by_gram = heads[0].join(other, "gram").where(fits & (_least_shared(total, least) >= 1)).select("word", "near")
+    # What meets must share as many bigrams as the similarity asks for; only then characters are compared.
+    enough = F.size(F.array_intersect("grams", "others")) >= _least_shared(total, least)
+    by_gram = heads[0].join(other, "gram").where(fits & (_least_shared(total, least) >= 1) & enough).select("word", "near")
     key = F.when(F.length("word") < 2, F.array("word")).otherwise(one_deletion(F.col("word")))
     keyed = [df.select("word", F.length("word").alias("n"), F.explode(key).alias("key")) for df in both]
     short = keyed[0].join(keyed[1].select(F.col("word").alias("near"), F.col("n").alias("m"), "key"), "key")

@@ -254,7 +254,14 @@ _QUERY_WORDS = r"qw AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '
 
 @query(
     "words_within_one_edit", "O3",
-    with_(TOKENS, _QUERY_WORDS) + "SELECT word, token AS near, CAST(levenshtein(word, token) AS INTEGER) AS edits FROM qw JOIN tokens ON abs(length(word) - length(token)) <= 1 AND levenshtein(word, token) <= 1",
+    with_(TOKENS, _QUERY_WORDS).rstrip() + """,
+cut AS (SELECT word, unnest(list_transform(range(1, length(word) + 1), lambda k: left(word, k - 1) || '*' || substr(word, k + 1))) AS gap FROM (SELECT word FROM qw UNION SELECT token FROM tokens)),
+near AS (
+  SELECT a.word, b.word AS near FROM cut a JOIN cut b USING (gap)
+  UNION SELECT a.word, token FROM cut a JOIN tokens ON replace(gap, '*', '') = token
+  UNION SELECT qw.word, b.word FROM cut b JOIN qw ON replace(gap, '*', '') = qw.word)
+SELECT DISTINCT word, near, CASE WHEN word = near THEN 0 ELSE 1 END AS edits FROM near
+WHERE word IN (SELECT word FROM qw) AND near IN (SELECT token FROM tokens)""".lstrip(),
 )
 def words_within_one_edit(spark, sf_dir):
     """Tokens of the documents next to each word of the benchmark."""
