@@ -235,13 +235,13 @@ def document_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 _STORED: dict[tuple[str, str], str] = {}
 
 
-def stored_index(spark: SparkSession, sf_dir: str) -> str:
-    """Folder of the index of all verses, written once for each application and input."""
+def stored_index(spark: SparkSession, sf_dir: str, fresh: bool = False) -> str:
+    """Folder of the index of all verses, written once for each application and input, or again if ``fresh``."""
     from scriptoria.operators.postings import build_term_counts, index_documents
     from scriptoria.operators.stored_index import write_index
 
     name = (spark.sparkContext.applicationId, sf_dir)
-    if name not in _STORED:
+    if fresh or name not in _STORED:
         folder = f"{shared_folder(spark)}/stored-index-{uuid.uuid4()}"
         write_index(build_term_counts(index_documents(verses(spark, sf_dir))), folder)
         _STORED[name] = folder
