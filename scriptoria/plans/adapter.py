@@ -246,3 +246,19 @@ def stored_index(spark: SparkSession, sf_dir: str, fresh: bool = False) -> str:
         write_index(build_term_counts(index_documents(verses(spark, sf_dir))), folder)
         _STORED[name] = folder
     return _STORED[name]
+
+
+def positional_index(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of an index of all verses with positions and cut texts, written once for each application and input."""
+    from scriptoria.operators.highlights import segment_table, write_segments
+    from scriptoria.operators.postings import build_postings, index_documents
+    from scriptoria.operators.stored_index import write_index
+
+    name = (spark.sparkContext.applicationId, sf_dir, "positions")
+    if name not in _STORED:
+        folder = f"{shared_folder(spark)}/positional-index-{uuid.uuid4()}"
+        docs = index_documents(verses(spark, sf_dir))
+        write_index(build_postings(docs, word_analyser="plain"), folder)
+        write_segments(segment_table(docs, word_analyser="plain"), folder)
+        _STORED[name] = folder
+    return _STORED[name]

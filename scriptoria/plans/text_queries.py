@@ -10,11 +10,13 @@ from scriptoria.functions import strings as X
 from scriptoria.functions import tokens as K
 from scriptoria.operators.export import division_payload
 from scriptoria.operators.hierarchy import with_ancestors
-from scriptoria.operators.postings import build_term_counts, index_documents
-from scriptoria.operators.search import clauses, convert_query, match
+from scriptoria.operators.highlights import stored_highlights
+from scriptoria.operators.search import clauses, convert_query, page
+from scriptoria.operators.stored_index import bucket_of, match_stored
 from scriptoria.plans import adapter as A
 from scriptoria.plans.registry import query
-from scriptoria.plans.sql import TOKENS, WORD, with_
+from scriptoria.plans.sql import PLAIN_WORD, TOKENS, VERSES, WORD, with_
+from scriptoria.session import cut_lineage
 
 
 def greek(x: str) -> str:
@@ -274,18 +276,62 @@ def converted_query_tokens(spark, sf_dir):
     )
 
 
-@query("search_highlights", "F50")
+def _highlights_sql(asked: str, hits: str, surround: int) -> str:
+    """Hits (query_id, verse_id) of ``hits`` with the words around those ``asked`` (query_id, field, term)."""
+    return with_(VERSES).rstrip() + rf""",
+texts AS (
+  SELECT verse_id, 'content' AS field, content AS text FROM verses WHERE length(content) > 0
+  UNION ALL SELECT verse_id, 'no_diacritics', strip_accents(content) FROM verses WHERE length(content) > 0),
+words AS (
+  SELECT verse_id, field, unnest(w) AS word, unnest(range(len(w))) AS pos, unnest(regexp_split_to_array(text, '{PLAIN_WORD}')[:len(w)]) AS gap
+  FROM (SELECT *, regexp_extract_all(text, '{PLAIN_WORD}') AS w FROM texts)),
+asked AS ({asked}),
+hits AS ({hits}),
+found AS (SELECT query_id, verse_id, field, pos FROM hits JOIN asked USING (query_id) JOIN words w USING (verse_id, field) WHERE lower(w.word) = asked.term),
+shown AS (
+  SELECT query_id, w.verse_id, w.field, w.pos, w.gap, w.word, bool_or(w.pos = f.pos) AS hit
+  FROM found f JOIN words w ON w.verse_id = f.verse_id AND w.field = f.field AND w.pos BETWEEN f.pos - {surround} AND f.pos + {surround} GROUP BY ALL),
+islands AS (SELECT *, pos - row_number() OVER (PARTITION BY query_id, verse_id, field ORDER BY pos) AS island FROM shown),
+marked AS (
+  SELECT *, CASE WHEN pos = min(pos) OVER (PARTITION BY query_id, verse_id, field, island) THEN '' ELSE gap END || CASE WHEN hit THEN '<b>' || word || '</b>' ELSE word END AS piece
+  FROM islands),
+fragments AS (SELECT query_id, verse_id, field, island, string_agg(piece, '' ORDER BY pos) AS fragment FROM marked GROUP BY ALL)
+SELECT query_id, verse_id, string_agg(fragment, '...' ORDER BY field, island) AS highlights FROM fragments GROUP BY ALL"""
+
+
+_HIT_TWO_FIELDS = """SELECT CAST(1 AS BIGINT) AS query_id, verse_id FROM words WHERE field = 'content' AND lower(word) = 'la'
+  INTERSECT SELECT 1, verse_id FROM words WHERE field = 'no_diacritics' AND lower(word) = 'les'"""
+
+
+@query(
+    "search_highlights", "F50 A3",
+    _highlights_sql("SELECT CAST(1 AS BIGINT) AS query_id, 'content' AS field, 'la' AS term UNION ALL SELECT 1, 'no_diacritics', 'les'", _HIT_TWO_FIELDS, 5),
+)
 def search_highlights(spark, sf_dir):
-    """Fragments of content and accent-free text around the matched terms of each hit."""
-    verses = index_documents(A.verses(spark, sf_dir))
-    rows = [(1, 0, 0, False, "content", "la"), (1, 0, 1, False, "no_diacritics", "les")]
-    terms = clauses(spark, rows).withColumnRenamed("text", "term")
-    hits = match(build_term_counts(verses), terms).select("verse_id", F.transform("matches", lambda m: m["term"]).alias("terms"))
-    found = verses.join(hits, "verse_id")
-    return found.select(
-        "verse_id",
-        K.join_highlights(
-            K.highlight_fragments(F.col("content"), F.col("terms")),
-            K.highlight_fragments(F.col("no_diacritics"), F.col("terms")),
-        ).alias("highlights"),
-    )
+    """Fragments of content and accent-free text around the matched terms of each hit, from the positions of the stored index."""
+    index = A.positional_index(spark, sf_dir)
+    terms = clauses(spark, [(1, 0, 0, False, "content", "la"), (1, 0, 1, False, "no_diacritics", "les")]).withColumnRenamed("text", "term")
+    return stored_highlights(spark, index, match_stored(spark, index, terms))
+
+
+@query(
+    "highlights_of_many_queries", "F50 W13 O5",
+    _highlights_sql(
+        f"SELECT DISTINCT item_id AS query_id, 'content' AS field, unnest(regexp_extract_all(lower(text), '{PLAIN_WORD}')) AS term FROM benchmark",
+        """SELECT query_id, verse_id FROM (
+    SELECT query_id, verse_id, row_number() OVER (PARTITION BY query_id ORDER BY verse_id) AS rank FROM (
+      SELECT DISTINCT query_id, verse_id FROM asked JOIN words ON words.field = asked.field AND lower(word) = term)) WHERE rank <= 5""",
+        2,
+    ),
+)
+def highlights_of_many_queries(spark, sf_dir):
+    """The first five hits of every benchmark item, its words OR-ed, each with its highlights: one job for all queries."""
+    index = A.positional_index(spark, sf_dir)
+    words = A.table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("query_id"), F.lit("content").alias("field"),
+        F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(K.PLAIN_WORD_PATTERN), F.lit(0)))).alias("term"),
+    ).withColumn("bucket", bucket_of(F.col("term")))
+    met = spark.read.parquet(f"{index}/postings").where("field = 'content'").select("field", "bucket", "term", "verse_id", "tf").join(words, ["field", "bucket", "term"])
+    shown = page(met.select("query_id", "verse_id").distinct(), 1, 5, chunk=A.verse_chunk()).select("query_id", "verse_id")
+    matches = met.join(shown, ["query_id", "verse_id"]).groupBy("query_id", "verse_id").agg(F.collect_list(F.struct("field", "term", "tf")).alias("matches"))
+    return stored_highlights(spark, index, cut_lineage(matches), surround=2)
