@@ -9,8 +9,10 @@ stream of rows that holds one text of each class in memory.
 
 A group may hold a third of all rows.  Its rows are spread over as many
 partitions as its size asks for; each partition compares its rows with the
-first one it has seen, and one text of each class and partition is compared in
-a second round.
+first one it has seen, and passes one text of each class on.  These texts are
+spread and compared in the same way, round by round, until the largest group
+fits one partition, so no task ever compares more than about ``GROUP_ROWS``
+texts of a group whose members are equal.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptoria.llm.rows import byte_texts, column_of, map_slices
+from scriptoria.llm.rows import byte_texts, column_of, map_slices, stored
 
 CHUNK_BYTES = 4096
 PRIMES = (2_147_483_647, 2_147_483_629)
@@ -130,20 +132,23 @@ def exact_duplicates(documents: DataFrame, group_rows: int = GROUP_ROWS, primes:
     largest doc_id stays.  A null text is an empty one.  Rows that repeat a
     doc_id with an equal text stand for one document: each counts in
     ``group_size`` and each has the same ``kept``.  A null doc_id stays only
-    if its whole group has none.  Other columns are not read.
+    if its whole group has none.  A very long text is hashed and compared in
+    pieces but is one value of a row; an empty table gives no rows.  Other
+    columns are not read.
     """
-    plain = fingerprints(documents, False, primes)
+    plain = stored(fingerprints(documents, False, primes))
     shared = plain.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    marked = fingerprints(documents, True, primes).join(shared, _KEY, "left")
-    alone = marked.where("n IS NULL").select(
+    alone = plain.join(shared, _KEY, "left_anti").select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), "text_sha256"
     )
-    salts = F.ceil(F.col("n") / group_rows)
-    salted = marked.where("n IS NOT NULL").withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(7)), salts).cast("int"))
-    local = _classes(salted, [*_KEY, "salt"], ["doc_id", "text_sha256"], True)
-    firsts = local.where("text IS NOT NULL").withColumnRenamed("class", "local_class")
-    named = _classes(firsts, _KEY, ["salt", "local_class"], False)
-    members = local.drop("text").withColumnRenamed("class", "local_class").join(named, [*_KEY, "salt", "local_class"])
+    largest = shared.agg(F.max("n")).first()[0] or 0
+    # Ids may repeat, so each row draws its own place in the group; drawn on the scan, it is the same when a task is run again.
+    texts = fingerprints(documents, True, primes).withColumn("draw", F.rand(7))
+    rows = texts.join(shared, _KEY).withColumn("salt", F.floor(F.col("draw") * F.ceil(F.col("n") / group_rows)).cast("int"))
+    local = stored(_classes(rows, [*_KEY, "salt"], ["doc_id", "text_sha256"], True))
+    members = local.drop("text").withColumnRenamed("class", "leaf")
+    names = _named(local.where("text IS NOT NULL").select(*_KEY, "salt", "class", "text"), -(-largest // group_rows), group_rows)
+    members = members.join(names, [*_KEY, "salt", "leaf"])
     groups = members.groupBy(*_KEY, "class").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     equal = members.join(groups, [*_KEY, "class"]).select(
         "doc_id", "keep_id", "group_size", F.expr("doc_id <=> keep_id").alias("kept"), "text_sha256"
@@ -151,6 +156,25 @@ def exact_duplicates(documents: DataFrame, group_rows: int = GROUP_ROWS, primes:
     return alone.unionByName(equal)
 
 
+def _named(firsts: DataFrame, salts: int, group_rows: int) -> DataFrame:
+    """(key, salt, leaf, class): the class of each (key, salt, class) of ``firsts`` among all salts of its key.
+
+    Salts are folded ``group_rows`` (two at least) to one, round by round, until one is left.
+    """
+    fan = max(2, group_rows)
+    names = firsts.select(*_KEY, "salt", F.col("class").alias("leaf"), F.col("salt").alias("at"), "class")
+    while True:
+        salts = -(-salts // fan)
+        folded = firsts.withColumn("fold", F.floor(F.col("salt") / fan).cast("int")).withColumnsRenamed({"salt": "at", "class": "was"})
+        found = _classes(folded, [*_KEY, "fold"], ["at", "was"], salts > 1)
+        found = stored(found) if salts > 1 else found
+        step = found.select(*_KEY, "at", F.col("was").alias("class"), F.col("fold").alias("next"), F.col("class").alias("named"))
+        names = names.join(step, [*_KEY, "at", "class"]).select(*_KEY, "salt", "leaf", F.col("next").alias("at"), F.col("named").alias("class"))
+        if salts <= 1:
+            return names.select(*_KEY, "salt", "leaf", "class")
+        firsts = found.where("text IS NOT NULL").select(*_KEY, F.col("fold").alias("salt"), "class", "text")
+
+
 def op10_exact_dedup(spark, sf_dir):
     return exact_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

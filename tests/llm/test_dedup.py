@@ -32,15 +32,22 @@ def brute_exact(data):
 
 
 @pytest.mark.parametrize("primes", [PRIMES, (3, 2)])
-@pytest.mark.parametrize("group_rows", [1000, 1])
+@pytest.mark.parametrize("group_rows", [1000, 1, 3])
 def test_exact_duplicates(spark, primes, group_rows):
-    """Tiny primes make unequal texts share fingerprints; groups of one row make every copy meet in the second round."""
+    """Tiny primes make unequal texts share fingerprints; groups of one or three rows make copies meet in rounds."""
     data = rows() + [(100 + k, t) for k, t in enumerate(["ab", "ba", "cd", "AB", "ab", "Cd"] * 3)]
     found = exact_duplicates(documents(spark, data), group_rows, primes).collect()
     assert sorted((tuple(r) for r in found), key=key) == brute_exact(data)
     assert exact_duplicates(documents(spark, [])).collect() == []
 
 
+def test_exact_duplicates_of_a_hot_id(spark):
+    """One id in all rows of a group: rows are dealt out by row, and several rounds bring the group together."""
+    data = [(7, "same text") for _ in range(40)] + [(9, "Same Text"), (8, "other")]
+    found = exact_duplicates(documents(spark, data), 2).collect()
+    assert sorted((tuple(r) for r in found), key=key) == brute_exact(data)
+
+
 @given(st.binary(max_size=300), st.binary(max_size=300), st.integers(2, 40))
 @settings(max_examples=60, deadline=None)
 def test_fingerprints_compose(a, b, chunk):
