@@ -4,18 +4,22 @@ Documents are ordered by a key of hexadecimal digits: the head of their text's
 digest, then the digest of their id, so equal texts lie next to each other and
 a group of any size can still be cut.  The splitters are the byte quantiles of
 that order.  Each round counts the exact bytes below candidate boundaries -
-the digits of the bins that still hold a splitter, or more rows than one task
-shall number - across all partitions; only those bins are probed again, with
-two more digits, until a splitter is exact to ``tolerance`` bytes.  Then the
-rows are exchanged once, by bin, and numbered inside their bin.
-
-A round brings at most 256 counts for each open bin to the driver.  Open bins
-number at most ``n_shards`` plus rows / ``bin_rows``.
+the digits of the bins that still hold a splitter - across all partitions; only
+those bins are probed again, with two more digits, until a splitter is exact to
+``tolerance`` bytes.  The splitters then stand in the plan as literals, at most
+one for each shard, and the rows are exchanged once, by shard and a stretch of
+keys of at most about ``bin_rows`` rows, inside which they are numbered; what
+stands before a stretch comes from counts of the key table.
+
+A round brings at most 256 counts for each shard to the driver, whatever the
+number of rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptoria.llm.rows import table
@@ -25,6 +29,8 @@ N_SHARDS = 40
 BIN_ROWS = 100_000
 # Digits of the text's digest in the key, digits that a round adds, digits in all.
 TEXT_DIGITS, ROUND_DIGITS, KEY_DIGITS = 8, 2, 40
+# Stretches over ``bin_rows`` that are broadcast to be cut further; more of them meet the rows by a shuffle.
+BROADCAST_STRETCHES = 50_000
 
 
 def size_of(text: Column) -> Column:
@@ -37,18 +43,20 @@ def key_of(doc_id: Column, text: Column) -> Column:
 
 
 class Splitters:
-    """Bins of the key space with the shard and the first slot of each, and the bins that were probed further."""
+    """(smallest key, shard) of each shard that has rows, in order, and the bins that each round probed further."""
 
-    def __init__(self, n_shards: int):
-        self.n_shards = n_shards
+    def __init__(self) -> None:
         self.opened: list[list[str]] = []
-        self.bins: list[tuple[str, int, int]] = []
+        self.bounds: list[tuple[str, int]] = []
+
+    def shard(self, key: Column) -> Column:
+        smallest = F.array(*[F.lit(k) for k, _ in self.bounds])
+        return F.element_at(F.array(*[F.lit(n).cast("int") for _, n in self.bounds]), F.size(F.filter(smallest, lambda k: k <= key)))
 
 
-def find_splitters(keyed: DataFrame, n_shards: int = N_SHARDS, tolerance: int = 0, bin_rows: int = BIN_ROWS) -> Splitters:
+def find_splitters(keyed: DataFrame, n_shards: int = N_SHARDS, tolerance: int = 0) -> Splitters:
     """``keyed`` has ``key`` and ``size``; it is read once for each round, so it should be stored."""
-    spark, out = keyed.sparkSession, Splitters(n_shards)
-    digits = ROUND_DIGITS
+    out, digits = Splitters(), ROUND_DIGITS
     leaves = _counts(keyed, digits)
     while True:
         total, below, opened = sum(b for b, _ in leaves.values()), 0, []
@@ -56,26 +64,24 @@ def find_splitters(keyed: DataFrame, n_shards: int = N_SHARDS, tolerance: int =
             size, rows = leaves[prefix]
             # A splitter lies inside unless the first and the last byte fall into one shard.
             cut = below * n_shards // total != (below + size - 1) * n_shards // total
-            if len(prefix) == digits < KEY_DIGITS and rows > 1 and (rows > bin_rows or cut and size > tolerance):
+            if cut and size > tolerance and rows > 1 and len(prefix) == digits < KEY_DIGITS:
                 opened.append(prefix)
             below += size
         if not opened:
             break
         out.opened.append(opened)
-        part = keyed.join(_strings(spark, opened), F.substring("key", 1, digits) == F.col("prefix"), "left_semi")
+        part = keyed.where(F.substring("key", 1, digits).isin(opened))
         digits += ROUND_DIGITS
         for prefix in opened:
             del leaves[prefix]
         leaves |= _counts(part, digits)
-    below, slots = 0, [0] * n_shards
+    below, first = 0, {}
     for prefix in sorted(leaves):
-        size, rows = leaves[prefix]
+        size = leaves[prefix][0]
         # With a tolerance the middle of a bin decides; else a bin that is cut holds one key, and its start decides.
-        at = below + (size // 2 if tolerance else 0)
-        shard = at * n_shards // total
-        out.bins.append((prefix, shard, slots[shard]))
-        slots[shard] += rows
+        first.setdefault((below + (size // 2 if tolerance else 0)) * n_shards // total, prefix)
         below += size
+    out.bounds = [(prefix if k else "", shard) for k, (shard, prefix) in enumerate(sorted(first.items()))] or [("", 0)]
     return out
 
 
@@ -84,23 +90,44 @@ def _counts(keyed: DataFrame, digits: int) -> dict[str, tuple[int, int]]:
     return {r["prefix"]: (r["b"], r["n"]) for r in counted.toLocalIterator()}
 
 
-def _strings(spark: SparkSession, values: list[str]) -> DataFrame:
-    return spark.createDataFrame([(v,) for v in values], "prefix string")
+def stretches(keyed: DataFrame, bin_rows: int) -> Callable[[DataFrame], DataFrame]:
+    """A function that adds ``stretch``, a head of the key, to rows with a ``key``.
 
-
-def place(keyed: DataFrame, splitters: Splitters) -> DataFrame:
-    """Add ``shard`` and ``slot`` to rows that have a ``key``; the tables of bins are joined by their real size."""
-    spark, digits, depth = keyed.sparkSession, ROUND_DIGITS, F.lit(ROUND_DIGITS)
-    rows = keyed
-    for level, opened in enumerate(splitters.opened):
-        digits = (level + 1) * ROUND_DIGITS
-        found = _strings(spark, opened).withColumnRenamed("prefix", f"open{level}")
-        rows = rows.join(found, F.substring("key", 1, digits) == F.col(f"open{level}"), "left")
-        depth = F.when(F.col(f"open{level}").isNotNull(), digits + ROUND_DIGITS).otherwise(depth)
-    rows = rows.withColumn("bin", F.substring(F.col("key"), F.lit(1), depth))
-    bins = spark.createDataFrame(splitters.bins, "bin string, shard int, first bigint")
-    numbered = rows.join(bins, "bin").withColumn("slot", F.col("first") + F.row_number().over(Window.partitionBy("bin").orderBy("key")) - 1)
-    return numbered.drop("bin", "first", *(f"open{k}" for k in range(len(splitters.opened))))
+    Heads are as long as even keys of that number of rows ask for.  A head with
+    more than ``bin_rows`` rows, as of a text that many documents share, is
+    continued into the digest of the ids.
+    """
+    rows, digits = keyed.count(), 1
+    while digits < TEXT_DIGITS and rows > bin_rows // 2 * 16**digits:
+        digits += 1
+    head = F.substring("key", 1, digits)
+    large = keyed.groupBy(head.alias("head")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bin_rows)
+    n_large, largest = large.agg(F.count(F.lit(1)), F.max("n")).first()
+    if not n_large:
+        return lambda df: df.withColumn("stretch", head)
+    more = 1
+    while TEXT_DIGITS + more < KEY_DIGITS and largest > bin_rows // 2 * 16**more:
+        more += 1
+    marked = cut_lineage(large.select("head"))
+    marked = F.broadcast(marked) if n_large <= BROADCAST_STRETCHES else marked
+
+    def add(df: DataFrame) -> DataFrame:
+        longer = F.when(F.col("head").isNotNull(), F.substring("key", 1, TEXT_DIGITS + more)).otherwise(head)
+        return df.join(marked, head == F.col("head"), "left").withColumn("stretch", longer).drop("head")
+
+    return add
+
+
+def place(rows: DataFrame, keyed: DataFrame, splitters: Splitters, bin_rows: int = BIN_ROWS) -> DataFrame:
+    """Add ``shard`` and ``slot`` to ``rows``, whose keys are those of ``keyed``."""
+    cut = stretches(keyed, bin_rows)
+    shard = splitters.shard(F.col("key"))
+    counts = cut(keyed.select("key")).groupBy(shard.alias("shard"), "stretch").agg(F.count(F.lit(1)).alias("n"))
+    along = Window.partitionBy("shard").orderBy("stretch")
+    before = counts.select("shard", "stretch", (F.sum("n").over(along) - F.col("n")).alias("first"))
+    inside = F.row_number().over(Window.partitionBy("shard", "stretch").orderBy("key")) - 1
+    numbered = cut(rows.withColumn("shard", shard)).withColumn("inside", inside)
+    return numbered.join(before, ["shard", "stretch"]).withColumn("slot", F.col("first") + F.col("inside")).drop("stretch", "first", "inside")
 
 
 def key_table(documents: DataFrame) -> DataFrame:
@@ -121,11 +148,11 @@ def shard_table(documents: DataFrame, n_shards: int = N_SHARDS, tolerance: int =
     its shard is floor(c * n_shards / all bytes), so no shard is off by more
     than one document.  Rows that repeat doc_id and text have one key; they
     share a shard and get slots of their own.  A null text has no bytes, a
-    null doc_id counts as an empty one, an empty table gives no rows, other
-    columns are not read.
+    null doc_id counts as an empty one, an empty table gives no rows, a very
+    long text is its size and digest, other columns are not read.
     """
     keyed = key_table(documents)
-    return place(keyed, find_splitters(keyed, n_shards, tolerance, bin_rows)).select(
+    return place(keyed, keyed, find_splitters(keyed, n_shards, tolerance), bin_rows).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
 
@@ -135,7 +162,7 @@ def shard_documents(documents: DataFrame, n_shards: int = N_SHARDS, tolerance: i
     keyed = key_table(documents).select("key", "size")
     own = [c for c in documents.columns if c.lower() not in ("shard", "slot")]
     packed = documents.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("row"), key_of(F.col("doc_id"), F.col("text")).alias("key"))
-    return place(packed, find_splitters(keyed, n_shards, tolerance, bin_rows)).select("row.*", "shard", "slot")
+    return place(packed, keyed, find_splitters(keyed, n_shards, tolerance), bin_rows).select("row.*", "shard", "slot")
 
 
 def op6_sharding(spark, sf_dir):

@@ -82,6 +82,16 @@ def test_shards(spark, n_shards, bin_rows):
     assert sorted((tuple(r) for r in found), key=lambda r: (r[4], r[5])) == brute_shards(data, n_shards)
 
 
+def test_driver_holds_splitters_not_bins(spark):
+    """Many stretches over ``bin_rows`` rows open no bin of the driver's: each round opens one for a splitter at most."""
+    docs = documents(spark, [(k, "one text of all" if k % 3 else text(k, 9)) for k in range(900)])
+    splitters = find_splitters(key_table(docs), 5)
+    assert all(len(opened) <= 4 for opened in splitters.opened) and len(splitters.bounds) <= 5
+    found = shard_table(docs, 5, bin_rows=4).collect()
+    data = [(r.doc_id, r.text) for r in docs.collect()]
+    assert sorted((tuple(r) for r in found), key=lambda r: (r[4], r[5])) == brute_shards(data, 5)
+
+
 def test_shards_within_tolerance(spark):
     docs = documents(spark, [(k, text(k, 5 + k % 50)) for k in range(600)])
     keyed = key_table(docs)
