@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptoria.operators.ordered import first_per_key
+from scriptoria.session import merged, small_or_merged
 
 # --- fixed values -----------------------------------------------------------
 NUMERALS = {"1": "I", "2": "II", "3": "III", "4": "IV", "5": "V"}
@@ -94,7 +95,7 @@ def resolve_parts(citations: DataFrame, divisions: DataFrame, keys: list[str], r
         _path_key(F.col("c.path")).alias("path_key"),
     )
     known = divisions.select("work_slug", "division_id", "sequence_number", _path_key(F.col("path")).alias("path_key"))
-    found = tried.join(known, ["work_slug", "path_key"])
+    found = tried.join(merged(known), ["work_slug", "path_key"])
     return first_per_key(found, keys, ["rank", "sequence_number"], ["division_id", "verse"])
 
 
@@ -119,7 +120,7 @@ def resolve_citations(citations: DataFrame, divisions: DataFrame) -> DataFrame:
     rest = F.array_join(F.slice("__signs", F.col("__at") + 1, F.greatest(F.size("__signs"), F.lit(1))), "")
     after = F.substring(F.col("__rest"), F.length("descriptor") + 1, F.lit(1))
     named = (
-        at.join(spaced.withColumn("__head", head), ["work_slug", "__head"])
+        at.join(small_or_merged(spaced.withColumn("__head", head)), ["work_slug", "__head"])
         .withColumn("__rest", rest)
         .where(F.col("__rest").startswith(F.col("descriptor")) & (after.isin("", " ", ".", ":") | F.col("descriptor").rlike("[ .:]$")))
         .select("citation_id", F.struct(F.col("__at").alias("at"), F.size(F.regexp_extract_all("descriptor", F.lit("[^ .:]+|[ .:]"), F.lit(0))).alias("n"), "descriptor").alias("__m"))
@@ -135,7 +136,7 @@ def resolve_citations(citations: DataFrame, divisions: DataFrame) -> DataFrame:
             (F.size(done) == 0) | (m["at"] >= F.element_at(done, -1)["at"] + F.element_at(done, -1)["n"]), F.concat(done, F.array(m))
         ).otherwise(done),
     )
-    prepared = citations.withColumn("__signs", signs).join(named, "citation_id", "left").withColumn("__m", F.coalesce("__m", F.array().cast(found)))
+    prepared = citations.withColumn("__signs", signs).join(merged(named), "citation_id", "left").withColumn("__m", F.coalesce("__m", F.array().cast(found)))
     prepared = prepared.withColumn("__named", F.transform(chosen, lambda m, k: F.struct(m["at"].alias("at"), m["n"].alias("n"), m["descriptor"].alias("descriptor"), k.alias("k"))))
 
     def in_place(sign: Column, i: Column) -> Column:

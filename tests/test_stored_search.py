@@ -143,3 +143,12 @@ def test_document_tree_is_in_document_order(spark, sf_dir):
     for r in rows:
         below = [x.position for x in rows if r.division_id in x.ancestor_ids]
         assert sets[r.division_id] == (r.position, r.position + len(below) - 1) == (min(below), max(below))
+
+
+def test_citations_are_never_sent_whole_to_every_task(spark):
+    """Only the few descriptors with blanks, counted before, are broadcast; compressed files say nothing of the size of the rest."""
+    tree = with_ancestors(spark.createDataFrame([(1, None, "α β", None, None, 1, "w"), (2, 1, "3", None, None, 2, "w")], "division_id long, parent_id long, descriptor string, title string, type string, sequence_number long, work_slug string"))
+    found = resolve_citations(spark.createDataFrame([(1, "w", "α β 3")], "citation_id long, work_slug string, reference string"), tree)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 1 and plan.count("SortMergeJoin") >= 2
+    assert [tuple(r) for r in found.collect()] == [(1, 2, None)]
