@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from scriptoria.functions.betacode import beta_to_unicode
 from scriptoria.functions.strings import person_surname, slugify, wildcard_pattern
 from scriptoria.operators.ordered import DEFAULT_WIDTH, by_width, first_per_key, running_sum
-from scriptoria.session import cut_lineage
+from scriptoria.session import cut_lineage, merged, small_or_merged
 
 Library = dict[str, DataFrame]
 TRANSFORMS: dict[str, Callable[[Library, DataFrame], Library]] = {}
@@ -70,28 +70,38 @@ def normalise_rules(rules: DataFrame) -> DataFrame:
     )
 
 
-# Characters of the pieces under which patterns are filed.
-_PIECE = 3
+# Characters of the pieces under which patterns are filed: long ones are held by few names where short ones are held by a share of all.
+_PIECES = (3, 6, 12, 24, 48)
 # Rules that neither an exact value nor a piece selects are looked up by every file, in so many groups of files.
 _OPEN_GROUPS = 64
 
 
-def _pieces(text: Column) -> Column:
-    """Distinct runs of ``_PIECE`` characters; none of a shorter text."""
-    last = F.length(text) - (_PIECE - 1)
-    return F.when(last < 1, F.array().cast("array<string>")).otherwise(
-        F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda k: F.substring(text, k, F.lit(_PIECE))))
-    )
+def _pieces(text: Column, sizes: Sequence[int]) -> Column:
+    """Distinct runs of so many characters; none of a shorter text."""
+    none = F.array().cast("array<string>")
+
+    def of_size(n: int) -> Column:
+        last = F.length(text) - (n - 1)
+        return F.when(last < 1, none).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda k: F.substring(text, k, F.lit(n))))
+
+    return F.array_distinct(F.concat(none, *[of_size(n) for n in sizes]))
 
 
-def _rarest_pieces(files: DataFrame, rules: DataFrame) -> DataFrame:
-    """(rule_pos, __piece): the literal piece of each pattern that the fewest file names hold; none where its literals are too short."""
+def _rarest_pieces(files: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rule_pos, __piece): the literal piece of each pattern that the fewest file names hold, none where its literals are too short;
+
+    and (__file, __piece) of the files that hold one of these, both stored.
+    """
     patterns = rules.where(F.col("file_name").contains("*")).select("rule_pos", F.explode(F.split("file_name", r"\*+")).alias("l"))
-    pieces = patterns.select("rule_pos", F.explode(_pieces(F.col("l"))).alias("__piece"))
-    held = files.select(F.explode(_pieces(F.col("file_name"))).alias("__piece")).join(pieces.select("__piece").distinct(), "__piece", "left_semi")
+    longest = patterns.agg(F.max(F.length("l"))).first()[0] or 0
+    sizes = [n for n in _PIECES if n <= longest]
+    pieces = patterns.select("rule_pos", F.explode(_pieces(F.col("l"), sizes)).alias("__piece"))
+    asked = merged(pieces.select("__piece").distinct())
+    held = cut_lineage(files.select(F.col("file_id").alias("__file"), F.explode(_pieces(F.col("file_name"), sizes)).alias("__piece")).join(asked, "__piece", "left_semi"))
     counts = held.groupBy("__piece").agg(F.count(F.lit(1)).alias("__n"))
-    ranked = pieces.join(counts, "__piece", "left").select("rule_pos", F.struct(F.coalesce("__n", F.lit(0)).alias("n"), "__piece").alias("r"))
-    return ranked.groupBy("rule_pos").agg(F.min("r").alias("r")).select("rule_pos", F.col("r.__piece").alias("__piece"))
+    ranked = pieces.join(merged(counts), "__piece", "left").select("rule_pos", F.struct(F.coalesce("__n", F.lit(0)).alias("n"), (-F.length("__piece")).alias("l"), "__piece").alias("r"))
+    rarest = cut_lineage(ranked.groupBy("rule_pos").agg(F.min("r").alias("r")).select("rule_pos", F.col("r.__piece").alias("__piece")))
+    return rarest, held.join(merged(rarest.select("__piece").distinct()), "__piece", "left_semi")
 
 
 def _filed_under(rules: DataFrame, pieces: DataFrame | None) -> DataFrame:
@@ -108,7 +118,7 @@ def _filed_under(rules: DataFrame, pieces: DataFrame | None) -> DataFrame:
     if pieces is None:
         keys = keys.otherwise(pairs("any", everywhere))
     else:
-        rules = rules.join(pieces.select(F.col("rule_pos").alias("__pos"), "__piece"), F.expr("rule_pos = __pos"), "left")
+        rules = rules.join(merged(pieces.select(F.col("rule_pos").alias("__pos"), "__piece")), F.expr("rule_pos = __pos"), "left")
         keys = keys.when(F.col("__piece").isNotNull(), pairs("piece", F.array("__piece"))).otherwise(pairs("any", everywhere))
         rules = rules.drop("__pos")
     return rules.select(F.struct(*rules.columns).alias("__r"), F.explode(F.array_distinct(keys)).alias("__key"))
@@ -124,7 +134,7 @@ def matched_rules(files: DataFrame, rules: DataFrame) -> DataFrame:
     of the ones it fits the first counts.
     """
     first = tested_rules(files, rules).groupBy("file_id").agg(F.min("__rule").alias("__first"))
-    return files.join(first, "file_id", "left").select(*files.columns, "__first.rule_pos", "__first.should_import", "__first.import_parameters")
+    return files.join(merged(first), "file_id", "left").select(*files.columns, "__first.rule_pos", "__first.should_import", "__first.import_parameters")
 
 
 def tested_rules(files: DataFrame, rules: DataFrame, fitting: bool = True) -> DataFrame:
@@ -139,16 +149,16 @@ def tested_rules(files: DataFrame, rules: DataFrame, fitting: bool = True) -> Da
     own = [F.struct(F.lit(c).alias("kind"), F.col(c).alias("value")) for c in ("file_name", "title", "author", "editor", "language")]
     group = F.pmod(F.xxhash64("file_id"), F.lit(_OPEN_GROUPS)).cast("string")
     patterns = rules.where("file_name LIKE '%*%' AND title IS NULL AND author IS NULL AND editor IS NULL AND language IS NULL")
-    pieces = _rarest_pieces(files, patterns) if patterns.limit(1).count() else None
-    under = F.array(*own, F.struct(F.lit("any").alias("kind"), group.alias("value")))
-    if pieces is not None:
-        under = F.concat(under, F.transform(_pieces(F.coalesce("file_name", F.lit(""))), lambda p: F.struct(F.lit("piece").alias("kind"), p.alias("value"))))
-    keyed = files.select("file_id", "author", "title", "language", "file_name", "editor", F.explode(under).alias("__key"))
+    pieces, held = _rarest_pieces(files, patterns) if patterns.limit(1).count() else (None, None)
+    keyed = files.select("file_id", F.explode(F.array(*own, F.struct(F.lit("any").alias("kind"), group.alias("value")))).alias("__key"))
+    if held is not None:
+        keyed = keyed.unionByName(held.select(F.col("__file").alias("file_id"), F.struct(F.lit("piece").alias("kind"), F.col("__piece").alias("value")).alias("__key")))
     r = lambda c: F.col(f"__r.{c}")
     name = F.when(
         r("file_name").contains("*"), F.coalesce(F.rlike(F.col("file_name"), wildcard_pattern(r("file_name"))), F.lit(False))
     ).otherwise(fits(r("file_name"), F.col("file_name")))
-    tried = keyed.join(_filed_under(rules, pieces), "__key")
+    own_columns = files.select("file_id", "author", "title", "language", "file_name", "editor")
+    tried = keyed.join(small_or_merged(_filed_under(rules, pieces)), "__key").select("file_id", "__r").join(merged(own_columns), "file_id")
     fits_all = (
         fits(r("author"), F.col("author")) & among(r("editor"), F.col("editor")) & among(r("title"), F.col("title"))
         & fits(r("language"), F.col("language")) & name

@@ -152,3 +152,15 @@ def test_citations_are_never_sent_whole_to_every_task(spark):
     plan = found._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("BroadcastHashJoin") == 1 and plan.count("SortMergeJoin") >= 2
     assert [tuple(r) for r in found.collect()] == [(1, 2, None)]
+
+
+def test_patterns_of_common_short_pieces_meet_few_files(spark):
+    """Names of two signs: every piece of three is held by most files, one of twelve by few; a file_id may come twice."""
+    codes = [f"{k * 37 % 4096:012b}" for k in range(300)]
+    files = spark.createDataFrame([(k % 299, None, "t", None, f"x_{c}.xml", "e") for k, c in enumerate(codes)], "file_id long, author string, title string, language string, file_name string, editor string")
+    rules = spark.createDataFrame(
+        [(k, None, None, None, f"*_{c}.xml", None, k % 2 == 0, None) for k, c in enumerate(codes)],
+        "rule_pos int, author string, editor array<string>, title array<string>, file_name string, language string, should_import boolean, import_parameters string",
+    )
+    assert T.tested_rules(files, rules, fitting=False).count() < 10 * 300
+    assert {(r.file_id, r.rule_pos) for r in T.matched_rules(files, rules).collect()} == {(k % 299, k % 299) for k in range(300)}
