@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from scriptoria.operators.postings import build_term_counts, index_documents
+from scriptoria.plans.registry import registered
 from scriptoria.streaming import versions as V
 
 SCHEMA = "division_id long, work_slug string, verse_id long, language string, content string"
@@ -34,3 +35,14 @@ def test_changes_removals_and_repeated_batches(spark, tmp_path):
     V.update(verses(changed), removed(), 5, str(tmp_path / "compacted"))
     assert rows(V.read_live(spark, str(tmp_path / "compacted"))) == rows(build_term_counts(index_documents(verses(changed))))
     assert V.live_verses(spark, root).where(F.col("division_id") == 2).count() == 0
+
+
+def test_streamed_index_reads_a_table_in_one_file_or_many(spark, sf_dir, tmp_path):
+    rows = [(1, "one two\none", "en", "a", 11), (2, "drei", "de", "b", 4), (3, "two", "en", "a", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(2).write.parquet(f"{tmp_path}/many/documents.parquet")
+    (tmp_path / "one").mkdir()
+    docs.toPandas().to_parquet(tmp_path / "one" / "documents.parquet", index=False)
+    for kind in ("many", "one"):
+        found = registered()["streamed_index"].build(spark, f"{tmp_path}/{kind}")
+        assert sorted(map(tuple, found.collect())) == [("a-en", 8, 8), ("b-de", 2, 2)]
