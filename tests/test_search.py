@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from scriptoria.operators.postings import build_postings, build_term_counts
 from scriptoria.functions.betacode import beta_to_unicode
 from scriptoria.operators import postings as P
 from scriptoria.operators import search as S
@@ -94,3 +95,17 @@ def test_query_conversion(spark):
     got = [v.value for v in tokens.select(S.convert_query(F.col("t")).alias("c")).first().c]
     want = tokens.select(beta_to_unicode(F.lit("no/mou")).alias("x")).first().x
     assert got == [want, "(x", "luke"]
+
+
+def test_texts_move_once_and_entries_not_at_all(spark):
+    """Entries are counted inside the row of a verse, also where a verse comes twice, under two works, or without an id."""
+    rows = [(1, "w", "b a b"), (1, "w", "a c"), (1, "v", "a"), (None, "w", "d d"), (2, "w", None), (3, "w", "...")]
+    docs = spark.createDataFrame(rows, "verse_id long, work_slug string, content string").repartition(3)
+    found = build_postings(docs, ("content",))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(verse_id" in plan and "hashpartitioning(field" not in plan
+    wanted = {("a", 1, "w"): [0, 1], ("b", 1, "w"): [0, 2], ("c", 1, "w"): [1], ("a", 1, "v"): [0], ("d", None, "w"): [0, 1]}
+    assert {(r.term, r.verse_id, r.work_slug): r.positions for r in found.collect()} == wanted
+    assert {(r.term, r.verse_id, r.work_slug): r.tf for r in build_term_counts(docs, ("content",)).collect()} == {k: len(v) for k, v in wanted.items()}
+    asked = spark.createDataFrame([("content", "a")], "field string, term string")
+    assert {(r.verse_id, r.work_slug): r.positions for r in build_postings(docs, ("content",), terms=asked).collect()} == {(1, "w"): [0, 1], (1, "v"): [0]}
