@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,3 +111,27 @@ def test_texts_move_once_and_entries_not_at_all(spark):
     assert {(r.term, r.verse_id, r.work_slug): r.tf for r in build_term_counts(docs, ("content",)).collect()} == {k: len(v) for k, v in wanted.items()}
     asked = spark.createDataFrame([("content", "a")], "field string, term string")
     assert {(r.verse_id, r.work_slug): r.positions for r in build_postings(docs, ("content",), terms=asked).collect()} == {(1, "w"): [0, 1], (1, "v"): [0]}
+
+
+def test_terms_of_unknown_size_never_shuffle_the_entries(spark):
+    docs = spark.createDataFrame([(1, "w", "a b a"), (2, "w", "b c")], "verse_id long, work_slug string, content string")
+    asked = spark.createDataFrame(spark.sparkContext.parallelize([("content", "a")]), "field string, term string")
+    counts = build_term_counts(docs, ("content",), terms=asked)
+    assert [tuple(r) for r in counts.collect()] == [("content", "a", 1, "w", 2)]
+    assert "SortMergeJoin" not in counts._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_first_verses_of_terms_hold_the_first_hits(spark):
+    rng = random.Random(3)
+    rows = [(f"t{t}", v, f"w{w}") for t in range(6) for v in range(200) for w in range(3) if rng.random() < 0.3 / (t + 1)]
+    rows += [("t0", None, "w0"), ("t0", None, "w1"), ("t9", None, "w0")]
+    entries = spark.createDataFrame(rows, "term string, verse_id long, work_slug string")
+    terms = spark.createDataFrame([("t0",), ("t3",), ("t5",), ("t9",), ("none",)], "term string")
+    found = {}
+    for r in S.first_verses(entries, terms, 7, chunk=F.floor(F.col("verse_id") / 10)).collect():
+        found.setdefault(r.term, []).append(r.verse_id)
+    assert set(found) == {"t0", "t3", "t5", "t9"} and found["t9"] == [None] and found["t0"].count(None) == 1
+    for t in ("t0", "t3", "t5"):
+        least = sorted({v for u, v, _ in rows if u == t and v is not None})[:7]
+        kept = sorted(v for v in found[t] if v is not None)
+        assert kept[: len(least)] == least and len(kept) <= 8
