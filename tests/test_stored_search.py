@@ -164,3 +164,14 @@ def test_patterns_of_common_short_pieces_meet_few_files(spark):
     )
     assert T.tested_rules(files, rules, fitting=False).count() < 10 * 300
     assert {(r.file_id, r.rule_pos) for r in T.matched_rules(files, rules).collect()} == {(k % 299, k % 299) for k in range(300)}
+
+
+def test_entries_stay_in_the_segment_that_counted_them(spark, index, tmp_path):
+    postings, _ = index
+    path = str(tmp_path / "segments")
+    I.write_index(postings.repartition(3, "verse_id"), path)
+    stored = spark.read.parquet(f"{path}/postings").withColumn("segment", F.regexp_extract(F.input_file_name(), r"part-(\d+)", 1))
+    assert stored.select("segment").distinct().count() == 3
+    assert stored.groupBy("verse_id").agg(F.count_distinct("segment").alias("n")).where("n > 1").count() == 0
+    names = ["field", "term", "verse_id", "work_slug", "tf"]
+    assert sorted(map(tuple, stored.select(*names).collect())) == sorted(map(tuple, postings.select(*names).collect()))
