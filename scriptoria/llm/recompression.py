@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 
@@ -28,24 +29,32 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+class _Codes(dict):
+    """Codes of words by first occurrence."""
+
+    def __missing__(self, word: bytes) -> int:
+        code = self[word] = len(self)
+        return code
+
+
 class Numbers:
     """128-bit numbers of words, looked up by a code; forgets all of them when they are too many."""
 
     def __init__(self, most: int = 400_000):
-        self.most, self.codes = most, {}
+        self.most, self.codes = most, _Codes()
         self.table = np.zeros((1024, 2), dtype=np.uint64)
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
         """One row of two numbers for each word."""
         if len(self.codes) > self.most:
-            self.codes = {}
-        codes = self.codes
-        for word in set(words).difference(codes):
-            at = codes[word] = len(codes)
-            if at >= len(self.table):
-                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            self.codes = _Codes()
+        known = len(self.codes)
+        places = np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
+        while len(self.codes) > len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        for at, word in enumerate(islice(self.codes, known, None), known):
             self.table[at] = np.frombuffer(hashlib.blake2b(word, digest_size=16).digest(), np.uint64)
-        return self.table[np.fromiter(map(codes.__getitem__, words), np.int64, len(words))]
+        return self.table[places]
 
 
 @dataclass

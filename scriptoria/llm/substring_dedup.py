@@ -59,7 +59,7 @@ class Slice:
         self.valid = np.zeros(n + 1, dtype=bool)
         if n >= window:
             self.valid[: n - window + 1] = walls[window:] == walls[: n - window + 1]
-        symbols = recompress(self.numbers[:, 0], self.wall)
+        symbols = recompress(np.ascontiguousarray(self.numbers[:, 0]), self.wall)
         inside = (symbols.low >= 0) & (symbols.high <= n) & (symbols.high - symbols.low <= window) & (symbols.end - symbols.start >= 2)
         s = Symbols(*(getattr(symbols, f)[inside] for f in ("name", "start", "end", "low", "high")))
         inside = walls[s.high] == walls[s.low]
@@ -69,10 +69,8 @@ class Slice:
         self.long = self.symbols.end - self.symbols.start >= 3
 
     def _cover(self, which: np.ndarray) -> np.ndarray:
-        change = np.zeros(len(self.valid) + 1, dtype=np.int64)
-        np.add.at(change, self.since[which], 1)
-        np.add.at(change, self.until[which] + 1, -1)
-        return np.cumsum(change)[:-1]
+        size = len(self.valid) + 1
+        return np.cumsum(np.bincount(self.since[which], minlength=size) - np.bincount(self.until[which] + 1, minlength=size))[:-1]
 
     def fingerprints(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """80 bits of each window that starts at ``at``."""
@@ -97,8 +95,11 @@ class Slice:
         use = wanted[0] | wanted[1]
         names = np.concatenate([self.symbols.name[use].astype(np.int64), self.fingerprints(alone)[0]])
         docs = np.concatenate([self.doc[self.symbols.start[use]], self.doc[alone]])
-        pairs = np.unique(np.stack([docs, names], axis=1), axis=0)
-        return pairs[:, 0], pairs[:, 1]
+        order = np.lexsort((names, docs))
+        docs, names = docs[order], names[order]
+        new = np.ones(len(docs), dtype=bool)
+        new[1:] = (docs[1:] != docs[:-1]) | (names[1:] != names[:-1])
+        return docs[new], names[new]
 
     def candidates(self, docs: np.ndarray, tests: np.ndarray) -> np.ndarray:
         """Windows all of whose tests are among (document, test)."""
