@@ -108,3 +108,17 @@ def test_all_states_but_the_last_divide(spark):
     divisions, verses = listed(build(spark, body, states=states, only_last_state_is_non_chunk=True))
     assert [(d[2], d[3]) for d in divisions] == [(1, "1"), (1, "2")]
     assert [(v[0], v[3]) for v in verses] == [(1, "a"), (1, "b"), (2, "c")]
+
+
+def test_nodes_within_an_element_come_from_whole_files(spark):
+    """Rows outside the element are left out, but a file is read to its end; small files share a batch."""
+    whole = "<r><x a='1' b='&lt;'>t<y/></x><body>words<z/></body><x>u</x></r>"
+    files = spark.createDataFrame([("f", whole), ("bad", "<r><x>t</x><body></r>"), ("none", "<r>w</r>")], "file string, xml string").coalesce(1)
+    every = tei.parse_nodes(files)
+    some = tei.parse_nodes(files, within="x")
+    rows = lambda df: sorted(((r.file, r.node_seq, r.end_seq, r.kind, r.tag, r.attrs, r.text) for r in df.collect()), key=repr)
+    spans = [(r.node_seq, r.end_seq) for r in every.where("file = 'f' AND tag = 'x'").collect()]
+    inside = [r for r in rows(every) if r[0] != "f" or r[1] == 1 or any(a <= r[1] and r[2] <= b for a, b in spans)]
+    assert rows(some) == [r for r in inside if r[0] != "none" or r[3] == "element"] and len(rows(some)) < len(rows(every))
+    assert some.where("file = 'bad'").first().error is not None
+    assert some.where("file = 'f' AND node_seq = 2").first().attrs == {"a": "1", "b": "<"}
