@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from scriptoria.functions.betacode import beta_to_unicode
 from scriptoria.functions.normalize import lookup_key, normalize, strip_accents
 from scriptoria.operators.ordered import first_per_key
+from scriptoria.session import cut_lineage
 
 # --- fixed values: attribute words of the analyses ----------------------------
 CASES = {"nom": "nominative", "voc": "vocative", "acc": "accusative", "dat": "dative", "gen": "genitive"}
@@ -300,7 +301,11 @@ def index_lexicon(headwords: DataFrame, lemmas: DataFrame, existing: DataFrame |
 
 
 def fill_lexicon_gaps(entries: DataFrame, lemmas: DataFrame) -> DataFrame:
-    """Give entries without a lemma the lemma their headword now has."""
+    """Give entries without a lemma the lemma their headword now has.
+
+    Entries are stored: those with and without a lemma are two readers.
+    """
+    entries = cut_lineage(entries)
     first = lemmas.groupBy(F.col("lexical_form").alias("__key")).agg(F.min("lemma_id").alias("__found"))
     gaps = entries.where(F.col("lemma_id").isNull()).withColumn("__key", lookup_key(beta_to_unicode(F.col("headword"))))
     filled = gaps.join(first, "__key", "left").withColumn("lemma_id", F.col("__found")).drop("__key", "__found")

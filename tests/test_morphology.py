@@ -74,3 +74,19 @@ def test_lexicon_keeps_unknown_headwords(spark):
     assert M.index_lexicon(heads, lemmas, entries).count() == 0
     more = lemmas.unionByName(spark.createDataFrame([(2, "ξχ")], "lemma_id long, lexical_form string")).withColumn("lexical_form", F.when(F.col("lemma_id") == 2, "χχ").otherwise(F.col("lexical_form")))
     assert {r.verse_id: r.lemma_id for r in M.fill_lexicon_gaps(entries, more).collect()} == {5: 1, 6: 2}
+
+
+def test_entries_of_a_lexicon_are_made_once(spark):
+    """Entries with and without a lemma are read from what was stored, not made twice."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    schema = "verse_id long, work_id long, lemma_id long, headword string"
+    entries = spark.createDataFrame([(1, 1, 5, "a"), (2, 1, None, "b"), (3, 1, None, "c")], schema).mapInArrow(count, schema)
+    lemmas = spark.createDataFrame([(7, "β")], "lemma_id long, lexical_form string")
+    assert {r.verse_id: r.lemma_id for r in M.fill_lexicon_gaps(entries, lemmas).collect()} == {1: 5, 2: 7, 3: None}
+    assert made.value == 3
