@@ -4,6 +4,7 @@ import difflib
 import itertools
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,6 +98,46 @@ def test_near_words(spark):
         N.near_words(found.select("word"), found.select("word"), 70)
 
 
+def test_near_words_of_any_form(spark, monkeypatch):
+    """Long, empty and equal words, letters beyond 16 bits, and many blocks give what comparing all pairs gives."""
+    monkeypatch.setattr(N, "BLOCK_LETTERS", 64)
+    rng = random.Random(11)
+    long = ["".join(rng.choice("abcdeé") for _ in range(n)) for n in (60, 64, 65, 70, 90, 230)]
+    words = ["", "a", "b", "ab", "aab", "\U0001d6fc\U0001d6fd\U0001d6fe", "\U0001d6fc\U0001d6fd\U0001d6fe\U0001d6fe"] + ["".join(rng.choice("aeht") for _ in range(rng.randint(4, 12))) for _ in range(60)]
+    for w in long:
+        words += [w, w[1:], w[:20] + w[25:], w[::-1], w[30:] + w[:30]]
+    words = sorted(set(words))
+    ratio = lambda a, b: int(round(difflib.SequenceMatcher(None, a, b).ratio() * 100, 0))
+    rows = spark.createDataFrame([(w,) for w in words] + [(None,), (words[3],)], "word string")
+    expected = sorted((a, b, ratio(a, b)) for a in words for b in words if ratio(a, b) >= 80)
+    assert sorted(map(tuple, N.near_words(rows, rows).collect())) == expected
+    assert N.near_words(rows.limit(0), rows).count() == N.near_words(rows, rows.limit(0)).count() == 0
+    monkeypatch.setattr(N, "ROWS", 3)
+    monkeypatch.setattr(N, "PAIRS", 2)
+    same = [w for w in words if len(w) == 64]
+    i, j = N._can_be_near(words, same, 79.5)
+    assert {(words[x], same[y]) for x, y in zip(i, j)} >= {(a, b) for a, b, _ in expected if len(b) == 64}
+
+
+def test_near_words_compares_few_pairs_in_many_tasks(spark, monkeypatch):
+    """Few pairs beyond the result are compared in full, and not by one task."""
+    judged = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("int")
+    def counted(left: pd.Series, right: pd.Series) -> pd.Series:
+        judged.add(len(left))
+        return pd.Series([int(round(difflib.SequenceMatcher(None, a, b).ratio() * 100, 0)) for a, b in zip(left, right)], dtype="Int32")
+
+    monkeypatch.setattr(N, "similarity", counted)
+    rng = random.Random(3)
+    parts = "th er on an re he in ed nd ha at en".split()
+    words = spark.createDataFrame([("".join(rng.choice(parts) for _ in range(rng.randint(3, 6))),) for _ in range(1500)], "word string")
+    rows = N.near_words(words.limit(300), words).select("*", F.spark_partition_id().alias("part")).collect()
+    # Spark judges a pair for the filter and, if it stays, for the column.
+    assert len(rows) <= judged.value < 3 * len(rows)
+    assert len({r.part for r in rows}) > 1
+
+
 def test_pattern_rules_meet_few_files(spark, sf_dir):
     files, rules = part_patterns(spark, sf_dir)
     tried = T.tested_rules(files, rules, fitting=False).count()
