@@ -5,14 +5,14 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scriptoria.functions.betacode import beta_to_unicode
 from scriptoria.functions.normalize import lookup_key, normalize, strip_accents
 from scriptoria.operators.ordered import first_per_key
-from scriptoria.session import cut_lineage
+from scriptoria.session import cut_lineage, few_rows, merged
 
 # --- fixed values: attribute words of the analyses ----------------------------
 CASES = {"nom": "nominative", "voc": "vocative", "acc": "accusative", "dat": "dative", "gen": "genitive"}
@@ -249,12 +249,18 @@ def parse_words(words: DataFrame, forms: DataFrame, descriptions: DataFrame, lem
             )
         ).alias("s"),
     ).select("form_id", "form", "s.*")
-    found = passes.join(stored, ["bare", "key"])
-    best = found.groupBy("word").agg(F.min("pass").alias("pass"))
+    # Keys are made in Python, so they are stored.  A vocabulary of words sorts and merges with its forms, analyses and
+    # lemmas: left to its estimates, Spark collects the words in the driver.
+    passes = cut_lineage(passes)
+    few = few_rows(passes)
+    side = (lambda df: df) if few else merged
+    found = (F.broadcast(passes) if few else merged(passes)).join(side(stored), ["bare", "key"])
+    first = F.min("pass").over(Window.partitionBy("word"))
     return (
-        found.join(best, ["word", "pass"])
-        .join(descriptions, "form_id")
-        .join(lemmas.select("lemma_id", "lexical_form"), "lemma_id")
+        found.withColumn("__first", first)
+        .where(F.col("pass") == F.col("__first"))
+        .join(side(descriptions), "form_id")
+        .join(side(lemmas.select("lemma_id", "lexical_form")), "lemma_id")
         .select(
             "word", "form", F.col("lexical_form").alias("lemma"), "meaning", "description",
             (F.col("pass") % 2 == 1).alias("ignoring_diacritics"), (F.col("pass") >= 2).alias("ignoring_numerals"),

@@ -90,3 +90,17 @@ def test_entries_of_a_lexicon_are_made_once(spark):
     lemmas = spark.createDataFrame([(7, "β")], "lemma_id long, lexical_form string")
     assert {r.verse_id: r.lemma_id for r in M.fill_lexicon_gaps(entries, lemmas).collect()} == {1: 5, 2: 7, 3: None}
     assert made.value == 3
+
+
+def test_a_vocabulary_is_parsed_without_the_driver(spark, monkeypatch):
+    """Beyond few words no side of the joins is collected in the driver; few words are, and both give the same rows."""
+    from scriptoria import session
+
+    forms, descriptions, lemmas = tables(spark)
+    asked = words(spark, "ἌΒΡΑΝ", "αβραν", "ἄβραν2", "αβραν2", "οραω", "none")
+    parse = lambda: M.parse_words(asked, forms, descriptions, lemmas)
+    few = sorted(map(tuple, parse().collect()))
+    monkeypatch.setattr(session, "_SMALL_ROWS", 3)
+    many = parse()
+    assert sorted(map(tuple, many.collect())) == few and len(few) == 5
+    assert "Broadcast" not in many._jdf.queryExecution().executedPlan().toString()
