@@ -135,3 +135,28 @@ def test_first_verses_of_terms_hold_the_first_hits(spark):
         least = sorted({v for u, v, _ in rows if u == t and v is not None})[:7]
         kept = sorted(v for v in found[t] if v is not None)
         assert kept[: len(least)] == least and len(kept) <= 8
+
+
+def test_entries_come_in_look_up_order(spark):
+    """Within a batch of texts entries are sorted by term and verse, so a segment is merged rather than sorted; counted as by hand."""
+    rng = random.Random(5)
+    rows = [(rng.randint(0, 40), rng.choice("vw"), " ".join(rng.choice(["b", "a", "ß", "élan", "Z", "10"]) for _ in range(rng.randint(0, 9)))) for _ in range(120)]
+    docs = spark.createDataFrame(rows, "verse_id long, work_slug string, content string").withColumn("no_diacritics", F.upper("content"))
+    found = build_postings(docs, parts=1).collect()
+    for field in P.CONTENT_FIELDS:
+        keys = [(r.term.encode(), r.verse_id) for r in found if r.field == field]
+        assert keys == sorted(keys) and len(keys) > 100
+    wanted = {}
+    for verse, work, text in rows:
+        for field, words in (("content", text.lower().split()), ("no_diacritics", text.upper().lower().split())):
+            for i, w in enumerate(words):
+                wanted.setdefault((field, w, verse, work), []).append(i)
+    assert {(r.field, r.term, r.verse_id, r.work_slug): r.positions for r in found} == {k: sorted(v) for k, v in wanted.items()}
+
+
+def test_written_postings_stay_in_their_task(spark, tmp_path):
+    docs = spark.createDataFrame([(v, "w", "a b c " * 3) for v in range(40)], "verse_id long, work_slug string, content string")
+    P.write_postings(build_term_counts(docs, ("content",), parts=3), str(tmp_path / "index"))
+    stored = spark.read.parquet(str(tmp_path / "index")).withColumn("file", F.input_file_name())
+    assert stored.select("file").distinct().count() == 3
+    assert stored.groupBy("verse_id").agg(F.count_distinct("file").alias("n")).where("n > 1").count() == 0
