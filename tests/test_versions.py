@@ -46,3 +46,17 @@ def test_streamed_index_reads_a_table_in_one_file_or_many(spark, sf_dir, tmp_pat
     for kind in ("many", "one"):
         found = registered()["streamed_index"].build(spark, f"{tmp_path}/{kind}")
         assert sorted(map(tuple, found.collect())) == [("a-en", 8, 8), ("b-de", 2, 2)]
+
+
+def test_batches_and_compaction_exchange_no_entries(spark, tmp_path):
+    """The entries of a verse lie in one file, in the batch that brought it and after compaction, and in the index of a stream."""
+    from scriptoria.streaming import incremental as I
+
+    verses = spark.createDataFrame([(v % 5, "w", v, "la", "alpha beta gamma delta " * 3) for v in range(60)], SCHEMA)
+    V.update(verses, verses.select("division_id").where("false"), 0, str(tmp_path / "changes"))
+    V.compact(spark, str(tmp_path / "changes"), str(tmp_path / "compacted"))
+    I.update_index(verses, 0, str(tmp_path / "stream"))
+    for folder in ("changes", "compacted", "stream"):
+        stored = spark.read.parquet(f"{tmp_path}/{folder}/postings/batch=0").withColumn("file", F.input_file_name())
+        assert stored.count() == 60 * 2 * 4 and stored.select("file").distinct().count() > 1, folder
+        assert stored.groupBy("verse_id").agg(F.count_distinct("file").alias("n")).where("n > 1").count() == 0, folder
