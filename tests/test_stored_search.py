@@ -216,3 +216,25 @@ def test_entries_stay_in_the_segment_that_counted_them(spark, index, tmp_path):
     assert stored.groupBy("verse_id").agg(F.count_distinct("segment").alias("n")).where("n > 1").count() == 0
     names = ["field", "term", "verse_id", "work_slug", "tf"]
     assert sorted(map(tuple, stored.select(*names).collect())) == sorted(map(tuple, postings.select(*names).collect()))
+
+
+def test_rows_that_meet_no_key_are_left_out(spark, index, monkeypatch):
+    """Rows that can meet a key are found where they lie, by the keys or by bits of their hashes; none of them is lost."""
+    from scriptoria import session
+    from scriptoria.operators.prefilter import meeting
+
+    large = spark.range(40_000).select(F.when(F.col("id") > 0, F.col("id") * 7).alias("verse_id"), F.col("id").alias("other"))
+    small = spark.range(600).select(F.when(F.col("id") != 5, F.col("id") * 70).alias("verse_id"))
+    keys = {70 * k for k in range(1, 600) if k != 5}
+    exact = [r.verse_id for r in meeting(large, small, "verse_id").collect()]
+    assert set(exact) == keys and len(exact) == len(keys)
+    monkeypatch.setattr(session, "_SMALL_ROWS", 10)
+    passed = meeting(large, small, "verse_id")
+    rows = passed.collect()
+    assert passed.columns == large.columns and keys <= {r.verse_id for r in rows} and len(rows) < 40_000 / 8
+    assert meeting(large, small.where("false"), "verse_id").count() == 0
+    postings, _ = index
+    terms = spark.createDataFrame([(1, 0, 0, False, "content", "t0")], TERMS).withColumn("bucket", I.bucket_of(F.col("term")))
+    found = spark.createDataFrame([(1, 3)], "query_id long, verse_id long")
+    plan = I.entries_of(postings.withColumn("bucket", I.bucket_of(F.col("term"))), found, terms)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan
