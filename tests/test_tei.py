@@ -122,3 +122,26 @@ def test_nodes_within_an_element_come_from_whole_files(spark):
     assert rows(some) == [r for r in inside if r[0] != "none" or r[3] == "element"] and len(rows(some)) < len(rows(every))
     assert some.where("file = 'bad'").first().error is not None
     assert some.where("file = 'f' AND node_seq = 2").first().attrs == {"a": "1", "b": "<"}
+
+
+def test_headers_and_events_are_stored_slim(spark):
+    """Headers are taken from the nodes once for all their parts, and events keep what is read, attributes at start tags only."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    xml = """<TEI.2><teiHeader><fileDesc><titleStmt><title>T</title><author>A</author><editor>B and C</editor></titleStmt></fileDesc><encodingDesc>
+      <refsDecl><state unit="section"/></refsDecl></encodingDesc><profileDesc><langUsage><language>en</language></langUsage></profileDesc></teiHeader>
+      <text><body><div1 type="chapter" n="1"><p><milestone unit="section" n="1"/>one <hi rend="it">two</hi></p></div1></body></text></TEI.2>"""
+    nodes = tei.parse_nodes(spark.createDataFrame([("f", xml)], "file string, xml string"))
+    rows = nodes.count()
+    headers = tei.header_metadata(nodes.mapInArrow(count, nodes.schema))
+    row = headers.first()
+    assert (row.title, row.author, row.editors, row.language) == ("T", "A", ["B", "C"], "en") and made.value <= 3 * rows
+    events = B.cut_up(nodes, tei.state_sets(nodes), B.parameters(headers))
+    assert not {"states", "__state", "division_tags", "state_set"} & set(events.columns)
+    assert {r.ev for r in events.where("attrs IS NOT NULL").collect()} == {"o"}
+    assert [(r.indicator, r.content, r.original_content) for r in B.verses_of(events).collect()] == [("1", "one two", '<verse>one <hi rend="it">two</hi></verse>')]
